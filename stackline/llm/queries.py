@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stackline.llm import decontaminate, packing, quality_rules, secret_scan, sharding, token_counts, url_filter, warc
+from stackline.llm import decontaminate, html_labeller, packing, quality_rules, secret_scan, sharding, token_counts, url_filter, warc
 from stackline.llm import sql as oracle
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +44,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_labeller.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_secret_scan, op4_warc, op6_best_fit_packing, op7_sharding, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_secret_scan, op4_warc, op6_best_fit_packing, op7_sharding, op8_html_text, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
