@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stackline.llm import decontaminate, html_labeller, packing, quality_rules, secret_scan, sharding, token_counts, url_filter, warc
+from stackline.llm import decontaminate, html_labeller, ngram_join, packing, quality_rules, secret_scan, sharding, token_counts, url_filter, warc
 from stackline.llm import sql as oracle
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.document_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -57,8 +61,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_secret_scan, op4_warc, op6_best_fit_packing, op7_sharding, op8_html_text, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_secret_scan, op4_warc, op5_ngram_join, op6_best_fit_packing, op7_sharding, op8_html_text, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": oracle.WARC, "op1_quality_rules": oracle.QUALITY_RULES, "op2_url_filter": url_filter.sql(), "op9_decontamination": oracle.DECONTAMINATION}
+    return {"op5_ngram_join": oracle.NGRAM_JOIN, "op4_warc": oracle.WARC, "op1_quality_rules": oracle.QUALITY_RULES, "op2_url_filter": url_filter.sql(), "op9_decontamination": oracle.DECONTAMINATION}
