@@ -131,7 +131,8 @@ def pack(pieces_table: DataFrame, size: int = SEQUENCE, branches: int = BRANCHES
     spark = pieces_table.sparkSession
     # At most ``size`` rows, whatever the input.
     histogram = {r["length"]: r["n"] for r in pieces_table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    runs = spark.sparkContext.broadcast(slots(plan(histogram, size, branches)))
+    planned = min((plan(histogram, size, b) for b in (branches, 0)), key=lambda x: sum(times for _, times in x))
+    runs = spark.sparkContext.broadcast(slots(planned))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
