@@ -169,8 +169,8 @@ def _plain_ranges(base: DataFrame) -> DataFrame:
     last = lambda i: i + 1 == F.size(items)
     entry = lambda t, i: F.struct(t.alias("text"), F.get(gaps, i).alias("gap"), (open_list & last(i)).alias("open"), F.lit(True).alias("bare"), F.when(dropped, F.array(F.concat(F.lit("undistributable:"), chron))).otherwise(F.array().cast("array<string>")).alias("warnings"))
     whole = F.array(F.struct(F.regexp_replace("segment", r"\s*-\s*$", "").alias("text"), F.lit(False).alias("gap"), F.col("segment").rlike(r"-\s*$").alias("open"), F.lit(False).alias("bare"), F.array().cast("array<string>").alias("warnings")))
-    each = cut.withColumn("item", F.explode(F.when(listed, F.transform(long, entry)).otherwise(whole)))
-    each = each.select("stmt", "text", "seg", F.trim("item.text").alias("unit"), F.col("item.gap").alias("gap_after"), F.col("item.open").alias("open_ended"), F.col("item.bare").alias("bare"), F.col("item.warnings").alias("warnings"), listed.alias("listed"))
+    each = cut.select("*", F.posexplode(F.when(listed, F.transform(long, entry)).otherwise(whole)).alias("nth", "item"))
+    each = each.select("stmt", "text", "seg", "nth", F.trim("item.text").alias("unit"), F.col("item.gap").alias("gap_after"), F.col("item.open").alias("open_ended"), F.col("item.bare").alias("bare"), F.col("item.warnings").alias("warnings"), listed.alias("listed"))
     years = rf"^({YEAR})\s*-\s*({YEAR})$"
     pattern = lambda k: F.when(F.col("unit").rlike(SPLIT), F.regexp_extract("unit", SPLIT, k)).when(F.col("unit").rlike(SPLIT_LETTER), F.regexp_extract("unit", SPLIT_LETTER, k)).when(F.col("unit").rlike(years), F.regexp_extract("unit", years, k))
     each = each.withColumn("b", pattern(2)).withColumn("a", F.coalesce(pattern(1), "unit"))
@@ -178,11 +178,11 @@ def _plain_ranges(base: DataFrame) -> DataFrame:
     s, f = _aligned(F.col("start.levels"), F.coalesce("finish.levels", F.array().cast(LEVELS_TYPE)))
     read = read.withColumn("_s", s).withColumn("_f", f)
     read = read.withColumn("start", F.col("start").withField("levels", F.col("_s"))).withColumn("finish", F.when(F.col("finish").isNotNull(), F.col("finish").withField("levels", F.col("_f"))))
-    row = F.struct("seg", "listed", "ok", "start", "finish", "open_ended", "gap_after", "warnings")
+    row = F.struct("listed", "ok", "start", "finish", "open_ended", "gap_after", "warnings")
     # A statement's ranges come together to be numbered; a list with an unreadable item gives none.
-    together = read.groupBy("stmt", "text").agg(F.array_sort(F.collect_list(F.struct(F.col("seg").alias("k"), row.alias("r"))), lambda x, y: F.when(x["k"] < y["k"], -1).when(x["k"] > y["k"], 1).otherwise(0)).alias("all"))
-    bad = F.transform(F.filter("all", lambda x: ~x["r"]["ok"] & x["r"]["listed"]), lambda x: x["k"])
-    good = F.filter("all", lambda x: x["r"]["ok"] & ~F.array_contains(bad, x["k"]))
+    together = read.groupBy("stmt", "text").agg(F.sort_array(F.collect_list(F.struct("seg", "nth", row.alias("r")))).alias("all"))
+    bad = F.transform(F.filter("all", lambda x: ~x["r"]["ok"] & x["r"]["listed"]), lambda x: x["seg"])
+    good = F.filter("all", lambda x: x["r"]["ok"] & ~F.array_contains(bad, x["seg"]))
     skipped = F.size("all") > F.size("good")
     found = together.withColumn("good", good).withColumn("skipped", skipped)
     uncertain = F.col("text").rlike(r"^\d{4}\s*\?$")

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from stackline.plans import holdings
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in holdings.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(holdings.ORACLE)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements to records' numbered fields, from end to end."""
+    return holdings.record_links(spark, sf_dir)

@@ -14,7 +14,7 @@ _SEASON = "CASE WHEN m <= 3 THEN 'Spring' WHEN m <= 6 THEN 'Summer' WHEN m <= 9
 SEASON_CODE = "CASE WHEN m <= 3 THEN '21' WHEN m <= 6 THEN '22' WHEN m <= 9 THEN '23' ELSE '24' END"
 
 #: Columns that a statement is made of; valid in both dialects.
-COLUMNS = "l_orderkey AS rec, l_linenumber AS v, CAST(l_quantity AS INT) AS i, year(l_shipdate) AS y, month(l_shipdate) AS m, l_partkey AS p, l_suppkey AS s, substr('ABCDEFGH', CAST((l_orderkey + l_linenumber) % 8 AS INT) + 1, 1) AS family"
+COLUMNS = "l_orderkey AS rec, l_linenumber AS v, CAST(l_quantity AS INT) AS i, year(l_shipdate) AS y, month(l_shipdate) AS m, l_partkey AS p, l_suppkey AS s, l_shipdate AS d, substr('ABCDEFGH', CAST((l_orderkey + l_linenumber) % 8 AS INT) + 1, 1) AS family"
 TEXT = f"""CASE family
     WHEN 'A' THEN concat('v. ', v, ' no. ', i, ' (', {_MONTH}, ' ', y, ')')
     WHEN 'B' THEN concat('v.', v, '(', y, ')-v.', v + 3, '(', y + 5, ')')
