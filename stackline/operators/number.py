@@ -33,33 +33,87 @@ def _agree(a: Column, b: Column) -> Column:
     return ~clash & ((F.size(F.array_except(codes(a), codes(b))) == 0) | (F.size(F.array_except(codes(b), codes(a))) == 0))
 
 
+def existing(records: DataFrame) -> DataFrame:
+    """rec, pos, link, enum_codes and year, month, day codes of each 853 that a record has (rec, fields)."""
+    each = records.select("rec", F.explode("fields").alias("f")).where("f.tag = '853'")
+    subs = F.filter("f.subfields", lambda x: x["code"].rlike("^[a-m]$"))
+    is_chron = lambda x: F.lower(F.trim(x["value"])).isin("(year)", "(month)", "(season)", "(day)")
+    code = lambda *names: F.get(F.filter(subs, lambda x: F.lower(F.trim(x["value"])).isin(*names)), F.lit(0))["code"]
+    eight = F.get(F.filter("f.subfields", lambda x: x["code"] == "8"), F.lit(0))["value"]
+    link = F.when(eight.rlike(r"^\d+"), F.regexp_extract(eight, r"^(\d+)", 1).try_cast("int"))
+    enum = F.array_sort(F.transform(F.filter(subs, lambda x: ~is_chron(x)), lambda x: x["code"]))
+    return each.select("rec", F.col("f.pos").alias("pos"), link.alias("link"), enum.alias("enum_codes"), code("(year)").alias("year"), code("(month)", "(season)").alias("month"), code("(day)").alias("day")).where("link is not null")
+
+
+def conformed(converted: DataFrame, has: DataFrame, order: list[str], enum: tuple[str, ...], chron: dict[str, str]) -> DataFrame:
+    """Statements with ``conform``, the link of the first 853 of their record that declares all they need, and their values in its codes.
+
+    A record has few 853s, so the join by record stays small. enum, chron: the convention that ``f863`` is in.
+    """
+    codes = F.array_distinct(F.flatten(F.transform("f863", lambda f: F.transform(f, lambda x: x["code"]))))
+    depth = F.coalesce(F.array_max(F.transform(codes, lambda c: F.array_position(F.array(*map(F.lit, enum)), c))), F.lit(0))
+    needs = {k: F.array_contains(codes, c) for k, c in chron.items()}
+    covers = F.size("enum_codes") >= depth
+    for k, need in needs.items():
+        covers &= ~need | F.col(f"h.{k}").isNotNull()
+    joined = converted.alias("c").join(has.alias("h"), (F.col("c.rec") == F.col("h.rec")) & (F.size("f863") > 0) & covers, "left")
+    entry = F.struct(F.col("h.pos").alias("p"), F.col("h.link").alias("link"), F.col("h.enum_codes").alias("enum_codes"), *(F.col(f"h.{k}").alias(k) for k in ("year", "month", "day")))
+    keys = ["rec", *order, "stmt"]
+    first = joined.groupBy(*(F.col(f"c.{k}").alias(k) for k in keys)).agg(F.first("c.f853").alias("f853"), F.first("c.f863").alias("f863"), F.min(F.when(F.col("h.link").isNotNull(), entry)).alias("to"))
+
+    def recoded(x):
+        new = F.when(F.lit(False), F.lit(""))
+        for k, c in enumerate(enum):
+            new = new.when(x["code"] == c, F.get("to.enum_codes", F.lit(k)))
+        for k, c in chron.items():
+            new = new.when(x["code"] == c, F.col(f"to.{k}"))
+        return F.struct(new.otherwise(x["code"]).alias("code"), x["value"].alias("value"))
+
+    changed = F.transform("f863", lambda f: F.transform(f, recoded))
+    return first.select(*keys, "f853", F.when(F.col("to").isNotNull(), changed).otherwise(F.col("f863")).alias("f863"), F.col("to.link").alias("conform"))
+
+
 def merged(converted: DataFrame, order: list[str], taken: str | None = None) -> DataFrame:
     """A row for each statement with fields: ``link``, ``run_853`` (its run's fullest), ``first_seq``, ``merged``.
 
-    taken: a column of links that the record has already, which new runs leave out.
+    taken: a column of links that the record has already, which new runs leave out. A column
+    ``conform`` gives a statement its link; it then ends the run before it.
     """
-    entry = F.struct(*order, "stmt", "f853", F.size("f863").alias("n"), "f863")
+    if "conform" not in converted.columns:
+        converted = converted.withColumn("conform", F.lit(None).cast("int"))
+    entry = F.struct(*order, "stmt", "f853", F.size("f863").alias("n"), "f863", "conform")
     keys = ["rec", *([taken] if taken else [])]
     gathered = converted.where(F.size("f863") > 0).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("all"))
-    zero = F.struct(F.lit(0).alias("run"), F.array().cast(_PATTERN).alias("full"), F.lit(1).alias("seq"), F.array().cast("array<struct<run:int,seq:int,subset:boolean>>").alias("out"), F.array().cast(f"array<{_PATTERN}>").alias("fulls"))
+    zero = F.struct(F.lit(0).alias("run"), F.lit(False).alias("open"), F.array().cast(_PATTERN).alias("full"), F.lit(1).alias("seq"), F.array().cast("array<struct<run:int,seq:int,subset:boolean>>").alias("out"), F.array().cast(f"array<{_PATTERN}>").alias("fulls"))
 
     def step(s: Column, x: Column) -> Column:
-        joins = (s["run"] > 0) & _agree(s["full"], x["f853"])
+        own = x["conform"].isNull()
+        joins = own & s["open"] & _agree(s["full"], x["f853"])
         fuller = F.size(x["f853"]) > F.size(s["full"])
-        full = F.when(joins & ~fuller, s["full"]).otherwise(x["f853"])
-        run = F.when(joins, s["run"]).otherwise(s["run"] + 1)
+        full = F.when(~own | (joins & ~fuller), s["full"]).otherwise(x["f853"])
+        run = F.when(joins | ~own, s["run"]).otherwise(s["run"] + 1)
         seq = F.when(joins, s["seq"]).otherwise(F.lit(1))
-        out = F.concat(s["out"], F.array(F.struct(run.alias("run"), seq.alias("seq"), (joins & (F.size(x["f853"]) != F.size(s["full"]))).alias("subset"))))
-        fulls = F.when(joins, F.concat(F.slice(s["fulls"], F.lit(1), F.greatest(F.size(s["fulls"]) - 1, F.lit(0))), F.array(full))).otherwise(F.concat(s["fulls"], F.array(full)))
-        return F.struct(run.alias("run"), full.alias("full"), (seq + x["n"]).alias("seq"), out.alias("out"), fulls.alias("fulls"))
+        subset = joins & (F.size(x["f853"]) != F.size(s["full"]))
+        out = F.concat(s["out"], F.array(F.struct(F.when(own, run).otherwise(0).alias("run"), seq.alias("seq"), subset.alias("subset"))))
+        kept = F.slice(s["fulls"], F.lit(1), F.greatest(F.size(s["fulls"]) - 1, F.lit(0)))
+        fulls = F.when(~own, s["fulls"]).when(joins, F.concat(kept, F.array(full))).otherwise(F.concat(s["fulls"], F.array(full)))
+        return F.struct(run.alias("run"), own.alias("open"), full.alias("full"), F.when(own, seq + x["n"]).otherwise(s["seq"]).alias("seq"), out.alias("out"), fulls.alias("fulls"))
 
     folded = gathered.withColumn("fold", F.aggregate("all", zero, step))
-    used = F.transform(F.filter(F.col(taken), lambda x: x.rlike(r"^\d+$")), lambda x: x.try_cast("int")) if taken else F.array().cast("array<int>")
-    free = F.array_except(F.sequence(F.lit(1), F.col("fold.run") + F.size(used)), used)
-    rows = folded.withColumn("free", free).select("rec", F.posexplode("all").alias("k", "s"), "fold", "free")
+    had = F.transform(F.filter(F.col(taken), lambda x: x.rlike(r"^\d+$")), lambda x: x.try_cast("int")) if taken else F.array().cast("array<int>")
+    used = F.array_distinct(F.concat(had, F.filter(F.transform("all", lambda x: x["conform"]), lambda x: x.isNotNull())))
+    free = F.array_except(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("fold.run") + F.size(used))), used)
+    rows = folded.withColumn("free", free).select("rec", F.posexplode("all").alias("k", "s"), "fold", "free", "all")
     at = F.get("fold.out", F.col("k"))
     subsets = F.exists("fold.out", lambda o: (o["run"] == at["run"]) & o["subset"])
-    return rows.select("rec", *(F.col(f"s.{c}").alias(c) for c in order), F.col("s.stmt").alias("stmt"), F.col("s.f863").alias("f863"), F.get("free", at["run"] - 1).alias("link"), at["seq"].alias("first_seq"), F.get("fold.fulls", at["run"] - 1).alias("run_853"), subsets.alias("merged"))
+    before = F.aggregate(F.filter(F.slice("all", F.lit(1), F.col("k")), lambda x: x["conform"] == F.col("s.conform")), F.lit(1), lambda n, x: n + x["n"])
+    own = F.col("s.conform").isNull()
+    # ``get`` of place -1 is null: a conforming statement has no run
+    return rows.select(
+        "rec", *(F.col(f"s.{c}").alias(c) for c in order), F.col("s.stmt").alias("stmt"), F.col("s.f863").alias("f863"),
+        F.when(own, F.get("free", at["run"] - 1)).otherwise(F.col("s.conform")).alias("link"), F.when(own, at["seq"]).otherwise(before).alias("first_seq"),
+        F.when(own, F.get("fold.fulls", at["run"] - 1)).alias("run_853"), (own & subsets).alias("merged"), (~own).alias("conformed"),
+    )
 
 
 def fields(linked: DataFrame) -> DataFrame:

@@ -27,6 +27,18 @@ def test_runs(spark):
     assert linked(spark, ["v. 7 nos. 1, 3 (1990)", "v. 8 no. 1 (1991)"])[0] == [(1, 1), (1, 3)]
 
 
+def test_conforming_statements(spark):
+    stmts = ["v. 1 (1990)", "v. 2 no. 1 (Feb 1991)", "v. 3 (1992)", "v. 4 (1993)"]
+    df = spark.createDataFrame([(1, k, x) for k, x in enumerate(stmts)], "rec long, pos int, stmt string")
+    done = df.join(convert.convert_statements(parse.parse_distinct(df)), "stmt")
+    sub = lambda *x: [(c, v) for c, v in x]
+    had = spark.createDataFrame([(1, [(0, "853", sub(("8", "3"), ("b", "v."), ("a", "(year)"))), (1, "853", sub(("8", "1"), ("a", "v."), ("b", "no.")))])], "rec long, fields array<struct<pos int,tag string,subfields array<struct<code string,value string>>>>")
+    out = number.conformed(done, number.existing(had), ["pos"], convert.STANDARD.enum, convert.STANDARD.chron)
+    rows = number.merged(out, ["pos"]).orderBy("pos").collect()
+    assert [(r["link"], r["first_seq"], r["conformed"]) for r in rows] == [(3, 1, True), (1, 1, False), (3, 2, True), (3, 3, True)]
+    assert [x["code"] + x["value"] for x in rows[0]["f863"][0]] == ["b1", "a1990"] and rows[0]["run_853"] is None
+
+
 FIELDS = [("001", "x1", None), ("245", "00", [("a", "A title :"), ("b", "é sub /")]), ("022", "  ", [("a", "1234-5678")]), ("852", "8 ", [("b", "Main"), ("c", "Stacks")]), ("866", " 0", [("a", " v.1(1990)-v.4(1993) ")]), ("866", " 0", [("a", "v. 5 no. 1 (1994)"), ("a", "second")])]
 
 
