@@ -52,6 +52,8 @@ BAND, PARTS = 4, 0.6
 GROUP = 20_000
 #: Sets of a block where pairs across components are compared.
 BLOCK = 1_500
+#: Pairs looked at together.
+PAIRS = 200_000
 #: Counters of a set's histogram.
 HISTOGRAM = 512
 #: Rows of ids that are sent to all executors at most (8 bytes each).
@@ -61,7 +63,9 @@ _WORDS = WordHashes()
 
 def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
     """Sorted hashes of a text's distinct shingles."""
-    return np.unique(shingle_hashes(_WORDS.array(lowered_words(text)), size))
+    u = shingle_hashes(_WORDS.array(lowered_words(text)), size)
+    u.sort()
+    return u[np.concatenate(([True], u[1:] != u[:-1]))] if len(u) else u
 
 
 def set_key(u: np.ndarray, seed: int) -> tuple[int, int]:
@@ -99,7 +103,9 @@ def signatures(u: np.ndarray, counts: np.ndarray, threshold: int = THRESHOLD) ->
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         sig = mixed(np.add.reduceat(m, first) + part[first] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tag))
         f = np.minimum.reduceat(f, first)
-        chosen = np.lexsort((sig, f))[: k + 1]
+        # rarest first, then by the signature's upper bits; all that tie with the last are taken
+        order_key = (np.minimum(f, (1 << 20) - 1).astype(np.uint64) << np.uint64(44)) | (sig >> np.uint64(20))
+        chosen = order_key <= np.partition(order_key, k)[k] if len(sig) > k else np.ones(len(sig), bool)
         out.append(sig[chosen])
         expected.append(f[chosen])
         if len(first) <= k:
@@ -174,24 +180,32 @@ def _sketch(parts: DataFrame) -> np.ndarray:
 def _signature_rows(documents: DataFrame, counts, size: int, seed: int, threshold: int) -> DataFrame:
     """(sig, salt, key, rank, n): rank tells how common a set's shingles are."""
 
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+
+    def batch(cols: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(cols, kinds, strict=True)], names=["sig", "salt", "key", "rank", "n"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counts.value
         for b in batches:
-            sig, salt, key, rank, sizes = [], [], [], [], []
+            cols: list[list[np.ndarray]] = [[np.zeros(0, k.to_pandas_dtype())] for k in kinds]
+            rows = 0
             for x in b.column(0):
                 u = shingle_set(x.as_py(), size)
                 s, expected = signatures(u, known, threshold)
                 if not len(s):
                     continue
                 k = set_key(u, seed)[0]
-                sig.append(s.view(np.int64))
-                salt.append(np.int64(k & 0xFFFFFF) % (expected // GROUP + 1) + (expected >= GROUP))
-                key.append(np.full(len(s), k, np.int64))
-                rank.append(np.full(len(s), int(1000 * np.log2(1 + known[slots(u)]).mean()), np.int32))
-                sizes.append(np.full(len(s), len(u), np.int32))
-            cols = [np.concatenate(c) if c else np.zeros(0) for c in (sig, salt, key, rank, sizes)]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds, strict=True)], names=["sig", "salt", "key", "rank", "n"])
+                salt = np.int64(k & 0xFFFFFF) % (expected // GROUP + 1) + (expected >= GROUP)
+                rank = int(1000 * np.log2(1 + known[slots(u)]).mean())
+                found = (s.view(np.int64), salt.astype(np.int32), np.full(len(s), k, np.int64), np.full(len(s), rank, np.int32), np.full(len(s), len(u), np.int32))
+                for col, value in zip(cols, found, strict=True):
+                    col.append(value)
+                rows += len(s)
+                if rows > 100_000:
+                    yield batch(cols)
+                    cols, rows = [[c[0]] for c in cols], 0
+            yield batch(cols)
 
     return documents.select("text").mapInArrow(read, "sig long, salt int, key long, rank int, n int")
 
@@ -258,33 +272,59 @@ def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame, threshold: in
     """Pairs in one group but different components that the bounds allow."""
     of = F.coalesce("component", "key").alias("component")
     rows = staged(groups.join(labels, "key", "left").select("sig", "key", "n", "center", of), "open")
-    several = rows.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size")).where("least <> most")
+    # In a group of two, both were compared. Of groups with the same sets one is enough.
+    same = [F.bit_xor(F.xxhash64("key")), F.sum(F.xxhash64("key", F.lit(1)) % (1 << 40))]
+    several = rows.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size"), *(x.alias(f"same{k}") for k, x in enumerate(same)))
+    several = several.where("least <> most and size > 2").groupBy("size", "same0", "same1").agg(F.min("sig").alias("sig"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     # Each row goes to the pairs of blocks that its own is in.
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     dealt = rows.join(several.select("sig", blocks.alias("blocks")), "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", "key", "n", "center", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets.select("key", "histogram"), "key")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))  # two blocks
-        key, n, center, part, own = (table.column(c).to_numpy() for c in ("key", "n", "center", "component", "own"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        h = np.frombuffer(b"".join(table.column("histogram").to_pylist()), np.uint8).reshape(-1, HISTOGRAM).astype(np.int16)
-        a, b = [], []
-        for x in range(len(key) - 1):
-            y = np.arange(x + 1, len(key))
-            y = y[(part[y] != part[x]) & (100 * n[y] >= threshold * n[x]) & (100 * n[x] >= threshold * n[y])]
-            y = y[(key[y] != center[x]) & (center[y] != key[x])]  # compared before
-            if i != j:
-                y = y[own[y] != own[x]]
-            if len(y):
-                most = n[x] + n[y] - 2 * -(-threshold * (n[x] + n[y]) // (100 + threshold))
-                y = y[np.abs(h[y] - h[x]).sum(1, dtype=np.int32) <= most]
-                a += [min(key[x], k) for k in key[y]]
-                b += [max(key[x], k) for k in key[y]]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return dealt.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "center", "component").join(sets.select("key", "histogram"), "key")
+    names = ["sig", "i", "j", "own", "key", "n", "center", "component", "histogram"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = np.stack([np.asarray(c).astype(np.int64) for c in b.columns[:8]], 1)
+            h = np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint8).reshape(-1, HISTOGRAM)
+            if held is not None:
+                t, h = np.concatenate([held[0], t]), np.concatenate([held[1], h])
+            if not len(t):
+                continue
+            last = (t[:, :3] == t[-1, :3]).all(1).argmax()
+            held = t[last:], h[last:]
+            yield from compared(t[:last], h[:last])
+        if held is not None:
+            yield from compared(*held)
+
+    def compared(t: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(t):
+            return
+        first = np.flatnonzero(np.concatenate(([True], (t[1:, :3] != t[:-1, :3]).any(1))))
+        ends = np.repeat(np.append(first[1:], len(t)), np.diff(np.append(first, len(t))))
+        later = ends - np.arange(len(t)) - 1  # rows of the group after each
+        coarse = h.reshape(len(h), -1, 8).sum(2, dtype=np.int16)
+        total = np.cumsum(later)
+        for rows in np.split(np.arange(len(t)), np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS))):
+            x = np.repeat(rows, later[rows])
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later[rows]) - later[rows], later[rows])
+            a, b = t[x], t[y]
+            fits = (a[:, 7] != b[:, 7]) & (100 * a[:, 5] >= threshold * b[:, 5]) & (100 * b[:, 5] >= threshold * a[:, 5])
+            fits &= (a[:, 4] != b[:, 6]) & (b[:, 4] != a[:, 6])  # else compared before
+            fits &= (a[:, 1] == a[:, 2]) | (a[:, 3] != b[:, 3])  # within a block, or across two
+            x, y = x[fits], y[fits]
+            sizes = t[x, 5] + t[y, 5]
+            most = sizes - 2 * -(-threshold * sizes // (100 + threshold))
+            for bins in (coarse, h):
+                near = np.concatenate([np.abs(bins[x[k : k + 20_000]].astype(np.int16) - bins[y[k : k + 20_000]]).sum(1, dtype=np.int32) for k in range(0, len(x), 20_000)] or [most])
+                keep = near <= most
+                x, y, most = x[keep], y[keep], most[keep]
+            found = np.unique(np.sort(np.stack([t[x, 4], t[y, 4]], 1), 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    sent = dealt.select(names).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return sent.mapInArrow(read, "a long, b long").distinct()
 
 
 def _kept_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -329,13 +369,22 @@ def classes(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD,
 def _set_rows(documents: DataFrame, size: int, seed: int) -> DataFrame:
     """(key, set, histogram) of each document; repeated documents once."""
 
+    def batch(found: dict[int, np.ndarray]) -> pa.RecordBatch:
+        cols = [pa.array(found, pa.int64()), pa.array([u.tobytes() for u in found.values()], pa.binary()), pa.array([histogram(u).tobytes() for u in found.values()], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["key", "set", "histogram"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = {}
+            found: dict[int, np.ndarray] = {}
+            held = 0
             for x in b.column(0):
                 u = shingle_set(x.as_py(), size)
                 found[set_key(u, seed)[0]] = u
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([u.tobytes() for u in found.values()], pa.binary()), pa.array([histogram(u).tobytes() for u in found.values()], pa.binary())], names=["key", "set", "histogram"])
+                held += len(u)
+                if held > 500_000:
+                    yield batch(found)
+                    found, held = {}, 0
+            yield batch(found)
 
     # A document id that is there twice may bring another text along; a set is taken once.
     return documents.select("text").mapInArrow(read, "key long, set binary, histogram binary").dropDuplicates(["key"])
