@@ -53,7 +53,7 @@ def _word_length(d: Text) -> bool:
 
 def _dup_lines(d: Text) -> bool:
     lines = sum(1 for x in d.text.split("\n") if x.strip(SPACES))
-    return 10 * d.n_dup_lines > 3 * lines
+    return 2 * d.n_dup_lines > lines
 
 
 def _shouting(d: Text) -> bool:

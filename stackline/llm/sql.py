@@ -18,7 +18,7 @@ f AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_c
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
     CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-    NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars NOT BETWEEN 2 * n_words AND 15 * n_words OR 10 * n_dup_lines > 3 * lines
+    NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars NOT BETWEEN 2 * n_words AND 15 * n_words OR 2 * n_dup_lines > lines
         OR 2 * shouted > n_words OR 3 * marks > n_words OR 4 * most > n_words) AS kept
 FROM b"""
 
