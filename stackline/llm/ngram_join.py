@@ -28,7 +28,7 @@ of the set: should keys of different sets ever be equal, which this shows, anoth
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -268,7 +268,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 
-def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _across(groups: DataFrame, labels: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
     """Pairs in one group but different components that the bounds allow."""
     of = F.coalesce("component", "key").alias("component")
     rows = staged(groups.join(labels, "key", "left").select("sig", "key", "n", "center", of), "open")
@@ -280,7 +280,9 @@ def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame, threshold: in
     # Each row goes to the pairs of blocks that its own is in.
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     dealt = rows.join(several.select("sig", blocks.alias("blocks")), "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "center", "component").join(sets.select("key", "histogram"), "key")
+    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "center", "component")
+    dealt = staged(dealt, "dealt")
+    dealt = dealt.join(fetch(dealt.select("key")).select("key", "histogram"), "key")
     names = ["sig", "i", "j", "own", "key", "n", "center", "component", "histogram"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,20 +347,31 @@ def classes(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD,
         return classes(documents, size, threshold, seed + 1)
     counts = spark.sparkContext.broadcast(_sketch(read.where("slice is not null").select("slice", "part", "counts")))
     groups = staged(_groups(_signature_rows(with_id, counts, size, seed, threshold)), "groups")
-    wanted = groups.select("key").distinct().join(found, "key")
-    sets = staged(_set_rows(_kept_texts(with_id, staged(wanted.select(F.col("rep").alias("doc_id")), "ids")), size, seed), "linkable")
+
+    def fetch(keys: DataFrame, whole: bool = False) -> DataFrame:
+        """Histograms, or whole sets, of these classes only, from their texts."""
+        ids = staged(keys.distinct().join(found, "key").select(F.col("rep").alias("doc_id")), "ids")
+        return _set_rows(_kept_texts(with_id, ids), size, seed, whole)
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        keys = candidates.select(F.col("a").alias("key")).union(candidates.select("b"))
+        sets = fetch(keys, True)
+        out = staged(_verified(candidates, sets, threshold), "links")
+        removed(spark, sets)
+        return out
+
     # A salted group's centers are compared with the first of them by rank.
     top = groups.where("salt > 0 and key = center").groupBy("sig").agg(F.max(F.struct("rank", "key", "n")).alias("top"))
     over = groups.where("salt > 0 and key = center").join(top, "sig").select("key", "n", F.col("top.key").alias("center"), F.col("top.n").alias("center_n"))
     pairs = groups.select("key", "n", "center", "center_n").union(over).where(F.col("key") != F.col("center")).where(_fits("n", "center_n", threshold))
     pairs = staged(pairs.select(F.least("key", "center").alias("a"), F.greatest("key", "center").alias("b")).distinct(), "pairs")
-    linked = staged(_verified(pairs, sets, threshold), "links")
+    linked = verified(pairs)
     labels = components(linked)
-    across = staged(_across(groups, labels, sets, threshold), "across")
-    more = staged(_verified(across, sets, threshold), "links")
+    across = staged(_across(groups, labels, fetch, threshold), "across")
+    more = verified(across)
     if more.limit(1).count():
         labels = components(linked.union(more))
-    for table in (groups, sets, pairs, across):
+    for table in (groups, pairs, across):
         removed(spark, table)
     first = labels.join(found, "key").groupBy("component").agg(F.min("rep").alias("component_id"))
     joined = labels.join(first, "component").select("key", "component_id")
@@ -366,12 +379,12 @@ def classes(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD,
     return rows, staged(out, "components")
 
 
-def _set_rows(documents: DataFrame, size: int, seed: int) -> DataFrame:
-    """(key, set, histogram) of each document; repeated documents once."""
+def _set_rows(documents: DataFrame, size: int, seed: int, whole: bool) -> DataFrame:
+    """(key, set or histogram) of each document; repeated documents once."""
 
     def batch(found: dict[int, np.ndarray]) -> pa.RecordBatch:
-        cols = [pa.array(found, pa.int64()), pa.array([u.tobytes() for u in found.values()], pa.binary()), pa.array([histogram(u).tobytes() for u in found.values()], pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["key", "set", "histogram"])
+        data = [(u if whole else histogram(u)).tobytes() for u in found.values()]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(data, pa.binary())], names=["key", name])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -386,8 +399,12 @@ def _set_rows(documents: DataFrame, size: int, seed: int) -> DataFrame:
                     found, held = {}, 0
             yield batch(found)
 
-    # A document id that is there twice may bring another text along; a set is taken once.
-    return documents.select("text").mapInArrow(read, "key long, set binary, histogram binary").dropDuplicates(["key"])
+    name = "set" if whole else "histogram"
+    out = staged(documents.select("text").mapInArrow(read, f"key long, {name} binary"), "linkable")
+    # A document id that is there twice brings its set twice: rare, and seen from the keys alone.
+    if out.groupBy("key").count().where("count > 1").limit(1).count():
+        out = staged(out.dropDuplicates(["key"]), "linkable")
+    return out
 
 
 def document_components(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
