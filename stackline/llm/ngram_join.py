@@ -16,6 +16,9 @@ shingles are most common; links so found make components. Where a group still ho
 components, the pairs across them are compared too, in blocks of bounded size, behind an
 exact bound from histograms of the sets. So no link between components is lost.
 
+Links are counted where asked for: as no link leaves a component, all pairs of its classes are
+compared, in blocks of bounded size, and only the sums by class leave a task.
+
 Defined cases: a null or empty text, or one without words, has an empty set and links with
 nothing; fewer words than a shingle give one shingle; repeated rows are of one class, and so
 of one component; a null doc_id takes part in no link and has a null component; an empty table gives
@@ -52,6 +55,8 @@ BAND, PARTS = 4, 0.6
 GROUP = 20_000
 #: Sets of a block where pairs across components are compared.
 BLOCK = 1_500
+#: Sets, and their shingles together, of a block where a component's links are counted.
+LINK_BLOCK, LINK_SHINGLES = 1_000, 1_000_000
 #: Pairs looked at together.
 PAIRS = 200_000
 #: Counters of a set's histogram.
@@ -334,8 +339,8 @@ def _kept_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return documents.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
 
 
-def classes(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Documents with their class (doc_id, n, key), and classes with their component (key, rep, component_id)."""
+def classes(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
+    """Documents with their class (doc_id, n, key), classes with their component (key, rep, component_id), and the seed of the keys."""
     spark: SparkSession = documents.sparkSession
     documents = documents.select("doc_id", "text")
     with_id = documents.where("doc_id is not null")
@@ -376,7 +381,71 @@ def classes(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD,
     first = labels.join(found, "key").groupBy("component").agg(F.min("rep").alias("component_id"))
     joined = labels.join(first, "component").select("key", "component_id")
     out = found.where("n > 0").join(joined, "key", "left").select("key", "rep", F.coalesce("component_id", "rep").alias("component_id"))
-    return rows, staged(out, "components")
+    return rows, staged(out, "components"), seed
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Shingles in common of each set in ``a`` and each in ``b``; exact."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    # Only shingles of more than one set count, a slice of them at a time.
+    every, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    shared = np.bincount(at, minlength=len(every)) > 1
+    place = (np.cumsum(shared) - 1)[at]
+    row = np.repeat(np.arange(len(a) + len(b)), [len(u) for u in (*a, *b)])[shared[at]]
+    place = place[shared[at]]
+    order = np.argsort(place)
+    row, place = row[order], place[order]
+    width = 4096
+    for start in range(0, int(shared.sum()), width):
+        low, high = np.searchsorted(place, [start, start + width])
+        x = np.zeros((len(a) + len(b), min(width, int(shared.sum()) - start)), np.float32)
+        x[row[low:high], place[low:high] - start] = 1
+        out += x[: len(a)] @ x[len(a) :].T
+    return out.astype(np.int64)
+
+
+def _link_counts(rows: DataFrame, found: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
+    """(key, n_links): for each class, the documents that a document of it links with, itself not counted."""
+    copies = rows.where("doc_id is not null and n > 0").groupBy("key").agg(F.countDistinct("doc_id").alias("copies"), F.max("n").alias("n"))
+    members = staged(found.select("key", "rep", F.xxhash64("component_id").alias("component")).join(copies, "key"), "members")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / LINK_BLOCK, F.sum("n") / LINK_SHINGLES)).cast("int").alias("blocks")
+    several = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), blocks).where("size > 1")
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    dealt = staged(members.join(several, "component").withColumn("own", own), "dealt")
+    texts = sets(dealt.select(F.col("rep").alias("doc_id")))
+    # Each set goes to the pairs of blocks that its own is in.
+    dealt = dealt.join(texts, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "copies", "set")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for b in batches:
+            t = np.stack([np.asarray(c).astype(np.int64) for c in b.columns[:6]], 1)
+            for x, data in zip(t, b.column(6), strict=True):
+                if group is not None and (x[:3] != group).any():
+                    yield counted(held)
+                    held = []
+                group = x[:3]
+                held.append((x, np.frombuffer(data.as_py(), np.uint64)))
+        if held:
+            yield counted(held)
+
+    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        t, u = np.stack([x for x, _ in held]), [s for _, s in held]
+        n = np.array([len(x) for x in u])
+        one, other = np.flatnonzero(t[:, 3] == t[:, 1]), np.flatnonzero(t[:, 3] == t[:, 2])
+        common = common_counts([u[k] for k in one], [u[k] for k in other]) if len(one) and len(other) else np.zeros((len(one), len(other)), np.int64)
+        linked = 100 * common >= threshold * (n[one][:, None] + n[other][None] - common)
+        linked &= one[:, None] != other[None]
+        total = np.zeros(len(t), np.int64)
+        total[one] += linked @ t[other, 5]
+        if t[0, 1] != t[0, 2]:
+            total[other] += t[one, 5] @ linked
+        return pa.RecordBatch.from_arrays([pa.array(t[:, 4]), pa.array(total)], names=["key", "more"])
+
+    sent = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    more = sent.mapInArrow(read, "key long, more long").groupBy("key").agg(F.sum("more").alias("more"))
+    return members.join(more, "key", "left").select("key", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
 
 
 def _set_rows(documents: DataFrame, size: int, seed: int, whole: bool) -> DataFrame:
@@ -407,12 +476,23 @@ def _set_rows(documents: DataFrame, size: int, seed: int, whole: bool) -> DataFr
     return out
 
 
-def document_components(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of each document."""
-    rows, found = classes(documents, size, threshold)
+def document_components(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of each document.
+
+    With ``links`` also n_links, the other documents that it links with; repeated rows of a text are one.
+    """
+    rows, found, seed = classes(documents, size, threshold)
+    counts = []
+    if links:
+
+        def sets(ids: DataFrame) -> DataFrame:
+            return _set_rows(_kept_texts(documents.select("doc_id", "text").where("doc_id is not null"), staged(ids.distinct(), "ids")), size, seed, True)
+
+        found = staged(found.join(_link_counts(rows, found, sets, threshold), "key", "left"), "counted")
+        counts = [F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("n_links")).otherwise(F.lit(0)).alias("n_links")]
     # Both sides are scans with an exchange, so the adaptive join splits the rows of a frequent class.
     joined = rows.join(found, "key", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *counts)
 
 
 def keep_one(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:

@@ -37,6 +37,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.document_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join with each document's number of links, which the SQL of ``op5_ngram_join`` has no column for."""
+    return ngram_join.document_components(_table(spark, sf_dir, "documents"), links=True)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -61,7 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_secret_scan, op4_warc, op5_ngram_join, op6_best_fit_packing, op7_sharding, op8_html_text, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_secret_scan, op4_warc, op5_ngram_join, op5_ngram_links, op6_best_fit_packing, op7_sharding, op8_html_text, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -66,6 +66,25 @@ def test_salted_groups_and_blocks_lose_nothing(make, rows, monkeypatch):
     assert out == brute(rows)
 
 
+def link_counts(rows):
+    """For each row, the ids of other rows that it links with, counted."""
+    sets = [(i, shingles(t)) for i, t in rows]
+    return {i: len({j for j, b in sets if j != i and a and b and 100 * len(a & b) >= 75 * len(a | b)}) for i, a in sets}
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_links_are_counted_within_components(make, rows, monkeypatch, block):
+    monkeypatch.setattr(g, "LINK_BLOCK", block)
+    rng = random.Random(8)
+    base = changed(" ".join(f"x{k}" for k in range(150)), 1, rng)
+    more = [(1000 + k, changed(base, 1 + k % 3, rng)) for k in range(25)]  # near copies of one text, most of them linked with each other
+    more += [(1100 + k, more[0][1]) for k in range(3)]
+    out = {r["doc_id"]: r for r in g.document_components(make([*rows, *more, more[1]]), links=True).collect()}
+    want = link_counts([*rows, *more])
+    assert {i: r["n_links"] for i, r in out.items()} == want and max(want.values()) > 20
+    assert sorted((i, r["n_shingles"], r["component_id"]) for i, r in out.items()) == brute([*rows, *more])
+
+
 def test_one_of_each_group_stays(make, rows):
     want = {i for i, _, c in brute(rows) if i == c}
     docs = make([*rows, rows[5], *rows[:3]], "__x")
