@@ -73,9 +73,28 @@ def nested(data: bytes, depth: int = 8) -> int:
     return count
 
 
+def elements(data: bytes) -> list[tuple[int, bytes]]:
+    """Tags and contents of the elements of an encoding that ``nested`` takes."""
+    at, out = 0, []
+    while at < len(data):
+        tag, size, at = data[at], data[at + 1], at + 2
+        if size & 0x80:
+            more = size & 0x7F
+            size, at = int.from_bytes(data[at : at + more], "big"), at + more
+        out.append((tag, data[at : at + size]))
+        at += size
+    return out
+
+
 def is_der_key(data: bytes | None) -> bool:
-    """One sequence around an integer and more, with all lengths exact."""
-    return bool(data) and len(data) >= 24 and data[0] == 0x30 and 0x02 in data[2:6] and nested(data) >= 3
+    """A sequence around an integer and more (PKCS#1, PKCS#8, SEC1), or around an algorithm with parameters and an
+    octet string (encrypted PKCS#8, whose schemes all have parameters; a digest has none), with all lengths exact."""
+    if not data or len(data) < 24 or data[0] != 0x30 or nested(data) < 3:
+        return False
+    inner = elements(elements(data)[0][1])
+    if inner[0][0] == 0x02:
+        return True
+    return [tag for tag, _ in inner] == [0x30, 0x04] and [tag for tag, _ in elements(inner[0][1])] == [0x06, 0x30]
 
 
 def is_ssh_blob(data: bytes | None) -> bool:
@@ -110,7 +129,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     """Candidates whose decoded form has the structure of a secret."""
     out = []
-    if "." in text and "eyJ" in text:
+    if "." in text:
         out += [(m.start(), "token", m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
     if "-----BEGIN" in text:
         out += [(m.start(), "key", m.end()) for m in _ARMOUR.finditer(text) if is_der_key(data := decoded(m[2])) or is_ssh_blob(data)]
@@ -122,7 +141,7 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
             data = read(m[0])
             if is_der_key(data):
                 out.append((m.start(), "der", m.end()))
-            elif data and data[:4] in (b"\x00\x00\x00\x07", b"\x00\x00\x00\x0b", b"\x00\x00\x00\x13", b"open") and is_ssh_blob(data):
+            elif is_ssh_blob(data):
                 out.append((m.start(), "sshkey", m.end()))
     return out
 

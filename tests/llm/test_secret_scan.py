@@ -55,6 +55,24 @@ def test_structure_confirms_or_refuses():
     assert ("é " + TOKEN)[start:end] == TOKEN
 
 
+def test_structure_alone_decides():
+    found = lambda text: [k for _, k, _ in s.ordered(s.confirmed_spans(text))]
+    oid = der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d")
+    encrypted = der(0x30, der(0x30, oid + der(0x30, der(4, b"s" * 40) + der(4, b"i" * 20))) + der(4, b"x" * 1200))
+    assert 2 not in encrypted[2:6]
+    assert found("-----BEGIN ENCRYPTED PRIVATE KEY-----\n" + b64(encrypted, False) + "\n-----END ENCRYPTED PRIVATE KEY-----") == ["key"]
+    assert found("k " + b64(encrypted, False) + " ") == ["der"] and found(encrypted.hex()) == ["der"]
+    # A certificate of 512 to 767 bytes, a public key and a digest are no private keys.
+    algorithm = der(0x30, oid + der(5, b""))
+    certificate = der(0x30, der(0x30, der(0xA0, der(2, b"\x02")) + der(2, b"\x01" * 8) + algorithm + der(3, b"p" * 300)) + algorithm + der(3, b"s" * 256))
+    assert certificate[:3] == b"\x30\x82\x02"
+    assert found(b64(certificate, False)) == [] and found(b64(der(0x30, algorithm + der(3, b"p" * 300)), False)) == [] and found(b64(der(0x30, algorithm + der(4, b"h" * 32)), False)) == []
+    token = ".".join((b64(b'{ "alg": "HS256"}'), b64(b'{ "sub": 1}'), b64(b"s" * 32)))
+    assert "eyJ" not in token and found("a " + token + ".") == ["token"]
+    blob = b"".join(struct.pack(">I", len(x)) + x for x in (b"sk-ssh-ed25519@openssh.com", b"k" * 32, b"ssh:"))
+    assert found("x " + b64(blob, False)) == ["sshkey"]
+
+
 def test_redaction(make):
     docs = make([(1, "a password=hunter22 b"), (2, "clean"), (3, None)], "spans")
     out = {r["doc_id"]: r for r in s.redact(docs).collect()}
