@@ -3,9 +3,10 @@
 Lengths are whole numbers up to the sequence length, so however many documents there are,
 their histogram has at most that many rows. It alone reaches the driver, where bin
 completion runs on it: around the longest open length it enumerates fillings of the rest,
-skips those that another filling dominates and branches that can't beat the best waste so
-far, and starts from the best-fit filling as incumbent. A filling is used as often as its
-lengths last. Pieces then find their place by their rank among equal lengths.
+skips those that another filling dominates, and starts from the best-fit filling as incumbent.
+Where that search ends with waste, an exact subset sum gives the filling with the least. A
+filling is used as often as its lengths last, and no choice is taken back; of three such plans
+that with the fewest sequences is used. Pieces then find their place by their rank among equal lengths.
 
 Defined cases: a null or empty text is the end token alone; equal lengths are ranked by
 document, then piece; repeated rows are packed each; an empty table gives no piece; other
@@ -30,7 +31,7 @@ from stackline.llm.tokens import ChunkTokens
 
 SEQUENCE = 2048
 END_ID = 0
-#: Branches tried for one filling before the best so far is used.
+#: Branches tried for one filling before the exact subset sum decides.
 BRANCHES = 2000
 
 
@@ -57,8 +58,29 @@ def pieces(documents: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: i
     return documents.select(id_col, text_col).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def filling(room: int, left: dict[int, int], lengths: list[int], branches: int = BRANCHES) -> list[int]:
-    """Lengths, longest first, that fill ``room`` with the least waste found; each at most ``left`` times."""
+def fullest(room: int, left: dict[int, int], lengths: list[int]) -> list[int]:
+    """Lengths, longest first, with the greatest sum up to ``room``, of few short ones; exact."""
+    whole = (1 << (room + 1)) - 1
+    reach = [1]  # bit s: sums s of the lengths so far
+    for n in lengths:
+        sums, copies, step = reach[-1], min(left[n], room // n), 1
+        while copies > 0:
+            step = min(step, copies)
+            sums |= (sums << (n * step)) & whole
+            copies, step = copies - step, 2 * step
+        reach.append(sums)
+        if sums >> room:
+            break
+    total, out = reach[-1].bit_length() - 1, []
+    for n, before in zip(reversed(lengths[: len(reach) - 1]), reversed(reach[:-1]), strict=True):
+        while not before >> total & 1:
+            out.append(n)
+            total -= n
+    return out[::-1]
+
+
+def filling(room: int, left: dict[int, int], lengths: list[int], branches: int = BRANCHES, exact: bool = True) -> list[int]:
+    """Lengths, longest first, that fill ``room``, each at most ``left`` times; with ``exact`` no others waste less."""
     best: list[int] = []
     rest = room
     for n in lengths:  # incumbent: what fits best, again and again
@@ -84,14 +106,15 @@ def filling(room: int, left: dict[int, int], lengths: list[int], branches: int =
             if n <= free and left[n] > chosen.count(n):
                 nexts.append((i, free - n, [*chosen, n]))
             i += 1
-        exact = left.get(free, 0) > chosen.count(free)
-        if exact:
+        if left.get(free, 0) > chosen.count(free):
             return [*chosen, free]
         stack += reversed(nexts)
+    if exact and waste and sum(full := fullest(room, left, lengths)) > room - waste:
+        return full
     return best
 
 
-def plan(histogram: dict[int, int], size: int = SEQUENCE, branches: int = BRANCHES) -> list[tuple[list[int], int]]:
+def plan(histogram: dict[int, int], size: int = SEQUENCE, branches: int = BRANCHES, exact: bool = True) -> list[tuple[list[int], int]]:
     """(lengths in one sequence, number of such sequences) for all pieces of a histogram of lengths."""
     left = {n: c for n, c in histogram.items() if c > 0}
     out = []
@@ -99,7 +122,7 @@ def plan(histogram: dict[int, int], size: int = SEQUENCE, branches: int = BRANCH
         longest = max(left)
         left[longest] -= 1
         lengths = [n for n in sorted(left, reverse=True) if left[n] and n <= size - longest]
-        chosen = [longest, *filling(size - longest, left, lengths, branches)]
+        chosen = [longest, *filling(size - longest, left, lengths, branches, exact)]
         left[longest] += 1
         uses = {n: chosen.count(n) for n in chosen}
         times = min(left[n] // k for n, k in uses.items())
@@ -131,7 +154,7 @@ def pack(pieces_table: DataFrame, size: int = SEQUENCE, branches: int = BRANCHES
     spark = pieces_table.sparkSession
     # At most ``size`` rows, whatever the input.
     histogram = {r["length"]: r["n"] for r in pieces_table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    planned = min((plan(histogram, size, b) for b in (branches, 0)), key=lambda x: sum(times for _, times in x))
+    planned = min((plan(histogram, size, b, exact) for b, exact in ((branches, True), (branches, False), (0, False))), key=lambda x: sum(times for _, times in x))
     runs = spark.sparkContext.broadcast(slots(planned))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -77,6 +77,21 @@ def test_plan_uses_every_length_and_is_near_the_bound():
             assert sum(t for _, t in planned) <= bound * 1.01 + 1
 
 
+def test_no_other_filling_wastes_less():
+    # Only the one odd length fills the room, and it isn't among the longest.
+    left = {**{n: 1 for n in range(400, 1600, 2)}, 401: 1}
+    assert sum(p.filling(2047, left, sorted(left, reverse=True))) == 2047
+    rng = random.Random(6)
+    for _ in range(150):
+        left = Counter(rng.choice([rng.randint(3, 60), 2 * rng.randint(50, 300)]) for _ in range(rng.randint(1, 40)))
+        room, sums = rng.randint(50, 1500), {0}
+        for n in left.elements():
+            sums |= {x + n for x in sums if x + n <= room}
+        lengths = [n for n in sorted(left, reverse=True) if n <= room]
+        for chosen in (p.filling(room, left, lengths, 5), p.fullest(room, left, lengths)):
+            assert sum(chosen) == max(sums) and not Counter(chosen) - left and chosen == sorted(chosen, reverse=True)
+
+
 def test_section_tokens(make, prose, whole):
     texts = [None, "", "a\nb", "one\n\n two  three\n", "x\n\n\ny", prose(4000, 2).replace(".", ".\n"), "é\n日本\n"]
     out = tc.section_tokens(make([*enumerate(texts), (2, "a\nb")], "tokens"), TOKENIZER).collect()
