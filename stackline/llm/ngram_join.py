@@ -183,7 +183,7 @@ def _sketch(parts: DataFrame) -> np.ndarray:
 
 
 def _signature_rows(documents: DataFrame, counts, size: int, seed: int, threshold: int) -> DataFrame:
-    """(sig, salt, key, rank, n): rank tells how common a set's shingles are."""
+    """(sig, salt, key, rank, n), once for each class in a task: rank tells how common a set's shingles are."""
 
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 
@@ -191,16 +191,19 @@ def _signature_rows(documents: DataFrame, counts, size: int, seed: int, threshol
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(cols, kinds, strict=True)], names=["sig", "salt", "key", "rank", "n"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = counts.value
+        known, seen = counts.value, set()
         for b in batches:
             cols: list[list[np.ndarray]] = [[np.zeros(0, k.to_pandas_dtype())] for k in kinds]
             rows = 0
             for x in b.column(0):
                 u = shingle_set(x.as_py(), size)
+                k = set_key(u, seed)[0]
+                if k in seen:
+                    continue
+                seen.add(k)
                 s, expected = signatures(u, known, threshold)
                 if not len(s):
                     continue
-                k = set_key(u, seed)[0]
                 salt = np.int64(k & 0xFFFFFF) % (expected // GROUP + 1) + (expected >= GROUP)
                 rank = int(1000 * np.log2(1 + known[slots(u)]).mean())
                 found = (s.view(np.int64), salt.astype(np.int32), np.full(len(s), k, np.int64), np.full(len(s), rank, np.int32), np.full(len(s), len(u), np.int32))
@@ -351,7 +354,10 @@ def classes(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD,
     if found.where("c <> d").limit(1).count():
         return classes(documents, size, threshold, seed + 1)
     counts = spark.sparkContext.broadcast(_sketch(read.where("slice is not null").select("slice", "part", "counts")))
-    groups = staged(_groups(_signature_rows(with_id, counts, size, seed, threshold)), "groups")
+    # Copies give no signatures of their own; beyond SENT_IDS classes only those of one task are left out, as texts would have to be shuffled.
+    reps = staged(found.where("n > 0").select(F.col("rep").alias("doc_id")).distinct(), "reps")
+    signed = _kept_texts(with_id, reps) if reps.count() <= SENT_IDS else with_id
+    groups = staged(_groups(_signature_rows(signed, counts, size, seed, threshold)), "groups")
 
     def fetch(keys: DataFrame, whole: bool = False) -> DataFrame:
         """Histograms, or whole sets, of these classes only, from their texts."""

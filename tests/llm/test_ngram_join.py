@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stackline.llm import ngram_join as g
 from stackline.llm.components import components
@@ -66,6 +67,23 @@ def test_salted_groups_and_blocks_lose_nothing(make, rows, monkeypatch):
     assert out == brute(rows)
 
 
+def noted_signatures(monkeypatch, what):
+    """A list that gets ``what`` of each table of signatures."""
+    seen, whole = [], g._groups
+    monkeypatch.setattr(g, "_groups", lambda x: seen.append(x.agg(what).first()[0]) or whole(x))
+    return seen
+
+
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_copies_give_signatures_once(make, monkeypatch, sent):
+    monkeypatch.setattr(g, "SENT_IDS", sent)
+    seen = noted_signatures(monkeypatch, F.count(F.lit(1)) / F.countDistinct("sig", "key"))
+    text = " ".join(f"x{k}" for k in range(60))
+    copies = [(k, text) for k in range(200)] + [(200 + k, changed(text, 1, random.Random(k))) for k in range(3)]
+    assert sorted(map(tuple, g.document_components(make(copies)).collect())) == brute(copies)
+    assert seen[0] == 1 if sent else seen[0] <= 3  # make() deals rows over three tasks
+
+
 def link_counts(rows):
     """For each row, the ids of other rows that it links with, counted."""
     sets = [(i, shingles(t)) for i, t in rows]
