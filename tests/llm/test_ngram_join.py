@@ -84,6 +84,14 @@ def test_copies_give_signatures_once(make, monkeypatch, sent):
     assert seen[0] == 1 if sent else seen[0] <= 3  # make() deals rows over three tasks
 
 
+def test_groups_dealt_by_salt_lose_nothing(make, rows, monkeypatch):
+    monkeypatch.setattr(g, "GROUP", 5)
+    monkeypatch.setattr(g, "BLOCK", 3)
+    seen = noted_signatures(monkeypatch, F.max("salt"))
+    assert sorted(map(tuple, g.document_components(make(rows)).collect())) == brute(rows)
+    assert seen[0] > 0
+
+
 def link_counts(rows):
     """For each row, the ids of other rows that it links with, counted."""
     sets = [(i, shingles(t)) for i, t in rows]
