@@ -2,8 +2,10 @@
 
 Three base kinds are reported wherever their pattern fits. Further candidates (base64 and
 hex runs, three-part tokens, armoured and one-line keys) are decoded first and reported
-only if what they hold parses: nested lengths of a key's encoding that fill it exactly,
-length-prefixed key fields, or a signed token's JSON header.
+only if what they hold parses: the fields of a private key at their places, with nested
+lengths that fill it exactly; a length-prefixed private key file; an encrypted key's headers
+and whole cipher blocks; or a signed token's JSON header and payload. Certificates, signatures,
+digests and public keys have other fields and aren't reported.
 
 Spans are in code points, end exclusive; a base span is its whole match. Defined cases: a
 null or empty text has no spans; equal starts are ordered by the order of KINDS; repeated
@@ -32,11 +34,18 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]{16,}?)-----END \1PRIVATE KEY-----", re.ASCII)
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{44,}={0,2}(?![A-Za-z0-9+/=])")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----((?:[ \t]*\r?\n[A-Za-z0-9-]+: [^\r\n]*)*)([A-Za-z0-9+/=\s]{16,}?)-----END \1PRIVATE KEY-----", re.ASCII)
+_CIPHER = re.compile(r"Proc-Type: *4,ENCRYPTED\s+DEK-Info: *([A-Z0-9-]+),([0-9A-Fa-f]+)", re.ASCII)
+#: Runs of either alphabet; a sign of equality before a run doesn't belong to it.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{44,}={0,2}(?![A-Za-z0-9+/=])")
+_BASE64_URL = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{44,}={0,2}(?![A-Za-z0-9_=-])")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 _OPENSSH = b"openssh-key-v1\x00"
 
+INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+#: Encoded object identifiers (PKCS#5 and PKCS#12 schemes) that start an encrypted key's algorithm.
+_ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
 
 def decoded(text: str) -> bytes | None:
     """Base64 of either alphabet, with or without its padding; None if it isn't."""
@@ -49,75 +58,103 @@ def decoded(text: str) -> bytes | None:
         return None
 
 
-def nested(data: bytes, depth: int = 8) -> int:
-    """Elements of a tag-length-value encoding whose lengths fill ``data`` at every level; 0 if they don't."""
-    at, count = 0, 0
+def elements(data: bytes) -> list[tuple[int, bytes]] | None:
+    """Tags and contents of the elements of a tag-length-value encoding that fill ``data``; None if they don't."""
+    at, out = 0, []
     while at < len(data):
         if at + 2 > len(data):
-            return 0
-        tag, size = data[at], data[at + 1]
-        at += 2
+            return None
+        tag, size, at = data[at], data[at + 1], at + 2
         if size & 0x80:
             more = size & 0x7F
             if not 1 <= more <= 4 or at + more > len(data):
-                return 0
+                return None
             size, at = int.from_bytes(data[at : at + more], "big"), at + more
         if at + size > len(data):
-            return 0
-        if tag & 0x20:
-            inner = nested(data[at : at + size], depth - 1) if depth and size else 0
-            if not inner:
-                return 0
-            count += inner
-        at, count = at + size, count + 1
-    return count
-
-
-def elements(data: bytes) -> list[tuple[int, bytes]]:
-    """Tags and contents of the elements of an encoding that ``nested`` takes."""
-    at, out = 0, []
-    while at < len(data):
-        tag, size, at = data[at], data[at + 1], at + 2
-        if size & 0x80:
-            more = size & 0x7F
-            size, at = int.from_bytes(data[at : at + more], "big"), at + more
+            return None
         out.append((tag, data[at : at + size]))
         at += size
     return out
 
 
+def nested(data: bytes, depth: int = 12) -> bool:
+    """Whether lengths fill ``data`` at every level of constructed elements."""
+    found = elements(data)
+    return bool(found) and all(not tag & 0x20 or not inner or (depth > 0 and nested(inner, depth - 1)) for tag, inner in found)
+
+
 def is_der_key(data: bytes | None) -> bool:
-    """A sequence around an integer and more (PKCS#1, PKCS#8, SEC1), or around an algorithm with parameters and an
-    octet string (encrypted PKCS#8, whose schemes all have parameters; a digest has none), with all lengths exact."""
-    if not data or len(data) < 24 or data[0] != 0x30 or nested(data) < 3:
+    """One sequence with the fields of a private key, each at its place, and all lengths exact.
+
+    PKCS#1: version and eight numbers or more. DSA: version and five numbers. PKCS#8: version, an
+    algorithm that starts with an identifier, octets. SEC1: version 1 and octets, then tagged
+    parts only. Encrypted PKCS#8: an encryption scheme with parameters, and octets.
+    """
+    if not data or data[0] != SEQUENCE or not nested(data):
+        return False
+    outer = elements(data)
+    if len(outer) != 1:
+        return False
+    fields = elements(outer[0][1])
+    tags = [tag for tag, _ in fields]
+    if tags == [SEQUENCE, OCTETS]:
+        scheme = elements(fields[0][1])
+        return [tag for tag, _ in scheme] == [OBJECT, SEQUENCE] and scheme[0][1].startswith(_ENCRYPTION) and len(fields[1][1]) >= 16
+    if len(fields) < 2 or tags[0] != INTEGER or fields[0][1] not in (b"\x00", b"\x01"):
         return False
-    inner = elements(elements(data)[0][1])
-    if inner[0][0] == 0x02:
+    numbers = next((k for k, tag in enumerate(tags) if tag != INTEGER), len(tags))
+    if numbers >= 9:
+        return tags[numbers:] in ([], [SEQUENCE])
+    if numbers == len(tags) == 6:
         return True
-    return [tag for tag, _ in inner] == [0x30, 0x04] and [tag for tag, _ in elements(inner[0][1])] == [0x06, 0x30]
+    if tags[1:3] == [SEQUENCE, OCTETS]:
+        algorithm = elements(fields[1][1])
+        return bool(algorithm) and algorithm[0][0] == OBJECT and len(fields[2][1]) >= 16 and all(tag & 0x80 for tag in tags[3:])
+    return fields[0][1] == b"\x01" and tags[1] == OCTETS and 16 <= len(fields[1][1]) <= 72 and all(tag & 0x80 for tag in tags[2:])
+
+
+def _strings(data: bytes, n: int | None = None) -> tuple[list[bytes], bytes] | None:
+    """``n`` length-prefixed fields, or as many as there are, and what follows them; None if a length doesn't hold."""
+    out = []
+    while len(out) != n and (data or n):
+        size = int.from_bytes(data[:4], "big")
+        if len(data) < 4 + size or len(data) < 4:
+            return None
+        out.append(data[4 : 4 + size])
+        data = data[4 + size :]
+    return out, data
+
+
+def is_ssh_key(data: bytes | None) -> bool:
+    """A private key file: cipher, derivation, public keys as counted, and a private part whose check numbers agree where it isn't encrypted."""
+    if not data or not data.startswith(_OPENSSH):
+        return False
+    head = _strings(data[len(_OPENSSH) :], 3)
+    if head is None or len(head[1]) < 4:
+        return False
+    keys = int.from_bytes(head[1][:4], "big")
+    rest = _strings(head[1][4:])
+    if not 1 <= keys <= 64 or rest is None or len(rest[0]) != keys + 1:
+        return False
+    public, private = rest[0][:-1], rest[0][-1]
+    if any((named := _strings(k)) is None or len(named[0]) < 2 for k in public) or len(private) < 16:
+        return False
+    return head[0][0] != b"none" or private[:4] == private[4:8]
 
 
-def is_ssh_blob(data: bytes | None) -> bool:
-    """Length-prefixed fields that fill the blob, the first naming a key type."""
-    if not data or data.startswith(_OPENSSH):
-        return bool(data)
-    at, fields = 0, []
-    while at + 4 <= len(data):
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + size])
-        at += 4 + size
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-", b"sk-"))
+def is_encrypted_armour(headers: str, data: bytes | None) -> bool:
+    """Headers that name a cipher and its start value, before whole blocks of that cipher."""
+    found = _CIPHER.search(headers)
+    return bool(found and data) and len(found[2]) in (16, 32) and len(data) % (len(found[2]) // 2) == 0
 
 
-def is_signed_token(header: str, payload: str) -> bool:
-    """A JSON header with an algorithm, before a JSON payload."""
+def is_signed_token(header: str, payload: str, signature: str) -> bool:
+    """A JSON header with an algorithm, before a JSON payload and a signature that decodes."""
     try:
         first, second = (json.loads((decoded(x) or b"").decode("utf-8")) for x in (header, payload))
     except (ValueError, RecursionError):
         return False
-    return isinstance(first, dict) and isinstance(first.get("alg"), str) and isinstance(second, dict)
+    return isinstance(first, dict) and isinstance(first.get("alg"), str) and isinstance(second, dict) and bool(decoded(signature))
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -130,18 +167,18 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     """Candidates whose decoded form has the structure of a secret."""
     out = []
     if "." in text:
-        out += [(m.start(), "token", m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
+        out += [(m.start(), "token", m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[1], m[2], m[3])]
     if "-----BEGIN" in text:
-        out += [(m.start(), "key", m.end()) for m in _ARMOUR.finditer(text) if is_der_key(data := decoded(m[2])) or is_ssh_blob(data)]
+        out += [(m.start(), "key", m.end()) for m in _ARMOUR.finditer(text) if is_der_key(data := decoded(m[3])) or is_ssh_key(data) or is_encrypted_armour(m[2], data)]
     inside = [(a, b) for a, _, b in out]
-    for pattern, read in ((_BASE64, decoded), (_HEX_ANY, binascii.unhexlify)):
+    for pattern, read in ((_BASE64, decoded), (_BASE64_URL, decoded), (_HEX_ANY, binascii.unhexlify)):
         for m in pattern.finditer(text):
             if any(a <= m.start() and m.end() <= b for a, b in inside):
                 continue
             data = read(m[0])
             if is_der_key(data):
                 out.append((m.start(), "der", m.end()))
-            elif is_ssh_blob(data):
+            elif is_ssh_key(data):
                 out.append((m.start(), "sshkey", m.end()))
     return out
 
