@@ -1,22 +1,28 @@
-"""Best-fit packing of token sequences by bin completion on the histogram of lengths.
+"""Best-fit packing of token sequences by bin completion branch-and-bound on the histogram of lengths.
 
 Lengths are whole numbers up to the sequence length, so however many documents there are,
-their histogram has at most that many rows. It alone reaches the driver, where bin
-completion runs on it: around the longest open length it enumerates fillings of the rest,
-skips those that another filling dominates, and starts from the best-fit filling as incumbent.
-Where that search ends with waste, an exact subset sum gives the filling with the least. A
-filling is used as often as its lengths last, and no choice is taken back; of three such plans
-that with the fewest sequences is used. Pieces then find their place by their rank among equal lengths.
-
-Defined cases: a null or empty text is the end token alone; equal lengths are ranked by
-document, then piece; repeated rows are packed each; an empty table gives no piece; other
+their histogram has at most that many rows. It alone reaches the driver, where the search
+runs on it. Best fit decreasing, and fillings of least waste taken greedily, are the first
+incumbents. Where none meets the lower bound, bin completion follows: around the longest open
+length, the fillings of the rest that no other filling dominates (Martello and Toth) are
+enumerated from the least waste up, each is used as often as its lengths last or less often,
+and a branch ends when its waste exceeds what any better packing may waste, when its open
+lengths were met before with as few sequences, or when the lower bound of the rest leaves no
+gain. The search goes back over all choices until ``NODES`` fillings were looked at; ``Packing.proven``
+says whether the packing is known to have the fewest sequences. Pieces then find their place by
+their rank among equal lengths.
+
+Defined cases: a null or empty text is the end token alone; pieces of equal length are
+interchangeable, so repeated rows are packed each; an empty table gives no piece; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,8 +37,12 @@ from stackline.llm.tokens import ChunkTokens
 
 SEQUENCE = 2048
 END_ID = 0
-#: Branches tried for one filling before the exact subset sum decides.
+#: Branches tried for one filling of a greedy incumbent before the exact subset sum decides.
 BRANCHES = 2000
+#: Fillings that the search over packings looks at before it ends with the best one so far.
+NODES = 20_000
+#: Lengths visited by the search, all nodes together: its time on histograms of many lengths.
+VISITS = 6_000_000
 
 
 def pieces(documents: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,8 +124,11 @@ def filling(room: int, left: dict[int, int], lengths: list[int], branches: int =
     return best
 
 
-def plan(histogram: dict[int, int], size: int = SEQUENCE, branches: int = BRANCHES, exact: bool = True) -> list[tuple[list[int], int]]:
-    """(lengths in one sequence, number of such sequences) for all pieces of a histogram of lengths."""
+Plan = list[tuple[list[int], int]]
+
+
+def greedy(histogram: dict[int, int], size: int = SEQUENCE, branches: int = BRANCHES, exact: bool = True) -> Plan:
+    """(lengths in one sequence, number of such sequences): around the longest open length a good filling, as often as it lasts."""
     left = {n: c for n, c in histogram.items() if c > 0}
     out = []
     while left:
@@ -134,7 +147,204 @@ def plan(histogram: dict[int, int], size: int = SEQUENCE, branches: int = BRANCH
     return out
 
 
-def slots(planned: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
+def best_fit(histogram: dict[int, int], size: int = SEQUENCE) -> Plan:
+    """Best fit decreasing on counts: sequences of equal contents are one entry."""
+    rooms, by_room = [], {}  # sorted rooms, and per room its (contents, count)
+
+    def put(room: int, chosen: list[int], count: int) -> None:
+        if room not in by_room:
+            rooms.insert(bisect_left(rooms, room), room)
+        by_room.setdefault(room, []).append((chosen, count))
+
+    for n in sorted(histogram, reverse=True):
+        c = histogram[n]
+        while c > 0:
+            at = bisect_left(rooms, n)
+            room = rooms[at] if at < len(rooms) else size
+            if at == len(rooms):
+                put(size, [], -(-c // (size // n)))
+            chosen, count = by_room[room].pop()
+            if not by_room[room]:
+                del by_room[room]
+                rooms.remove(room)
+            # a sequence that took one stays the tightest, so it takes all that fit
+            each = min(room // n, c)
+            times = min(count, c // each)
+            put(room - each * n, [*chosen, *[n] * each], times)
+            if count > times:
+                put(room, chosen, count - times)
+            c -= each * times
+    return [(chosen, count) for groups in by_room.values() for chosen, count in groups if chosen]
+
+
+def lower_bound(histogram: dict[int, int], size: int = SEQUENCE) -> int:
+    """Martello and Toth's L2: no packing has fewer sequences."""
+    lengths = sorted(n for n, c in histogram.items() if c > 0)
+    if not lengths:
+        return 0
+    count = np.array([histogram[n] for n in lengths], np.int64)
+    n = np.array(lengths, np.int64)
+    pieces, tokens = np.concatenate(([0], np.cumsum(count))), np.concatenate(([0], np.cumsum(count * n)))
+    half = np.searchsorted(n, size // 2, "right")
+    large, large_tokens = pieces[-1] - pieces[half], tokens[-1] - tokens[half]
+    k = np.concatenate(([0], n[:half]))
+    alone = np.searchsorted(n, size - k, "right")  # above size - k: no room for k
+    low = np.searchsorted(n, k)
+    # sequences of a large piece that still have room for k or more; pieces from k to the half fill them first
+    room = (pieces[alone] - pieces[half]) * size - (tokens[alone] - tokens[half])
+    more = -((room - (tokens[half] - tokens[low])) // size)
+    return int(max(-(-tokens[-1] // size), (large + np.maximum(0, more)).max(), -(-large_tokens // size)))
+
+
+def completions(left: dict[int, int], lengths: list[int], room: int, most_waste: int) -> Iterator[tuple[int, ...] | None]:
+    """Undominated fillings of ``room``, longest lengths first, from the least waste up; None for each dominated one.
+
+    lengths: the open ones, longest first. A filling is dominated where an open length left out
+    could take the place of a shorter one, or of two or more that together are no longer.
+    """
+    reach = [1]  # bit s: sums s of the shorter lengths
+    whole = (1 << (room + 1)) - 1
+    for n in reversed(lengths):
+        sums, copies, step = reach[-1], min(left[n], room // n), 1
+        while copies > 0:
+            step = min(step, copies)
+            sums |= (sums << (n * step)) & whole
+            copies, step = copies - step, 2 * step
+        reach.append(sums)
+    reach.reverse()
+
+    def with_sum(i: int, target: int) -> Iterator[tuple[int, ...]]:
+        if not target:
+            yield ()
+            return
+        while i < len(lengths) and reach[i] >> target & 1:
+            n = lengths[i]
+            for k in range(min(left[n], target // n), 0, -1):
+                if reach[i + 1] >> (target - k * n) & 1:
+                    for rest in with_sum(i + 1, target - k * n):
+                        yield (*[n] * k, *rest)
+            i += 1
+
+    for waste in range(min(most_waste, room) + 1):
+        if reach[0] >> (room - waste) & 1:
+            for chosen in with_sum(0, room - waste):
+                yield None if dominated(chosen, left, lengths, waste) else chosen
+
+
+def dominated(chosen: tuple[int, ...], left: dict[int, int], lengths: list[int], waste: int) -> bool:
+    one, several = 0, 0  # bit s: a length s of the filling; a sum s of two or more
+    for n in chosen:
+        several |= ((one | several) << n)
+        one |= 1 << n
+    near = (1 << (waste + 1)) - 1
+    for x in lengths:
+        if left[x] <= chosen.count(x):
+            continue
+        # it may be longer than what it replaces by the waste at most
+        if x <= waste or (one & ~(1 << x) | several) >> (x - waste) & near:
+            return True
+    return False
+
+
+@dataclass(frozen=True)
+class Packing:
+    """A plan, its number of sequences, the lower bound, and whether the search proved that no plan has fewer."""
+
+    plan: Plan
+    sequences: int
+    bound: int
+    proven: bool
+
+
+def search(histogram: dict[int, int], incumbent: Plan, size: int = SEQUENCE, nodes: int = NODES, visits: int = VISITS) -> Packing:
+    """Depth first over (filling of the longest open length, times), with the waste that a better packing may have as bound."""
+    left = {n: c for n, c in histogram.items() if c > 0}
+    best, fewest, bound = incumbent, sum(t for _, t in incumbent), lower_bound(left, size)
+    total = sum(n * c for n, c in left.items())
+    keys = {n: hash((n, 0x9E3779B97F4A7C15)) | 1 for n in left}
+    state, met = sum(keys[n] * c for n, c in left.items()), {}
+
+    def fillings(allowed: int) -> Iterator[tuple[list[int], int] | None]:
+        """(filling with the longest open length, times), best first; None where nothing came of a look."""
+        nonlocal visits
+        longest = max(left)
+        lengths = [n for n in sorted(left, reverse=True) if n <= size - longest and left[n] > (n == longest)]
+        visits -= len(left) + len(lengths)
+        left[longest] -= 1
+        found = completions(left, lengths, size - longest, allowed)
+        left[longest] += 1
+        while True:
+            left[longest] -= 1  # the generator reads what is open without the longest itself
+            chosen = next(found, False)
+            left[longest] += 1
+            if chosen is False:
+                return
+            if chosen is None:
+                yield None
+                continue
+            whole = [longest, *chosen]
+            waste = size - sum(whole)
+            times = min(left[n] // whole.count(n) for n in set(whole))
+            if waste:
+                times = min(times, allowed // waste)
+            for t in range(times, 0, -1):
+                yield whole, t
+
+    # (fillings still to try, sequences, waste); ``taken`` holds the choices that led to each but the first
+    stack = [(fillings((fewest - 1) * size - total), 0, 0)] if left and fewest > bound else []
+    taken: Plan = []
+    while stack and nodes > 0 and visits > 0 and fewest > bound:
+        tries, used, waste = stack[-1]
+        nodes -= 1
+        allowed = (fewest - 1) * size - total
+        choice = next(tries, ()) if waste <= allowed else ()
+        if choice is None:
+            continue
+        if choice == ():
+            stack.pop()
+            if taken:
+                chosen, times = taken.pop()
+                for n in chosen:
+                    left[n] = left.get(n, 0) + times
+                    state += keys[n] * times
+            continue
+        chosen, times = choice
+        spent = waste + times * (size - sum(chosen))
+        if spent > allowed:
+            continue
+        for n in chosen:
+            left[n] -= times
+            state -= keys[n] * times
+            if not left[n]:
+                del left[n]
+        taken.append((chosen, times))
+        now = used + times
+        dead = met.get(state, fewest) <= now
+        if not left and now < fewest:
+            best, fewest = list(taken), now
+        elif left and not dead and len(left) <= 64:
+            dead = now + lower_bound(left, size) >= fewest
+        met[state] = min(now, met.get(state, now))
+        stack.append((iter(()) if dead or not left else fillings((fewest - 1) * size - total - spent), now, spent))
+    return Packing(best, fewest, bound, fewest == bound or not stack)
+
+
+def plan(histogram: dict[int, int], size: int = SEQUENCE, nodes: int = NODES) -> Plan:
+    """(lengths in one sequence, number of such sequences) for all pieces of a histogram of lengths."""
+    return packing(histogram, size, nodes).plan
+
+
+def packing(histogram: dict[int, int], size: int = SEQUENCE, nodes: int = NODES) -> Packing:
+    """The best incumbent, improved by the search where it doesn't meet the lower bound."""
+    count = lambda x: sum(times for _, times in x)
+    best, bound = best_fit(histogram, size), lower_bound(histogram, size)
+    for branches, exact in ((BRANCHES, True), (BRANCHES, False)):
+        if count(best) > bound:
+            best = min(best, greedy(histogram, size, branches, exact), key=count)
+    return search(histogram, best, size, nodes)
+
+
+def slots(planned: Plan) -> dict[int, np.ndarray]:
     """Per length the runs of ranks as rows (first rank, first sequence, offset), by rank."""
     runs: dict[int, list[tuple[int, int, int]]] = {}
     used: dict[int, int] = {}
@@ -149,12 +359,12 @@ def slots(planned: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
     return {n: np.array(r, np.int64) for n, r in runs.items()}
 
 
-def pack(pieces_table: DataFrame, size: int = SEQUENCE, branches: int = BRANCHES) -> DataFrame:
+def pack(pieces_table: DataFrame, size: int = SEQUENCE, nodes: int = NODES) -> DataFrame:
     """Pieces with sequence_id and offset; ``pieces_table`` should be staged, as it is read three times."""
     spark = pieces_table.sparkSession
     # At most ``size`` rows, whatever the input.
     histogram = {r["length"]: r["n"] for r in pieces_table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    planned = min((plan(histogram, size, b, exact) for b, exact in ((branches, True), (branches, False), (0, False))), key=lambda x: sum(times for _, times in x))
+    planned = plan(histogram, size, nodes)
     runs = spark.sparkContext.broadcast(slots(planned))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -92,6 +92,89 @@ def test_no_other_filling_wastes_less():
             assert sum(chosen) == max(sums) and not Counter(chosen) - left and chosen == sorted(chosen, reverse=True)
 
 
+def fewest(items, size):
+    """By trying every set of items for the sequence of the first one left."""
+    best = {0: 0}
+
+    def of(left):
+        if left not in best:
+            first = left & -left
+            rest, best[left] = left ^ first, len(items)
+            some = rest
+            while True:
+                if sum(items[i] for i in range(len(items)) if (some | first) >> i & 1) <= size:
+                    best[left] = min(best[left], 1 + of(rest ^ some))
+                if not some:
+                    break
+                some = (some - 1) & rest
+        return best[left]
+
+    return of((1 << len(items)) - 1)
+
+
+def used(planned):
+    out = Counter()
+    for chosen, times in planned:
+        assert times > 0
+        for n in chosen:
+            out[n] += times
+    return out
+
+
+def test_search_finds_the_fewest_sequences():
+    rng = random.Random(9)
+    above = 0
+    for k in range(250):
+        size = rng.choice([20, 50, 100])
+        items = [rng.randint(1, size if k % 2 else size // 2) for _ in range(rng.randint(1, 9))]
+        items = [*items, *items[: rng.randint(0, 2)]]
+        if k % 5 == 0:  # three full sequences cut in three or four
+            cuts = [sorted(rng.sample(range(1, size), rng.choice([2, 2, 3]))) for _ in range(3)]
+            items = [b - a for c in cuts for a, b in zip([0, *c], [*c, size], strict=True)]
+        histogram, best = Counter(items), fewest(items, size)
+        found = p.packing(histogram, size)
+        assert used(found.plan) == histogram and all(sum(c) <= size for c, _ in found.plan)
+        assert found.sequences == best and found.proven and p.lower_bound(histogram, size) <= best
+        first = p.best_fit(histogram, size)
+        assert used(first) == histogram and all(sum(c) <= size for c, _ in first)
+        above += sum(t for _, t in first) > best
+    assert above > 3
+
+
+def test_perfect_triples_and_the_budget():
+    rng = random.Random(12)
+    for _ in range(150):
+        items = []
+        for _ in range(5):
+            a = rng.randint(520, 900)
+            b = rng.randint(500, 1500 - a)
+            items += [a, b, 2048 - a - b]
+        found = p.packing(Counter(items))
+        assert found.sequences == 5 and found.proven and used(found.plan) == Counter(items)
+    stopped = p.packing(Counter(rng.randint(300, 1100) for _ in range(300)), nodes=50)
+    assert not stopped.proven and stopped.bound <= stopped.sequences
+
+
+def test_fillings_are_undominated_and_ordered():
+    left = Counter([9, 7, 5, 5, 4, 3, 2])
+    lengths = sorted(left, reverse=True)
+    got = list(p.completions(left, lengths, 10, 10))
+    kept = [c for c in got if c is not None]
+    every = {()}
+    for n in left.elements():
+        every |= {tuple(sorted((*c, n), reverse=True)) for c in list(every) if sum(c) + n <= 10 and c.count(n) < left[n]}
+    assert len(got) == len(every) and [sum(c) for c in kept] == sorted((sum(c) for c in kept), reverse=True)
+
+    def replaced(c):
+        spare = left - Counter(c)
+        subsets = {()}
+        for n in c:
+            subsets |= {(*x, n) for x in subsets}
+        return any(sum(x) + (len(x) == 1) <= n and sum(c) - sum(x) + n <= 10 for n in spare for x in subsets)
+
+    assert set(kept) == {c for c in every if not replaced(c)}
+
+
 def test_section_tokens(make, prose, whole):
     texts = [None, "", "a\nb", "one\n\n two  three\n", "x\n\n\ny", prose(4000, 2).replace(".", ".\n"), "é\n日本\n"]
     out = tc.section_tokens(make([*enumerate(texts), (2, "a\nb")], "tokens"), TOKENIZER).collect()
