@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows ranked in one window partition, about.
-RANKED_ROWS = 20_000
-
+from stackline.llm.staging import staged
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str) -> DataFrame:
-    """``df`` with each row's rank among those of equal keys, from 0.
+    """``df`` with a rank for each row among those of equal keys, from 0.
 
-    Rows of a key are dealt over hashed parts, whose sizes are added up before; so no part
-    holds all rows of a frequent key.
+    Rows of a key are dealt over as many parts as the root of the row count, whose sizes are
+    added up before; so no part holds all rows of a frequent key, nor a key's list of parts
+    many entries. Rows go by part, then by ``order``. A row's place in the table takes part in
+    the dealing, so rows that are equal in all columns are dealt too; as places differ from plan
+    to plan, the parts are staged.
     """
-    n = df.count()
-    parts = max(1, n // RANKED_ROWS)
-    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    parts = max(1, math.isqrt(df.count()))
+    place = F.monotonically_increasing_id()
+    dealt = staged(df.withColumn("_part", F.pmod(F.xxhash64(*order, place), F.lit(parts)).cast("int")), "ranked")
     sizes = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -11,9 +11,12 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where none is set (local tests)."""
+    """The folder named in ``spark.checkpoint.dir``. Only a local session, whose executors are threads of the
+    driver, may lack it and then gets a temporary one; a cluster without it is an error."""
     found = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stackline-")
         spark.conf.set(CHECKPOINT_CONF, found)
     return found.rstrip("/")
