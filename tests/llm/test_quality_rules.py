@@ -36,6 +36,25 @@ def test_order_never_changes_the_verdict(make, prose):
     assert {r["doc_id"] for r in q.keep_documents(docs).collect()} == {k for k, v in one.items() if v}
 
 
+def test_cascade_counts_only_what_rules_ask_for(make, prose):
+    d = q.Text(prose(20, 1))
+    assert q.rejected_by(d, ["few_words", "repeats", *q.RULES]) == "few_words" and set(d.__dict__) == {"text", "words"}
+    junk = q.Text("#$% " * 100)
+    assert q.rejected_by(junk, ["symbols", "few_words", "repeats"]) == "symbols" and "n_repeat_words" not in junk.__dict__
+    # A costly rule that rejects little goes behind a cheap one that rejects much, and rules see what is left by those before.
+    slow = lambda d: bool(sorted(d.text * 300)) and d.text.startswith("b")
+    docs = make([(k, ("a" if k % 2 else "b" if k % 8 else "c") * 30) for k in range(4000)])
+    order = q.cascade_order(docs, {"slow": slow, "cheap": lambda d: d.text[0] == "a", "none": lambda d: False})
+    assert order.index("cheap") < order.index("slow")
+
+
+def test_reasons(make, prose):
+    rows = [(1, prose(20, 1)), (2, "one two three " * 40), (3, "#$% " + prose(60, 2).replace(" ", " #$% ")), (4, prose(100, 3)), (5, None)]
+    for order in (list(q.RULES), list(q.RULES)[::-1]):
+        out = {r["doc_id"]: r["rejected_by"] for r in q.quality_report(make(rows), order, reason=True).collect()}
+        assert out[1] == out[5] == "few_words" and out[2] == "repeats" and out[3] in q.RULES and out[4] is None
+
+
 def test_empty_table_and_columns(make):
     empty = make([(1, "x")], "words").where("doc_id < 0")
     assert q.quality_report(empty).collect() == [] and q.keep_documents(empty).columns == empty.columns

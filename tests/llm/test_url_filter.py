@@ -1,3 +1,9 @@
+import random
+import re
+
+import duckdb
+import pytest
+
 from stackline.llm import url_filter as u
 
 
@@ -26,3 +32,44 @@ def test_rules_and_vocabulary(spark):
 def test_boundaries():
     words = u.vocabulary(("bad",), ("free", "win"), 2)
     assert [u.weight(x, words) for x in ("bad", "badly", "xbad", "-bad_", "free.win", "free free", "freewin", "FREE/WIN", None)] == [2, 0, 0, 2, 2, 1, 0, 2, 0]
+
+
+def test_vocabulary_of_a_table(spark):
+    rng = random.Random(4)
+    terms = {"".join(rng.choice("abcdef0-") for _ in range(rng.randint(2, 6))) for _ in range(5000)}
+    rows = [(t.upper() if k % 3 else t, rng.randint(1, 3), "strict" if k % 50 == 0 else "soft") for k, t in enumerate(sorted(terms)) if re.search("[a-z0-9]", t)]
+    known = u.vocabulary_of(spark.createDataFrame(rows, "term string, weight long, class string"), 4)
+    pages = [(k, "http://h/" + "".join(rng.choice("abcdefABC0-_/.é") for _ in range(rng.randint(0, 40)))) for k in range(400)]
+    out = {r["page_id"]: (r["verdict"], r["weight"]) for r in u.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), (), spark.createDataFrame(rows, "term string, weight long, class string"), 4).collect()}
+    seen = set()
+    forms = [(t.lower(), n, c, re.compile(rf"(?<![a-z0-9]){re.escape(t.lower())}(?![a-z0-9])")) for t, n, c in rows]
+    for k, url in pages:
+        low = url.lower()
+        hits = {t: (4 if c == "strict" else n, c) for t, n, c, form in forms if t in low and form.search(low)}
+        total = sum(n for n, _ in hits.values())
+        want = "block" if any(c == "strict" for _, c in hits.values()) or (len(hits) > 1 and total >= 4) else "allow"
+        assert out[k] == (want, total) == known.judge(url)
+        seen.add(want)
+    assert seen == {"block", "allow"}
+
+
+def test_odd_vocabularies(spark):
+    pages = spark.createDataFrame([(1, "http://x/casino"), (2, None)], "page_id long, url string")
+    assert [r["verdict"] for r in u.judge_urls(pages, terms=()).collect()] == ["allow", "allow"]
+    assert u.Vocabulary([("Casino ", 1, "soft"), ("casino", 3, "soft"), ("CASINO", 2, "soft")]).terms == {"casino": (False, 3)}
+    assert u.Vocabulary([("a", 3, "soft"), ("A", 1, "strict")]).judge("http://a") == ("block", 4)
+    assert u.Vocabulary([("a", 9, "soft")]).judge("a a") == ("allow", 9)  # one term, however heavy, isn't several
+    for wrong in (("--", 1, "soft"), ("a", 0, "soft"), ("a", 1, "other")):
+        with pytest.raises(ValueError):
+            u.Vocabulary([wrong])
+
+
+def test_sql_agrees(spark):
+    rng = random.Random(5)
+    words = [*u.STRICT_TERMS, *(t for t, _ in u.SOFT_TERMS), "x", "news", "en", "es"]
+    rows = [(k, rng.choice(["http://", "", "HTTPS://"]) + rng.choice(["a.com", "example.com", "www.Example.com", "b.net", "c.org"]) + "/" + rng.choice(["", "-", "/", "x"]).join(rng.choice(words) for _ in range(rng.randint(0, 4)))) for k in range(600)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    want = sorted(con.sql(f"SELECT page_id, host, path, rule, verdict, weight FROM ({u.sql()})").fetchall())
+    assert sorted(map(tuple, u.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect())) == want
