@@ -1,4 +1,14 @@
-"""Leaf blocks of a web page: text between block boundaries, with the path of open tags."""
+"""Leaf blocks of a web page: text between block boundaries, with the path of open tags.
+
+Only content that is no text of the page is left out by name: scripts, styles, templates, titles,
+and what stands in text areas and frames. All other elements, such as formulas, drawings, fallbacks and
+choices, give blocks under their path, for the labeller to judge.
+
+Defined cases: an element that closes itself is empty; of the elements left out, a script or
+style without an end tag runs to the end of the page, any other counts as empty; a choice, drawing
+or formula without an end tag ends with its parent or at the next block; a comment without an end
+runs to the end of the page.
+"""
 
 from __future__ import annotations
 
@@ -13,15 +23,19 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _NAMED = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-#: Elements whose content isn't shown as text, and runs to their own end tag.
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object"}
+#: Elements whose content isn't text of the page, and runs to their own end tag; those that need none.
+_RAW = {"script", "style", "template", "textarea", "title", "iframe", "noembed", "noframes"}
+_TO_THE_END = {"script", "style"}
+_CLOSING = {name: re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE) for name in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
-    "head", "header", "hr", "html", "label", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    "head", "header", "hr", "html", "label", "legend", "li", "main", "menu", "nav", "noscript", "object", "ol", "optgroup", "option", "p", "pre", "section", "select", "summary", "svg", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 #: An open element that a start tag of these ends.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Open elements that any block's start tag ends, except of those that belong in them.
+_NARROW, _NARROWED = {"select", "svg", "math"}, {"option", "optgroup", "hr", "select", "svg"}
 _WALLS = {"ul", "ol", "dl", "table", "div", "section", "article", "aside", "nav", "main", "body", "form", "blockquote"}
 
 
@@ -79,11 +93,16 @@ def blocks(page: str) -> list[Block]:
                 if name not in _BLOCK and stack[k][0] in _BLOCK:
                     break
         elif name in _RAW:
-            closing = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = closing.end() if closing else n
+            closing = None if rest.endswith("/") else _CLOSING[name].search(page, at)
+            if closing:
+                at = closing.end()
+            elif name in _TO_THE_END and not rest.endswith("/"):
+                at = n
         else:
             if name in _BLOCK:
                 flush()
+                if name not in _NARROWED and (k := next((k for k, (x, _) in enumerate(stack) if x in _NARROW), None)) is not None:
+                    close(k)
                 ended = _ENDS.get(name, set()) | {"p"}
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in ended:

@@ -228,13 +228,18 @@ def made_page(rng: random.Random) -> str:
             if kind < 0.66:
                 style = rng.random()
                 said = text(3, 150, mark)
-                out.append(f"<p>{said}</p>" if style < 0.7 else f"<p><b>{said}<br>" if style < 0.85 else f"<p>{said} <a href=x>{'' if mark else word()}</a></p>")
+                formula = f" <math><mi>{word()}</mi><mo>=</mo><mn>{rng.randint(1, 99)}</mn></math> {word()}" if rng.random() < 0.06 else ""
+                out.append(f"<p>{said}{formula}</p>" if style < 0.65 else f"<div>{said}</div>" if style < 0.7 else f"<p><b>{said}<br>" if style < 0.85 else f"<p>{said} <a href=x>{'' if mark else word()}</a></p>")
             elif kind < 0.76:
                 out.append(f"<h{(k := rng.randint(2, 4))}>{text(1, 8, mark)}</h{k}>")
             elif kind < 0.86:
                 out.append("<ul>" + "".join(f"<li>{text(2, 25, mark)}</li>" for _ in range(rng.randint(1, 5))) + "</ul>")
-            elif kind < 0.92:
+            elif kind < 0.9:
                 out.append(f"<blockquote>{text(3, 60, mark)}</blockquote>")
+            elif kind < 0.91:
+                out.append(f'<object data="{word()}"><p>{text(3, 30, mark)}</p></object>' if rng.random() < 0.5 else f"<svg><text>{text(1, 2, mark)}</text></svg>")
+            elif kind < 0.92:
+                out.append(f"<figure><img src=x><figcaption>{text(2, 12, mark)}</figcaption></figure>")
             elif kind < 0.96:
                 out.append(f"<pre>{text(3, 30, mark)}</pre>")
             else:
@@ -246,7 +251,12 @@ def made_page(rng: random.Random) -> str:
             inner = "".join(f'<li><a href="/{word()}">{text(1, 3, False)}</a></li>' for _ in range(rng.randint(2, 9)))
             return box(rng.choice(_SIDE[kind]), f"<ul>{inner}</ul>" if rng.random() < 0.8 else re.sub("</?li>", " ", inner))
         if kind == "form":
-            return box(rng.choice(_SIDE[kind]), f"<label>{text(1, 3, False)}</label><input name=q><button>{text(1, 2, False)}</button>" + (leaves(False, 1) if rng.random() < 0.3 else ""))
+            choice = "<select>" + "".join(f"<option>{text(1, 2, False)}</option>" for _ in range(rng.randint(1, 6))) + "</select>" if rng.random() < 0.4 else ""
+            return box(rng.choice(_SIDE[kind]), f"<label>{text(1, 3, False)}</label><input name=q>{choice}<button>{text(1, 2, False)}</button>" + (leaves(False, 1) if rng.random() < 0.3 else ""))
+        if kind == "notice" and rng.random() < 0.3:
+            return f"<noscript>{box(rng.choice(_SIDE[kind]), text(3, 20, False)) if rng.random() < 0.3 else text(3, 20, False)}</noscript>"
+        if kind == "header" and rng.random() < 0.3:
+            return box(rng.choice(_SIDE[kind]), f"<svg><text>{text(1, 2, False)}</text></svg>{text(1, 6, False)}")
         if kind == "comments":
             inner = "".join(box(rng.choice([("div", "comment"), ("li", "comment"), ("article", "comment"), ("div", "reply")]), leaves(False, rng.randint(1, 2))) for _ in range(rng.randint(1, 6)))
             return box(rng.choice(_SIDE[kind]), f"<h3>{text(1, 2, False)}</h3>" * rng.randint(0, 1) + inner)
@@ -257,7 +267,17 @@ def made_page(rng: random.Random) -> str:
     inside = [leaves(True, rng.randint(0, 14))]
     if rng.random() < 0.25:
         inside = [inside[0], side(rng.choice(["ad", "aside", "notice"])), leaves(True, rng.randint(1, 4))]
-    main = box(rng.choice(_MAIN), (f"<h1>{text(2, 14, True)}</h1>" if rng.random() < 0.85 else "") + "".join(inside))
+    title = f"<h1>{text(2, 14, True)}</h1>" if rng.random() < 0.85 else ""
+    if rng.random() < 0.15:  # a layout of tables or of divisions without names: length and links must tell
+        links = lambda: rng.choice(["<br>", " | ", "</p><p>"]).join(f"<a href={word()}>{text(1, 3, False)}</a>" for _ in range(rng.randint(2, 8)))
+        table = rng.random() < 0.6
+        cell = lambda inner, kind="": f"<td{kind}>{inner}</td>" if table else f"<div{kind}>{inner}</div>"
+        row = lambda *cells: f"<tr>{''.join(cells)}</tr>" if table else "".join(cells)
+        body = cell(title.replace("h1", rng.choice(["h1", "h2"])) + "".join(f"<p>{text(8, 150, True)}</p>" for _ in range(rng.randint(1, 8))), rng.choice(["", ' class="content"', " valign=top"]))
+        rows = [row(cell(links())), row(*([cell(links())] if rng.random() < 0.7 else []), body, *([cell(links())] if rng.random() < 0.3 else [])), row(cell(text(3, 12, False)))]
+        inner = "".join(rows)
+        return f"<html><head><title>{word()}</title></head><body>{f'<table>{inner}</table>' if table else inner}</body></html>"
+    main = box(rng.choice(_MAIN), title + "".join(inside))
     before = [some("header", 0.4), some("nav", 0.7), some("notice", 0.3), some("ad", 0.5), some("form", 0.2), some("aside", 0.2)]
     after = [some("ad", 0.25), some("comments", 0.4), some("aside", 0.35), some("form", 0.25), some("nav", 0.15), some("footer", 0.8)]
     if rng.random() < 0.3:
