@@ -3,13 +3,19 @@
 Documents of equal shingle sets are one class; only classes are compared. Two sets whose
 Jaccard similarity is at least the threshold have sizes within a factor and differ in at
 most k shingles, where k follows from their sizes. For each band of sizes the domain of
-shingles is dealt into parts; each part of a set that isn't empty gives a signature. As k
-differing shingles spoil at most k parts, two such sets share all others, and so, with any
-common order of signatures, one of their first k + 1. Single parts are enumerated (subsets
-of more parts would be more signatures and no more selective at this threshold), in the
-order of a sketch of all shingles' frequencies, rarest first, so that common passages are
-not compared. The few sets with no more than k parts in use also give each shingle as a
-signature.
+shingles is dealt into parts, and each part into ``SECOND`` smaller ones. The signatures of a set
+are what it holds of each subset of ``SECOND - SPOILED`` smaller parts of a part, as far as that isn't
+empty. A differing shingle spoils the subsets that its smaller part is in, c of them, so sets that
+link differ in at most k c signatures; with any common order of signatures they share one of
+their first k c + 1. The order is that of a sketch of all shingles' frequencies, rarest first, so that
+common passages are not compared. The few sets with no more than k c signatures also give each
+shingle as a signature. Bands of larger sets have parts that aren't divided further (one subset, the
+whole part): there two of three smaller parts give twice the signatures and were measured to find
+no fewer pairs to compare.
+
+The sketch is a count-min sketch of two rows, as wide as the number of shingles asks for, up to a bound
+for what is sent to executors. What chance adds to each counter on average is taken off, so that beyond
+the bound rare shingles still count as rare, and only groups that are large indeed are dealt out.
 
 In each group of sets with a signature in common, all are compared with the one whose
 shingles are most common; links so found make components. Where a group still holds several
@@ -32,6 +38,8 @@ of the set: should keys of different sets ever be equal, which this shows, anoth
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +47,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stackline.llm.components import components
 from stackline.llm.staging import removed, staged
@@ -47,10 +56,14 @@ from stackline.llm.words import WordHashes, lowered_words, mixed, shingle_hashes
 SIZE = 5
 #: Similarity in hundredths.
 THRESHOLD = 75
-#: Counters of the frequency sketch, in slices.
-SKETCH_BITS, SLICES = 20, 64
-#: Ratio of a band's bounds, and parts for each shingle of its largest set.
+#: Counters in a row of the frequency sketch at least and at most, as powers of 2; rows; slices of a row.
+SKETCH_BITS, SKETCH_MOST, SKETCH_ROWS, SLICES = 20, 23, 2, 32
+#: Shingles for each counter that a wider row is taken for, and bytes of text that make a shingle, about.
+SKETCH_LOAD, SHINGLE_BYTES = 96, 6
+#: Ratio of a band's bounds, and smallest parts for each shingle of its largest set.
 BAND, PARTS = 4, 0.6
+#: Smaller parts of a part, of which a subset leaves out some; in bands whose largest set has at most so many shingles.
+SECOND, SPOILED, SUBSETS_UP_TO = 3, 1, 64
 #: A signature expected in more sets than this is dealt over hashed groups.
 GROUP = 20_000
 #: Sets of a block where pairs across components are compared.
@@ -78,8 +91,23 @@ def set_key(u: np.ndarray, seed: int) -> tuple[int, int]:
     return tuple(int(np.int64(np.uint64(x))) if x < 1 << 63 else x - (1 << 64) for x in (xxhash.xxh3_64_intdigest(data, seed), xxhash.xxh64_intdigest(data, seed)))
 
 
-def slots(u: np.ndarray) -> np.ndarray:
-    return (u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def slots(u: np.ndarray, bits: int = SKETCH_BITS, row: int = 0) -> np.ndarray:
+    return ((mixed(u + np.uint64(row)) if row else u) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def commonness(u: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How common each shingle is by the sketch (``_sketch``): the least of its counters."""
+    rows = np.atleast_2d(counts)
+    bits = rows.shape[1].bit_length() - 1
+    out = rows[0][slots(u, bits)]
+    for r in range(1, len(rows)):
+        out = np.minimum(out, rows[r][slots(u, bits, r)])
+    return out
+
+
+def sets_with(common: np.ndarray) -> np.ndarray:
+    """How many sets a shingle of this commonness is expected in."""
+    return (np.exp2(common / 8) - 1).astype(np.int64)
 
 
 def most_different(a: int, b: int, threshold: int = THRESHOLD) -> int:
@@ -89,7 +117,7 @@ def most_different(a: int, b: int, threshold: int = THRESHOLD) -> int:
 
 
 def signatures(u: np.ndarray, counts: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """A set's signatures and how often each is expected."""
+    """A set's signatures and how common the rarest shingle in each is."""
     n = len(u)
     largest = 100 * n // threshold
     k = (n + largest) * (100 - threshold) // (100 + threshold)  # no partner differs in more
@@ -98,25 +126,35 @@ def signatures(u: np.ndarray, counts: np.ndarray, threshold: int = THRESHOLD) ->
     band = 0
     while BAND ** (band + 1) <= n:
         band += 1
-    often = counts[slots(u)]
-    out, expected = [], []
+    often = commonness(u, counts).astype(np.int64)
+    out, common = [], []
     for tag in (band, band + 1) if largest >= BAND ** (band + 1) else (band,):
+        second, spoiled = (SECOND, SPOILED) if BAND ** (tag + 1) <= SUBSETS_UP_TO else (1, 0)
         m = mixed(u + np.uint64(7919 * tag + 1))
-        part = ((m >> np.uint64(32)) * np.uint64(int(PARTS * BAND ** (tag + 1)) + 1)) >> np.uint64(32)
-        order = np.argsort(part)
-        part, m, f = part[order], m[order], often[order]
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        sig = mixed(np.add.reduceat(m, first) + part[first] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tag))
-        f = np.minimum.reduceat(f, first)
+        parts = int(PARTS * BAND ** (tag + 1)) // second + 1
+        small = ((m >> np.uint64(32)) * np.uint64(parts * second)) >> np.uint64(32)
+        order = np.argsort(small)
+        small, m, f = small[order], m[order], often[order]
+        sigs, rare = [], []
+        for which, subset in enumerate(combinations(range(second), second - spoiled)):
+            inside = np.isin(small % np.uint64(second), np.array(subset, np.uint64)) if spoiled else slice(None)
+            part, held, of = small[inside] // np.uint64(second), m[inside], f[inside]
+            if not len(part):
+                continue
+            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            sigs.append(mixed(np.add.reduceat(held, first) + (part[first] * np.uint64(8) + np.uint64(which)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tag)))
+            rare.append(np.minimum.reduceat(of, first))
+        sig, of = np.concatenate(sigs), np.concatenate(rare)
+        most = k * comb(second - 1, second - spoiled - 1)  # signatures that a partner doesn't have
         # rarest first, then by the signature's upper bits; all that tie with the last are taken
-        order_key = (np.minimum(f, (1 << 20) - 1).astype(np.uint64) << np.uint64(44)) | (sig >> np.uint64(20))
-        chosen = order_key <= np.partition(order_key, k)[k] if len(sig) > k else np.ones(len(sig), bool)
+        order_key = (np.minimum(of, (1 << 20) - 1).astype(np.uint64) << np.uint64(44)) | (sig >> np.uint64(20))
+        chosen = order_key <= np.partition(order_key, most)[most] if len(sig) > most else np.ones(len(sig), bool)
         out.append(sig[chosen])
-        expected.append(f[chosen])
-        if len(first) <= k:
+        common.append(of[chosen])
+        if len(sig) <= most:
             out.append(mixed(m + np.uint64(104729 * tag + 2)))
-            expected.append(often[order])
-    return np.concatenate(out), np.concatenate(expected)
+            common.append(f)
+    return np.concatenate(out), np.concatenate(common)
 
 
 def histogram(u: np.ndarray) -> np.ndarray:
@@ -131,55 +169,80 @@ def links(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
     return 100 * common >= threshold * (len(both) - common)
 
 
-def _sets(documents: DataFrame, size: int, seed: int) -> DataFrame:
+def sketch_bits(documents: DataFrame) -> int:
+    """Width of the sketch's rows for this many shingles, as a power of 2."""
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(SKETCH_MOST, max(SKETCH_BITS, int(size / SHINGLE_BYTES / SKETCH_LOAD).bit_length()))
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters in a byte each, and those above it by place."""
+    high = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + high.astype("<u4").tobytes() + counts[high].astype("<u4").tobytes()
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, width).astype(np.uint64)
+    more = np.frombuffer(data, "<u4", offset=width).reshape(2, -1)
+    out[more[0]] = more[1]
+    return out
+
+
+def _sets(documents: DataFrame, size: int, seed: int, bits: int) -> DataFrame:
     """A row for each document (doc_id, n, key, check), and each task's part of the sketch (slice, part, counts)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, sketch = ["doc_id", "n", "key", "check", "slice", "part", "counts"], np.zeros(1 << SKETCH_BITS, np.uint32)
+        names, sketch = ["doc_id", "n", "key", "check", "slice", "part", "counts"], np.zeros((SKETCH_ROWS, 1 << bits), np.uint32)
         kinds, ids = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], None
         for b in batches:
             ids, n, key, check = b.column(0), [], [], []
             for x in b.column(1):
                 u = shingle_set(x.as_py(), size)
-                np.add.at(sketch, slots(u), 1)
+                for r in range(SKETCH_ROWS):
+                    np.add.at(sketch[r], slots(u, bits, r), 1)
                 k = set_key(u, seed)
                 n.append(len(u)), key.append(k[0]), check.append(k[1])
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip((n, key, check), kinds, strict=False)), *(pa.nulls(len(n), t) for t in kinds[3:])], names=names)
         if ids is not None:
             part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, ids.type), *(pa.nulls(SLICES, t) for t in kinds[:3]), pa.array(range(SLICES), kinds[3]), pa.array([part] * SLICES, kinds[4]), pa.array([x.tobytes() for x in np.split(sketch, SLICES)], kinds[5])], names=names)
+            for k, x in enumerate(np.split(sketch.ravel(), SKETCH_ROWS * SLICES)):
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, ids.type), *(pa.nulls(1, t) for t in kinds[:3]), pa.array([k], kinds[3]), pa.array([part], kinds[4]), pa.array([_packed(x)], kinds[5])], names=names)
 
     return documents.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, n long, key long, check long, slice int, part int, counts binary")
 
 
-def _sketch(parts: DataFrame) -> np.ndarray:
-    """The sum of the tasks' sketches: 64 at a time, then the sums likewise; of a fixed size."""
+def _sketch(parts: DataFrame, bits: int) -> np.ndarray:
+    """The sum of the tasks' sketches, 64 at a time, then the sums likewise: per row and counter 8 times the logarithm of what
+    is above the average that chance gives. A byte each, so two rows are 16 MB at most."""
+    width = (1 << bits) // SLICES
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, key = None, None
+        total, key = np.zeros(width, np.uint64), None
         for b in batches:
             for data in b.column("counts"):
-                x = np.frombuffer(data.as_buffer(), np.uint32)
-                total = x.astype(np.uint64) if total is None else total + x
-            key = b.column("slice")[0].as_py(), b.column("part")[0].as_py()
-        if total is not None:
-            data = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+                total += _unpacked(data.as_py(), width)
+            if b.num_rows:
+                key = b.column("slice")[0].as_py(), b.column("part")[0].as_py()
+        if key is not None:
+            data = _packed(np.minimum(total, np.uint64(0xFFFFFFFF)))
             yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([data], pa.binary())], names=["slice", "part", "counts"])
 
     most = parts.agg(F.max("part")).first()[0]
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out = np.zeros(SKETCH_ROWS << bits, np.uint8)
     if most is None:
-        return out
+        return out.reshape(SKETCH_ROWS, -1)
     while True:
         most //= 64
         parts = parts.withColumn("part", F.floor(F.col("part") / 64).cast("int")).groupBy("slice", "part").applyInArrow(add, "slice int, part int, counts binary")
         if not most:
             break
-    for slot, _, data in parts.collect():  # SLICES rows
-        width = len(out) // SLICES
-        out[slot * width : (slot + 1) * width] = np.frombuffer(data, np.uint32)
-    return out
+    whole = np.zeros(SKETCH_ROWS << bits, np.float64)
+    for slot, _, data in parts.collect():  # SKETCH_ROWS * SLICES rows
+        whole[slot * width : (slot + 1) * width] = _unpacked(data, width)
+    whole = whole.reshape(SKETCH_ROWS, -1)
+    above = whole - whole.sum(1, keepdims=True) / whole.shape[1]
+    return np.minimum(255, np.rint(8 * np.log2(1 + np.maximum(above, 0)))).astype(np.uint8)
 
 
 def _signature_rows(documents: DataFrame, counts, size: int, seed: int, threshold: int) -> DataFrame:
@@ -201,11 +264,12 @@ def _signature_rows(documents: DataFrame, counts, size: int, seed: int, threshol
                 if k in seen:
                     continue
                 seen.add(k)
-                s, expected = signatures(u, known, threshold)
+                s, common = signatures(u, known, threshold)
                 if not len(s):
                     continue
+                expected = sets_with(common)
                 salt = np.int64(k & 0xFFFFFF) % (expected // GROUP + 1) + (expected >= GROUP)
-                rank = int(1000 * np.log2(1 + known[slots(u)]).mean())
+                rank = int(100 * commonness(u, known).mean())
                 found = (s.view(np.int64), salt.astype(np.int32), np.full(len(s), k, np.int64), np.full(len(s), rank, np.int32), np.full(len(s), len(u), np.int32))
                 for col, value in zip(cols, found, strict=True):
                     col.append(value)
@@ -343,17 +407,18 @@ def _kept_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def classes(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
-    """Documents with their class (doc_id, n, key), classes with their component (key, rep, component_id), and the seed of the keys."""
+    """Documents with their class (doc_id, n, key), classes with their component (key, rep, component_id, leads: whether it is the component's first class), and the seed of the keys."""
     spark: SparkSession = documents.sparkSession
     documents = documents.select("doc_id", "text")
     with_id = documents.where("doc_id is not null")
-    read = staged(_sets(documents, size, seed), "sets")
+    bits = sketch_bits(documents)
+    read = staged(_sets(documents, size, seed, bits), "sets")
     rows = read.where("slice is null").select("doc_id", "n", "key", "check")
     found = rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("check").alias("c"), F.max("check").alias("d"), F.max("n").alias("n"))
     found = staged(found, "classes")
     if found.where("c <> d").limit(1).count():
         return classes(documents, size, threshold, seed + 1)
-    counts = spark.sparkContext.broadcast(_sketch(read.where("slice is not null").select("slice", "part", "counts")))
+    counts = spark.sparkContext.broadcast(_sketch(read.where("slice is not null").select("slice", "part", "counts"), bits))
     # Copies give no signatures of their own; beyond SENT_IDS classes only those of one task are left out, as texts would have to be shuffled.
     reps = staged(found.where("n > 0").select(F.col("rep").alias("doc_id")).distinct(), "reps")
     signed = _kept_texts(with_id, reps) if reps.count() <= SENT_IDS else with_id
@@ -384,9 +449,10 @@ def classes(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD,
         labels = components(linked.union(more))
     for table in (groups, pairs, across):
         removed(spark, table)
-    first = labels.join(found, "key").groupBy("component").agg(F.min("rep").alias("component_id"))
-    joined = labels.join(first, "component").select("key", "component_id")
-    out = found.where("n > 0").join(joined, "key", "left").select("key", "rep", F.coalesce("component_id", "rep").alias("component_id"))
+    # A component's first class is that of the least document, of equal ones the least class.
+    first = labels.join(found, "key").groupBy("component").agg(F.min(F.struct("rep", "key")).alias("first"))
+    joined = labels.join(first, "component").select("key", "first")
+    out = found.where("n > 0").join(joined, "key", "left").select("key", "rep", F.coalesce("first.rep", "rep").alias("component_id"), F.coalesce(F.col("first.key") == F.col("key"), F.lit(True)).alias("leads"))
     return rows, staged(out, "components"), seed
 
 
@@ -502,17 +568,40 @@ def document_components(documents: DataFrame, size: int = SIZE, threshold: int =
 
 
 def keep_one(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of each component's least doc_id, once, with all their columns; rows that link with nothing stay."""
-    own, kept = "__ngram_join_row", "__ngram_join_id"
-    found = staged(document_components(documents, size, threshold), "document_components")
+    """One row of each component, with all its columns: of its least doc_id, and where that has several texts in it, of the least class.
+
+    Rows that link with nothing stay, also where another row has their doc_id; so do rows without words or without a doc_id.
+    """
+    id_of, verdict, key_of = "__ngram_join_id", "__ngram_join_stays", "__ngram_join_key"
+    rows, found, seed = classes(documents, size, threshold)
+    stays = (F.col("n") == 0) | (F.col("leads") & (F.col("doc_id") == F.col("rep")))
+    told = rows.where("doc_id is not null").join(found, "key", "left").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"), F.max(stays).alias("stays"))
+    told = staged(told, "told")
     # Ids that go, and ids that more than one row has, are few or many; either way they are joined by size.
-    gone = staged(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n")).where("component_id <> doc_id or (rows > 1 and n > 0)"), "gone")
-    marked = gone.select(F.col("doc_id").alias(kept), (F.col("component_id") != F.col("doc_id")).alias(own))
-    if gone.count() <= SENT_IDS:
-        marked = F.broadcast(marked)
-    joined = documents.join(marked, documents["doc_id"] == F.col(kept), "left")
-    single = joined.where(F.col(kept).isNull()).select(*documents.columns)
-    if not gone.where("component_id = doc_id").limit(1).count():
+    ids = told.groupBy("doc_id").agg(F.sum("rows").alias("rows"), F.max("stays").alias("stays"), F.max("n").alias("n"))
+    marked = staged(ids.where("not stays or (rows > 1 and n > 0)").select(F.col("doc_id").alias(id_of), (F.col("stays") & (F.col("rows") > 1)).alias(verdict)), "marked")
+    by_size = F.broadcast(marked) if marked.count() <= SENT_IDS else marked
+    joined = documents.join(by_size, documents["doc_id"] == F.col(id_of), "left")
+    single = joined.where(F.col(id_of).isNull()).select(*documents.columns)
+    if not marked.where(verdict).limit(1).count():
         return single
-    repeated = joined.where(F.col(own) == F.lit(False)).select(*documents.columns).dropDuplicates(["doc_id"])
-    return single.unionByName(repeated)
+    # Rows of an id that several have are told apart by their class.
+    several = documents.join(F.broadcast(marked.where(verdict)) if marked.count() <= SENT_IDS else marked.where(verdict), documents["doc_id"] == F.col(id_of), "left_semi")
+    kept = told.where("stays").select(F.col("doc_id").alias(id_of), F.col("key").alias(verdict), (F.col("n") == 0).alias("__ngram_join_empty"))
+    with_key = _with_key(several, key_of, size, seed)
+    kept_rows = with_key.join(kept, (with_key["doc_id"] == F.col(id_of)) & (F.col(key_of) == F.col(verdict)))
+    empty = kept_rows.where("__ngram_join_empty").select(*documents.columns)
+    others = kept_rows.where("not __ngram_join_empty").dropDuplicates(["doc_id", key_of]).select(*documents.columns)
+    return single.unionByName(empty).unionByName(others)
+
+
+def _with_key(documents: DataFrame, name: str, size: int, seed: int) -> DataFrame:
+    """All columns of the rows, and their class."""
+    at, schema = documents.columns.index("text"), T.StructType([*documents.schema, T.StructField(name, T.LongType())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [set_key(shingle_set(x.as_py(), size), seed)[0] for x in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=[*b.schema.names, name])
+
+    return documents.mapInArrow(read, schema)
