@@ -92,7 +92,7 @@ def set_key(u: np.ndarray, seed: int) -> tuple[int, int]:
 
 
 def slots(u: np.ndarray, bits: int = SKETCH_BITS, row: int = 0) -> np.ndarray:
-    return ((mixed(u + np.uint64(row)) if row else u) >> np.uint64(64 - bits)).astype(np.int64)
+    return ((u >> np.uint64(64 - bits - 24 * row)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def commonness(u: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -116,13 +116,13 @@ def most_different(a: int, b: int, threshold: int = THRESHOLD) -> int:
     return a + b - 2 * -(-threshold * (a + b) // (100 + threshold))
 
 
-def signatures(u: np.ndarray, counts: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """A set's signatures and how common the rarest shingle in each is."""
+def signatures(u: np.ndarray, counts: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, float]:
+    """A set's signatures, how common the rarest shingle in each is, and how common the set's shingles are on average."""
     n = len(u)
     largest = 100 * n // threshold
     k = (n + largest) * (100 - threshold) // (100 + threshold)  # no partner differs in more
     if k < 1:  # only equal sets link
-        return u[:0], u[:0].astype(np.int64)
+        return u[:0], u[:0].astype(np.int64), 0.0
     band = 0
     while BAND ** (band + 1) <= n:
         band += 1
@@ -135,12 +135,14 @@ def signatures(u: np.ndarray, counts: np.ndarray, threshold: int = THRESHOLD) ->
         small = ((m >> np.uint64(32)) * np.uint64(parts * second)) >> np.uint64(32)
         order = np.argsort(small)
         small, m, f = small[order], m[order], often[order]
-        sigs, rare = [], []
+        sigs, rare, turns = [], [], small % np.uint64(second) if spoiled else None
         for which, subset in enumerate(combinations(range(second), second - spoiled)):
-            inside = np.isin(small % np.uint64(second), np.array(subset, np.uint64)) if spoiled else slice(None)
-            part, held, of = small[inside] // np.uint64(second), m[inside], f[inside]
-            if not len(part):
-                continue
+            part, held, of = small, m, f
+            if spoiled:
+                inside = np.logical_or.reduce([turns == np.uint64(j) for j in subset])
+                part, held, of = small[inside] // np.uint64(second), m[inside], f[inside]
+                if not len(part):
+                    continue
             first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             sigs.append(mixed(np.add.reduceat(held, first) + (part[first] * np.uint64(8) + np.uint64(which)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tag)))
             rare.append(np.minimum.reduceat(of, first))
@@ -154,7 +156,7 @@ def signatures(u: np.ndarray, counts: np.ndarray, threshold: int = THRESHOLD) ->
         if len(sig) <= most:
             out.append(mixed(m + np.uint64(104729 * tag + 2)))
             common.append(f)
-    return np.concatenate(out), np.concatenate(common)
+    return np.concatenate(out), np.concatenate(common), float(often.mean())
 
 
 def histogram(u: np.ndarray) -> np.ndarray:
@@ -195,15 +197,28 @@ def _sets(documents: DataFrame, size: int, seed: int, bits: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, sketch = ["doc_id", "n", "key", "check", "slice", "part", "counts"], np.zeros((SKETCH_ROWS, 1 << bits), np.uint32)
         kinds, ids = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], None
+        held, waiting = [], 0
+
+        def count() -> None:
+            u = np.concatenate(held)
+            for r in range(SKETCH_ROWS):
+                sketch[r] += np.bincount(slots(u, bits, r), minlength=1 << bits).astype(np.uint32)
+            held.clear()
+
         for b in batches:
             ids, n, key, check = b.column(0), [], [], []
             for x in b.column(1):
                 u = shingle_set(x.as_py(), size)
-                for r in range(SKETCH_ROWS):
-                    np.add.at(sketch[r], slots(u, bits, r), 1)
+                held.append(u)
+                waiting += len(u)
+                if waiting >= max(500_000, 1 << bits - 1):  # counted together
+                    count()
+                    waiting = 0
                 k = set_key(u, seed)
                 n.append(len(u)), key.append(k[0]), check.append(k[1])
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip((n, key, check), kinds, strict=False)), *(pa.nulls(len(n), t) for t in kinds[3:])], names=names)
+        if held:
+            count()
         if ids is not None:
             part = TaskContext.get().partitionId()
             for k, x in enumerate(np.split(sketch.ravel(), SKETCH_ROWS * SLICES)):
@@ -264,12 +279,12 @@ def _signature_rows(documents: DataFrame, counts, size: int, seed: int, threshol
                 if k in seen:
                     continue
                 seen.add(k)
-                s, common = signatures(u, known, threshold)
+                s, common, mean = signatures(u, known, threshold)
                 if not len(s):
                     continue
                 expected = sets_with(common)
                 salt = np.int64(k & 0xFFFFFF) % (expected // GROUP + 1) + (expected >= GROUP)
-                rank = int(100 * commonness(u, known).mean())
+                rank = int(100 * mean)
                 found = (s.view(np.int64), salt.astype(np.int32), np.full(len(s), k, np.int64), np.full(len(s), rank, np.int32), np.full(len(s), len(u), np.int32))
                 for col, value in zip(cols, found, strict=True):
                     col.append(value)
