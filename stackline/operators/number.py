@@ -3,17 +3,23 @@
 Statements without fields neither join nor break a run. With ``merge=False`` a run is a
 stretch of equal patterns, a window. With ``merge=True`` a statement also joins when its pattern
 and the run's fullest so far agree where both speak and one holds the other's captions; as
-that compares with what has built up, it is a fold over the record's ordered statements.
+that compares with what has built up, which no window does, the sorted statements of a record
+are read in one pass that keeps the open run alone.
 
-Defined cases: ties in order go by statement; a record without fields gives no row.
+Defined cases: ties in order go by statement; a record without fields gives no row; order columns
+may have any name.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-_PATTERN = "array<struct<code:string,value:string>>"
+from pyspark.sql import types as T
 
 
 def numbered(converted: DataFrame, order: list[str]) -> DataFrame:
@@ -26,13 +32,6 @@ def numbered(converted: DataFrame, order: list[str]) -> DataFrame:
     return linked.withColumn("first_seq", F.coalesce(F.sum(F.size("f863")).over(before), F.lit(0)) + 1).withColumn("run_853", F.col("f853"))
 
 
-def _agree(a: Column, b: Column) -> Column:
-    """Equal where both have a code, and one's codes all in the other."""
-    codes = lambda p: F.transform(p, lambda x: x["code"])
-    clash = F.exists(a, lambda x: F.exists(b, lambda y: (x["code"] == y["code"]) & (x["value"] != y["value"])))
-    return ~clash & ((F.size(F.array_except(codes(a), codes(b))) == 0) | (F.size(F.array_except(codes(b), codes(a))) == 0))
-
-
 def existing(records: DataFrame) -> DataFrame:
     """rec, pos, link, enum_codes and year, month, day codes of each 853 that a record has (rec, fields)."""
     each = records.select("rec", F.explode("fields").alias("f")).where("f.tag = '853'")
@@ -73,46 +72,63 @@ def conformed(converted: DataFrame, has: DataFrame, order: list[str], enum: tupl
     return first.select(*keys, "f853", F.when(F.col("to").isNotNull(), changed).otherwise(F.col("f863")).alias("f863"), F.col("to.link").alias("conform"))
 
 
+def _nth_free(n: Column, used: Column) -> Column:
+    """The nth positive number that isn't among the few ``used``."""
+    return F.aggregate(F.array_sort(used), n, lambda x, u: F.when(u <= x, x + 1).otherwise(x))
+
+
+@lru_cache(maxsize=100_000)
+def _meets(full: str, pattern: str) -> tuple[bool, bool]:
+    """Whether a pattern joins a run with this fullest one, and whether it is itself fuller. Both as JSON; records share few."""
+    a, b = ({x["code"]: x["value"] for x in json.loads(p)} for p in (full, pattern))
+    return all(b[c] == v for c, v in a.items() if c in b) and (a.keys() <= b.keys() or b.keys() <= a.keys()), len(b) > len(a)
+
+
 def merged(converted: DataFrame, order: list[str], taken: str | None = None) -> DataFrame:
     """A row for each statement with fields: ``link``, ``run_853`` (its run's fullest), ``first_seq``, ``merged``.
 
     taken: a column of links that the record has already, which new runs leave out. A column
     ``conform`` gives a statement its link; it then ends the run before it.
     """
-    if "conform" not in converted.columns:
-        converted = converted.withColumn("conform", F.lit(None).cast("int"))
-    entry = F.struct(*order, "stmt", "f853", F.size("f863").alias("n"), "f863", "conform")
-    keys = ["rec", *([taken] if taken else [])]
-    gathered = converted.where(F.size("f863") > 0).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("all"))
-    zero = F.struct(F.lit(0).alias("run"), F.lit(False).alias("open"), F.array().cast(_PATTERN).alias("full"), F.lit(1).alias("seq"), F.array().cast("array<struct<run:int,seq:int,subset:boolean>>").alias("out"), F.array().cast(f"array<{_PATTERN}>").alias("fulls"))
-
-    def step(s: Column, x: Column) -> Column:
-        own = x["conform"].isNull()
-        joins = own & s["open"] & _agree(s["full"], x["f853"])
-        fuller = F.size(x["f853"]) > F.size(s["full"])
-        full = F.when(~own | (joins & ~fuller), s["full"]).otherwise(x["f853"])
-        run = F.when(joins | ~own, s["run"]).otherwise(s["run"] + 1)
-        seq = F.when(joins, s["seq"]).otherwise(F.lit(1))
-        subset = joins & (F.size(x["f853"]) != F.size(s["full"]))
-        out = F.concat(s["out"], F.array(F.struct(F.when(own, run).otherwise(0).alias("run"), seq.alias("seq"), subset.alias("subset"))))
-        kept = F.slice(s["fulls"], F.lit(1), F.greatest(F.size(s["fulls"]) - 1, F.lit(0)))
-        fulls = F.when(~own, s["fulls"]).when(joins, F.concat(kept, F.array(full))).otherwise(F.concat(s["fulls"], F.array(full)))
-        return F.struct(run.alias("run"), own.alias("open"), full.alias("full"), F.when(own, seq + x["n"]).otherwise(s["seq"]).alias("seq"), out.alias("out"), fulls.alias("fulls"))
-
-    folded = gathered.withColumn("fold", F.aggregate("all", zero, step))
+    own = lambda name: f"__number_{name}"
+    conform = F.col("conform").cast("int") if "conform" in converted.columns else F.lit(None).cast("int")
     had = F.transform(F.filter(F.col(taken), lambda x: x.rlike(r"^\d+$")), lambda x: x.try_cast("int")) if taken else F.array().cast("array<int>")
-    used = F.array_distinct(F.concat(had, F.filter(F.transform("all", lambda x: x["conform"]), lambda x: x.isNotNull())))
-    free = F.array_except(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("fold.run") + F.size(used))), used)
-    rows = folded.withColumn("free", free).select("rec", F.posexplode("all").alias("k", "s"), "fold", "free", "all")
-    at = F.get("fold.out", F.col("k"))
-    subsets = F.exists("fold.out", lambda o: (o["run"] == at["run"]) & o["subset"])
-    before = F.aggregate(F.filter(F.slice("all", F.lit(1), F.col("k")), lambda x: x["conform"] == F.col("s.conform")), F.lit(1), lambda n, x: n + x["n"])
-    own = F.col("s.conform").isNull()
-    # ``get`` of place -1 is null: a conforming statement has no run
-    return rows.select(
-        "rec", *(F.col(f"s.{c}").alias(c) for c in order), F.col("s.stmt").alias("stmt"), F.col("s.f863").alias("f863"),
-        F.when(own, F.get("free", at["run"] - 1)).otherwise(F.col("s.conform")).alias("link"), F.when(own, at["seq"]).otherwise(before).alias("first_seq"),
-        F.when(own, F.get("fold.fulls", at["run"] - 1)).alias("run_853"), (own & subsets).alias("merged"), (~own).alias("conformed"),
+    rows = converted.where(F.size("f863") > 0).select("rec", *order, "stmt", "f853", "f863", conform.alias(own("conform")), had.alias(own("had")), F.size("f863").alias(own("n")), F.to_json("f853").alias(own("pattern")))
+    schema = T.StructType([*rows.schema, T.StructField(own("run"), T.IntegerType()), T.StructField(own("seq"), T.LongType()), T.StructField(own("subset"), T.BooleanType())])
+    places = [rows.columns.index(c) for c in ("rec", own("conform"), own("n"), own("pattern"))]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rec, run, seq, full = None, 0, 1, None  # full: the open run's fullest pattern; None where no run is open
+        for b in batches:
+            runs, seqs, subsets = [], [], []
+            for key, to, n, pattern in zip(*(b.column(k).to_pylist() for k in places), strict=True):
+                if key != rec:
+                    rec, run, full = key, 0, None
+                if to is not None:
+                    full = None
+                    runs.append(0), seqs.append(0), subsets.append(False)
+                    continue
+                joins, fuller = _meets(full, pattern) if full is not None else (False, False)
+                subsets.append(joins and full != pattern)
+                if not joins:
+                    run, seq = run + 1, 1
+                full = pattern if fuller or not joins else full
+                runs.append(run), seqs.append(seq)
+                seq += n
+            added = [pa.array(runs, pa.int32()), pa.array(seqs, pa.int64()), pa.array(subsets, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=schema.names)
+
+    seen = rows.repartition("rec").sortWithinPartitions("rec", *order, "stmt").mapInArrow(step, schema)
+    by_run, by_rec = Window.partitionBy("rec", own("run")), Window.partitionBy("rec")
+    before = Window.partitionBy("rec", own("conform")).orderBy(*order, "stmt").rowsBetween(Window.unboundedPreceding, -1)
+    is_own = F.col(own("conform")).isNull()
+    used = F.array_distinct(F.concat(F.flatten(F.collect_set(own("had")).over(by_rec)), F.collect_set(own("conform")).over(by_rec)))
+    told = seen.withColumn(own("used"), used).withColumn(own("full"), F.max(F.struct(F.size("f853").alias("s"), "f853")).over(by_run)["f853"]).withColumn(own("any"), F.max(own("subset")).over(by_run)).withColumn(own("before"), F.coalesce(F.sum(own("n")).over(before), F.lit(0)) + 1)
+    return told.select(
+        "rec", *order, "stmt", "f863",
+        F.when(is_own, _nth_free(F.col(own("run")), F.col(own("used")))).otherwise(F.col(own("conform"))).alias("link"),
+        F.when(is_own, F.col(own("seq"))).otherwise(F.col(own("before"))).cast("int").alias("first_seq"),
+        F.when(is_own, F.col(own("full"))).alias("run_853"), (is_own & F.col(own("any"))).alias("merged"), (~is_own).alias("conformed"),
     )
 
 

@@ -4,6 +4,9 @@ Files are split at the record terminator, so a large file is read by many tasks.
 and offsets of the directory are bytes, so slices are taken from binary. A record whose
 lengths don't hold is kept in its place as ``unreadable``.
 
+A record's key is its file and its place in it (``key``): places repeat from file to file. A table without
+``file`` is of one file.
+
 Defined cases: bytes that aren't UTF-8 are replaced; an empty file gives none; control
 fields have ``data``, others ``ind1``, ``ind2`` and ``subfields``.
 """
@@ -57,11 +60,18 @@ def with_index(records: DataFrame) -> DataFrame:
     return records.withColumn("own", own).join(starts, ["file", "block"]).withColumn("rec_idx", F.col("before") + F.col("own")).drop("own", "before", "block", "row")
 
 
+def key(records: DataFrame) -> list[str]:
+    """The columns that tell a record from all others."""
+    return [c for c in ("file", "rec_idx") if c in records.columns]
+
+
 def refuse_unreadable(records: DataFrame, shown: int = 10) -> DataFrame:
-    """The records, or an error that names the first unreadable places, counted from one."""
-    bad = [r[0] + 1 for r in records.where("unreadable").select("rec_idx").orderBy("rec_idx").limit(shown).collect()]
+    """The records, or an error that names the first unreadable places, counted from one, by file where there are several."""
+    bad = records.where("unreadable").select(*key(records)).orderBy(*key(records)).limit(shown).collect()
     if bad:
-        raise ValueError(f"records that can't be read, by place: {', '.join(map(str, bad))}")
+        several = "file" in records.columns and records.select("file").distinct().limit(2).count() > 1
+        names = [f"{r['file'].rsplit('/', 1)[-1]}:{r['rec_idx'] + 1}" if several else str(r["rec_idx"] + 1) for r in bad]
+        raise ValueError(f"records that can't be read, by place: {', '.join(names)}")
     return records
 
 
@@ -72,18 +82,45 @@ def values(tag: str, codes: str) -> Column:
 
 
 def summary(records: DataFrame) -> DataFrame:
-    """rec_idx, title, issn, location, statements and which holdings fields there are."""
+    """The key, title, issn, location and which holdings fields there are."""
     has = lambda tag: F.coalesce(F.exists("fields", lambda f: f["tag"] == tag), F.lit(False))
     title = F.regexp_replace(F.trim(F.array_join(values("245", "ab"), " ")), r"[ /:]+$", "")
     named = F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(F.concat(F.lit("Record "), (F.col("rec_idx") + 1).cast("string")))
-    return records.select("rec_idx", named.alias("title"), F.coalesce(F.get(values("022", "a"), F.lit(0)), F.lit("")).alias("issn"), F.coalesce(F.array_join(values("852", "bc"), " > "), F.lit("")).alias("location"), has("866").alias("has_866"), has("853").alias("has_853"), has("863").alias("has_863"), "unreadable")
+    return records.select(*key(records), named.alias("title"), F.coalesce(F.get(values("022", "a"), F.lit(0)), F.lit("")).alias("issn"), F.coalesce(F.array_join(values("852", "bc"), " > "), F.lit("")).alias("location"), has("866").alias("has_866"), has("853").alias("has_853"), has("863").alias("has_863"), "unreadable")
 
 
 def statements(records: DataFrame) -> DataFrame:
-    """rec_idx, pos, stmt of each 866's first $a; blank ones are left out."""
-    each = records.select("rec_idx", F.explode("fields").alias("f")).where("f.tag = '866'")
+    """The key, pos, stmt of each 866's first $a; blank ones are left out."""
+    each = records.select(*key(records), F.explode("fields").alias("f")).where("f.tag = '866'")
     first = F.get(F.filter("f.subfields", lambda s: s["code"] == "a"), F.lit(0))["value"]
-    return each.select("rec_idx", F.col("f.pos").alias("pos"), F.trim(first).alias("stmt")).where("stmt <> ''")
+    return each.select(*key(records), F.col("f.pos").alias("pos"), F.trim(first).alias("stmt")).where("stmt <> ''")
+
+
+def origins(pieces: DataFrame, order: list[str], piece: str = "piece") -> DataFrame:
+    """The first place, by ``order``, of each different piece; the least of each task meet, so no place list is gathered."""
+    return pieces.groupBy(piece).agg(F.min(F.struct(*order)).alias("first"), F.count(F.lit(1)).alias("times")).select(piece, "times", "first.*")
+
+
+def matched_sources(records: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of ``texts`` (the key, nth, text) with ``pos``, the 866 of their record with that statement.
+
+    A record's equal statements are claimed one after the other; an edited text has no place.
+    """
+    keys = key(records)
+    has = statements(records).withColumn("_turn", F.row_number().over(Window.partitionBy(*keys, "stmt").orderBy("pos")))
+    wanted = texts.withColumn("_text", F.trim(F.coalesce("text", F.lit(""))))
+    wanted = wanted.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys, "_text").orderBy("nth")))
+    return wanted.join(has.withColumnRenamed("stmt", "_text"), [*keys, "_text", "_turn"], "left").select(*texts.columns, "pos")
+
+
+def without_converted(records: DataFrame, converted: DataFrame) -> DataFrame:
+    """Records without the 866s whose own statement gave 863 fields. converted: the key, pos, f863."""
+    keys = key(records)
+    done = converted.where((F.size("f863") > 0) & F.col("pos").isNotNull()).groupBy(*keys).agg(F.collect_set("pos").alias("_done"))
+    joined = records.join(done, keys, "left")
+    kept = F.filter("fields", lambda f: ~((f["tag"] == "866") & F.array_contains("_done", f["pos"])))
+    fields = F.when(F.col("_done").isNull(), F.col("fields")).otherwise(F.transform(kept, lambda f, i: f.withField("pos", i)))
+    return joined.withColumn("fields", fields).select(*records.columns)
 
 
 def to_raw(fields: Column, leader: Column) -> Column:
@@ -99,23 +136,24 @@ def to_raw(fields: Column, leader: Column) -> Column:
 
 
 def write_marc(records: DataFrame, path: str) -> None:
-    """Write rec_idx, leader and fields as files of records, in order of rec_idx over the files."""
-    rows = records.select("rec_idx", to_raw(F.col("fields"), F.col("leader")).alias("value"))
-    rows.orderBy("rec_idx").select("value").write.option("lineSep", END_RECORD).text(path)
+    """Write records (the key, leader, fields) as files of records, in order of the key over the files."""
+    rows = records.select(*key(records), to_raw(F.col("fields"), F.col("leader")).alias("value"))
+    rows.orderBy(*key(records)).select("value").write.option("lineSep", END_RECORD).text(path)
 
 
 def apply_conversion(records: DataFrame, fields_853: DataFrame, fields_863: DataFrame) -> DataFrame:
     """Records with new 853 and 863 fields; older ones of the same links go, so applying twice changes nothing.
 
-    fields_853: rec_idx, link, fields. fields_863: rec_idx, link, seq, fields.
+    fields_853: the key, link, fields. fields_863: the key, link, seq, fields.
     """
+    keys = key(records)
     make = lambda tag, i1, i2, eight: F.struct(F.lit(0).alias("pos"), F.lit(tag).alias("tag"), F.lit(None).cast("string").alias("data"), F.lit(i1).alias("ind1"), F.lit(i2).alias("ind2"), F.concat(F.array(F.struct(F.lit("8").alias("code"), eight.alias("value"))), F.col("fields")).alias("subfields"))
     link = F.col("link").cast("string")
-    a = fields_853.select("rec_idx", "link", F.lit(0).alias("seq"), make("853", "3", "1", link).alias("f"))
-    b = fields_863.select("rec_idx", "link", "seq", make("863", "4", "0", F.concat(link, F.lit("."), F.col("seq").cast("string"))).alias("f"))
-    new = a.unionByName(b).groupBy("rec_idx").agg(F.sort_array(F.collect_list(F.struct(F.col("f.tag").alias("tag"), "link", "seq", "f"))).alias("_new"), F.collect_set(link).alias("_links"))
+    a = fields_853.select(*keys, "link", F.lit(0).alias("seq"), make("853", "3", "1", link).alias("f"))
+    b = fields_863.select(*keys, "link", "seq", make("863", "4", "0", F.concat(link, F.lit("."), F.col("seq").cast("string"))).alias("f"))
+    new = a.unionByName(b).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("f.tag").alias("tag"), "link", "seq", "f"))).alias("_new"), F.collect_set(link).alias("_links"))
     eight = lambda f: F.coalesce(F.regexp_extract(F.get(F.filter(f["subfields"], lambda s: s["code"] == "8"), F.lit(0))["value"], r"^(\d+)", 1), F.lit(""))
-    joined = records.join(new, "rec_idx", "left")
+    joined = records.join(new, keys, "left")
     kept = F.filter("fields", lambda f: ~(f["tag"].isin("853", "863") & F.array_contains("_links", eight(f))))
     out = F.when(F.col("_new").isNull(), F.col("fields")).otherwise(F.concat(kept, F.transform("_new", lambda x: x["f"])))
     return joined.withColumn("fields", F.transform(out, lambda f, i: f.withField("pos", i))).drop("_new", "_links")

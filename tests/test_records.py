@@ -94,3 +94,51 @@ def test_clusters_match_their_patterns(spark):
     out = {r["signature"]: r["statements"] for r in detect.clusters(df).collect()}
     assert sum(out.values()) == 6 and out["UNKNOWN|NUMBER"] == 2
     assert all(r["match_rate"] == 1.0 for r in detect.match_rates(df).collect())
+
+
+def test_order_columns_of_any_name(spark):
+    names = ["s", "k", "n", "all", "free", "fold", "run", "seq"]
+    rows = [(1, *([0] * (len(names) - 1)), k, x) for k, x in enumerate(["v.5(1994)", "v.6:no.1(1995)", "77", "v. 1 no. 2 (Feb 1990)"])]
+    df = spark.createDataFrame(rows, f"rec long, {', '.join(f'{n} int' for n in names)}, stmt string")
+    done = df.join(convert.convert_statements(parse.parse_distinct(df)), "stmt")
+    out = number.merged(done, names).orderBy("seq").collect()
+    assert [(r["seq"], r["link"], r["first_seq"], r["merged"]) for r in out] == [(0, 1, 1, True), (1, 1, 2, True), (3, 1, 3, True)]
+
+
+def test_two_files_keep_their_records_apart(spark, tmp_path, records):
+    df, _ = records
+    path = tmp_path / "in"
+    path.mkdir()
+    for name, stmt in (("a", "v.1(1990)"), ("b", "v. 2 no. 1 (Feb 1991)")):
+        one = df.where("rec_idx = 0").withColumn("fields", F.transform("fields", lambda f, stmt=stmt: f.withField("subfields", F.when(f["tag"] == "866", F.array(F.struct(F.lit("a").alias("code"), F.lit(stmt).alias("value")))).otherwise(f["subfields"]))))
+        raw = one.select(marc.to_raw(F.col("fields"), F.col("leader"))).first()[0]
+        (path / f"{name}.mrc").write_bytes(raw.encode() + b"\x1d")
+    back = marc.with_index(marc.read_marc(spark, str(path)))
+    st = marc.statements(back)
+    assert st.columns == ["file", "rec_idx", "pos", "stmt"] and st.select("file", "rec_idx").distinct().count() == 2
+    keyed = st.withColumn("rec", F.struct("file", "rec_idx"))
+    done = number.merged(keyed.join(convert.convert_statements(parse.parse_distinct(st)), "stmt"), ["pos"])
+    f853 = done.groupBy("rec", "link").agg(F.max("run_853").alias("fields")).select("rec.*", "link", "fields")
+    f863 = number.fields(done).select("rec.*", "link", "seq", F.col("field").alias("fields"))
+    out = marc.apply_conversion(back, f853, f863)
+    said = {r["file"].rsplit("/", 1)[-1]: str(r["fields"]) for r in out.collect()}
+    assert said["a.mrc"].count("tag='863'") == 2 and "value='1990'" in said["a.mrc"] and "value='1991'" not in said["a.mrc"] and "value='1991'" in said["b.mrc"]
+    marc.write_marc(out, str(tmp_path / "out"))
+    again = marc.with_index(marc.read_marc(spark, str(tmp_path / "out")))
+    assert again.count() == 2 and again.where("unreadable").count() == 0
+    bad = marc.with_index(marc.read_marc(spark, str(path))).withColumn("unreadable", F.lit(True))
+    with pytest.raises(ValueError, match="a.mrc:1, b.mrc:1"):
+        marc.refuse_unreadable(bad)
+
+
+def test_statements_find_their_fields_and_converted_ones_go(spark, records):
+    df, _ = records
+    two = df.where("rec_idx in (0, 1)").withColumn("fields", F.concat("fields", F.transform(F.slice("fields", 6, 1), lambda f: f.withField("pos", F.lit(6)))))
+    texts = spark.createDataFrame([(0, 0, "v. 5 no. 1 (1994)"), (0, 1, " v. 5 no. 1 (1994) "), (0, 2, "v. 5 no. 1 (1994)"), (0, 3, "edited"), (1, 0, "v.1(1990)-v.4(1993)")], "rec_idx long, nth int, text string")
+    out = {(r["rec_idx"], r["nth"]): r["pos"] for r in marc.matched_sources(two, texts).collect()}
+    assert out == {(0, 0): 5, (0, 1): 6, (0, 2): None, (0, 3): None, (1, 0): 4}
+    got = spark.createDataFrame([(0, 5, ["x"]), (0, 4, []), (0, None, ["x"])], "rec_idx long, pos int, f863 array<string>")
+    left = {r["rec_idx"]: [(f["pos"], f["tag"]) for f in r["fields"]] for r in marc.without_converted(two, got).collect()}
+    assert [t for _, t in left[0]] == ["001", "245", "022", "852", "866", "866"] and [p for p, _ in left[0]] == list(range(6)) and len(left[1]) == 7
+    first = marc.origins(marc.statements(two).withColumnRenamed("stmt", "piece"), ["rec_idx", "pos"]).collect()
+    assert {(r["piece"], r["times"], r["rec_idx"], r["pos"]) for r in first} == {("v.1(1990)-v.4(1993)", 2, 0, 4), ("v. 5 no. 1 (1994)", 4, 0, 5)}
