@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackline.functions.signature import open_ended
-from stackline.operators import audit, convert, detect, number, parse, rules
+from stackline.operators import audit, convert, detect, number, parse, roles, rules
 from stackline.plans import rendered
+from stackline.sources import marc
 
 ORDER = ["v", "p", "s", "d", "i"]
 PATTERNS = [
@@ -17,6 +18,10 @@ PATTERNS = [
 ]
 
 
+#: With a pattern for even numbers before the one that leaves all lone numbers as they are.
+APPLIED = [*PATTERNS, {"id": "even", "regex": r"(?<startvol>\d*[02468]) \?", "priority": 12, "roles": [{"group": "startvol", "boundary": "start", "kind": "enum", "level": 1, "caption": "v."}]}]
+
+
 def _shown(fields):
     return F.array_join(F.transform(fields, lambda x: F.concat(F.lit("$"), x["code"], F.lit(" "), x["value"])), " ")
 
@@ -98,15 +103,42 @@ def rules_captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("stmt", value(0).alias("e1"), value(1).alias("e2"), F.col("start.year").alias("y1"), F.col("start.month").alias("m1"))
 
 
+def rules_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct statement's source and the fields that it gives."""
+    good, _ = rules.loaded(APPLIED)
+    found = rules.applied(rendered.statements(spark, sf_dir), good)
+    sources = found.groupBy("stmt").agg(F.max("source").alias("source"))
+    done = convert.convert_statements(found).join(sources, "stmt")
+    return done.select("stmt", "source", F.size("f863").cast("long").alias("fields"), _shown(F.get("f863", F.lit(0))).alias("f863"), F.exists("warnings", lambda w: w.startswith("passed_over")).alias("passed_over"))
+
+
+def roles_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = roles.inferred(detect.patterns(rendered.statements(spark, sf_dir)))
+    return found.select("signature", F.col("place").cast("long").alias("place"), F.col("group").alias("group_name"), "boundary", "kind", F.col("level").cast("long").alias("level"), "caption", "suggested")
+
+
+def clusters_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rendered.statements(spark, sf_dir)
+    return roles.decides(detect.members(rows), parse.parse_distinct(rows))
+
+
+def statement_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first place of each piece of a statement."""
+    rows = rendered.statements(spark, sf_dir)
+    whole = F.coalesce(parse.is_list(F.col("stmt")), F.lit(False))
+    pieces = rows.select("rec", *ORDER, F.posexplode(F.when(whole, F.array("stmt")).otherwise(parse.top_level(F.col("stmt")))).alias("nth", "piece"))
+    return marc.origins(pieces, ["rec", *ORDER, "nth"]).select("piece", "times", "rec", "v")
+
+
 def free_text_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents' first lines look like holdings at all."""
+    """How many whole documents pass the test for block statements (``parse.BLOCK``), which free text shouldn't."""
     lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("text").alias("stmt"))
     return lines.select(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("stmt").rlike(parse.BLOCK)).alias("blocks"))
 
 
 QUERIES = (
     holdings_clusters, holdings_match_rates, holdings_segments, holdings_top_level_pieces, holdings_predicates, holdings_ranges, holdings_values, holdings_captions,
-    record_links, record_links_merged, record_review, holdings_audit, rules_by_source, rules_captured, free_text_statements,
+    record_links, record_links_merged, record_review, holdings_audit, rules_by_source, rules_captured, rules_applied, roles_inferred, clusters_decide, statement_origins, free_text_statements,
 )
 
 _S = f"WITH s AS ({rendered.SQL})"
@@ -131,6 +163,12 @@ SELECT stmt, 0 AS pos, CASE family WHEN 'A' THEN concat('$a ', v, ' $b ', i, ' $
 UNION ALL SELECT stmt, 1, CASE family WHEN 'D' THEN concat('$a ', v, ' $b ', i + 2, ' $i ', y) ELSE concat('$a ', v + 1, ' $i ', y + 2) END FROM d WHERE family IN ('D', 'H')"""
 _F853 = {"A": "$a v. $b no. $i (year) $j (month)", "B": "$a v. $i (year)", "C": "$a v. $i (year)", "D": "$a v. $b no. $i (year)", "E": "$a (*) $b (*) $i (year) $j (month)", "F": "$a v. $b no. $i (year) $j (season)", "H": "$a v. $i (year)"}
 _TEXT = "CAST({} AS VARCHAR)"
+_ROLES = {
+    "startvol": "'start', 'enum', 1, 'v.'", "startiss": "'start', 'enum', 2, 'no.'", "endvol": "'end', 'enum', 1, 'v.'", "endiss": "'end', 'enum', 1, 'no.'", "startyear": "'start', 'year', NULL, NULL",
+    "endyear": "'end', 'year', NULL, NULL", "startmonth": "'start', 'month', NULL, NULL", "startnum": "'start', 'unresolved', NULL, NULL", "endnum": "'start', 'unresolved', NULL, NULL",
+}
+_GROUPS = {"A": "startvol startiss startmonth startyear", "B": "startvol startyear endvol endyear", "C": "startvol startyear", "D": "startvol startiss endiss startyear", "E": "startyear startnum endnum startmonth", "G": "startnum", "H": "startvol startyear endvol endyear"}
+_ROLE_ROWS = ", ".join(f"('{_SIGNATURE[f]}', {k}, '{g}', {_ROLES[g]})" for f, groups in _GROUPS.items() for k, g in enumerate(groups.split()))
 
 ORACLE = {
     "holdings_clusters": f"{_S} SELECT {_CASE(_SIGNATURE)} AS signature, count(*) AS statements, count(DISTINCT stmt) AS distinct_statements FROM s GROUP BY 1",
@@ -151,5 +189,13 @@ ORACLE = {
     "holdings_audit": f"{_D} SELECT CASE WHEN family = 'G' THEN 'review' ELSE 'ok' END AS verdict, count(*) AS statements FROM d GROUP BY 1",
     "rules_by_source": f"{_S} SELECT CASE family WHEN 'A' THEN 'months' WHEN 'G' THEN 'bare' WHEN 'B' THEN 'any' WHEN 'C' THEN 'any' WHEN 'D' THEN 'any' WHEN 'H' THEN 'any' ELSE 'parser' END AS source, count(*) AS statements FROM s GROUP BY 1",
     "rules_captured": f"{_D} SELECT stmt, {_TEXT.format('v')} AS e1, {_TEXT.format('i')} AS e2, {_TEXT.format('y')} AS y1, {_MM} AS m1 FROM d WHERE family = 'A'",
+    "rules_applied": f"""{_D}, x AS (SELECT stmt, min(f863) FILTER (pos = 0) AS f863, count(*) AS n FROM ({_VALUES}) GROUP BY stmt)
+        SELECT d.stmt, CASE WHEN family = 'A' THEN 'months' WHEN family IN ('B', 'C', 'H') THEN 'any' WHEN family = 'G' AND i % 2 = 0 THEN 'even' WHEN family = 'G' THEN 'skipped' ELSE 'parser' END AS source,
+        CASE WHEN family = 'G' THEN CAST(i % 2 = 0 AS BIGINT) ELSE n END AS fields, CASE WHEN family = 'G' AND i % 2 = 0 THEN concat('$a ', i) ELSE f863 END AS f863, family = 'D' AS passed_over FROM d LEFT JOIN x USING (stmt)""",
+    "roles_inferred": f"""{_S}, g AS (SELECT DISTINCT {_CASE(_SIGNATURE)} AS signature FROM s), r AS (SELECT * FROM (VALUES {_ROLE_ROWS}) AS t(signature, place, group_name, boundary, kind, level, caption))
+        SELECT signature, CAST(place AS BIGINT) AS place, group_name, boundary, kind, CAST(level AS BIGINT) AS level, caption, FALSE AS suggested FROM r JOIN g USING (signature)""",
+    "clusters_decide": f"{_S} SELECT {_CASE(_SIGNATURE)} AS signature, CASE max(family) WHEN 'G' THEN 'reading' WHEN 'E' THEN 'caption' ELSE 'nothing' END AS decides FROM s GROUP BY 1",
+    "statement_origins": f"""{_S}, e AS (SELECT *, unnest(CASE WHEN family = 'H' THEN string_split(stmt, ', ') ELSE [stmt] END) AS piece, unnest(CASE WHEN family = 'H' THEN [0, 1] ELSE [0] END) AS nth FROM s),
+        o AS (SELECT piece, rec, v, count(*) OVER (PARTITION BY piece) AS times, row_number() OVER (PARTITION BY piece ORDER BY rec, v, p, s, d, i, nth) AS turn FROM e) SELECT piece, times, rec, v FROM o WHERE turn = 1""",
     "free_text_statements": r"SELECT count(*) AS documents, count(*) FILTER (regexp_matches(text, '(?i)^\s*[NM]?\s*(?:\d{4}|\?)\s*:')) AS blocks FROM documents",
 }

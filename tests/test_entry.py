@@ -15,7 +15,7 @@ def test_names_agree():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["holdings_clusters", "holdings_values", "record_links", "rules_by_source"])
+@pytest.mark.parametrize("name", ["holdings_clusters", "holdings_values", "record_links", "rules_by_source", "rules_applied", "roles_inferred", "clusters_decide", "statement_origins"])
 def test_query_matches_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
