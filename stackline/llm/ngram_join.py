@@ -211,7 +211,7 @@ def _sets(documents: DataFrame, size: int, seed: int, bits: int) -> DataFrame:
                 u = shingle_set(x.as_py(), size)
                 held.append(u)
                 waiting += len(u)
-                if waiting >= max(500_000, 1 << bits - 1):  # counted together
+                if waiting >= max(250_000, 1 << bits - 2):  # counted together
                     count()
                     waiting = 0
                 k = set_key(u, seed)
@@ -406,7 +406,7 @@ def _across(groups: DataFrame, labels: DataFrame, fetch: Callable[[DataFrame], D
             sizes = t[x, 5] + t[y, 5]
             most = sizes - 2 * -(-threshold * sizes // (100 + threshold))
             for bins in (coarse, h):
-                near = np.concatenate([np.abs(bins[x[k : k + 20_000]].astype(np.int16) - bins[y[k : k + 20_000]]).sum(1, dtype=np.int32) for k in range(0, len(x), 20_000)] or [most])
+                near = np.concatenate([np.abs(bins[x[k : k + 8_000]].astype(np.int16) - bins[y[k : k + 8_000]]).sum(1, dtype=np.int32) for k in range(0, len(x), 8_000)] or [most])
                 keep = near <= most
                 x, y, most = x[keep], y[keep], most[keep]
             found = np.unique(np.sort(np.stack([t[x, 4], t[y, 4]], 1), 1), axis=0)

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stackline.llm import decontaminate, html_labeller, ngram_join, packing, quality_rules, secret_scan, sharding, token_counts, url_filter, warc
 from stackline.llm import sql as oracle
+from stackline.llm.staging import bounded_batches
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
