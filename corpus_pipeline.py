@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stackline.llm import decontaminate, ngram_join, packing, quality_rules, secret_scan
 from stackline.llm.queries import TOKENIZER
-from stackline.llm.staging import staged
+from stackline.llm.staging import bounded_batches, staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet in the shared folder and read back for the next."""
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
