@@ -197,28 +197,16 @@ def _sets(documents: DataFrame, size: int, seed: int, bits: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, sketch = ["doc_id", "n", "key", "check", "slice", "part", "counts"], np.zeros((SKETCH_ROWS, 1 << bits), np.uint32)
         kinds, ids = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], None
-        held, waiting = [], 0
-
-        def count() -> None:
-            u = np.concatenate(held)
-            for r in range(SKETCH_ROWS):
-                sketch[r] += np.bincount(slots(u, bits, r), minlength=1 << bits).astype(np.uint32)
-            held.clear()
-
+        one = np.uint32(1)
         for b in batches:
             ids, n, key, check = b.column(0), [], [], []
             for x in b.column(1):
                 u = shingle_set(x.as_py(), size)
-                held.append(u)
-                waiting += len(u)
-                if waiting >= max(250_000, 1 << bits - 2):  # counted together
-                    count()
-                    waiting = 0
+                for r in range(SKETCH_ROWS):  # in place: no copies as wide as the sketch
+                    np.add.at(sketch[r], slots(u, bits, r), one)
                 k = set_key(u, seed)
                 n.append(len(u)), key.append(k[0]), check.append(k[1])
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip((n, key, check), kinds, strict=False)), *(pa.nulls(len(n), t) for t in kinds[3:])], names=names)
-        if held:
-            count()
         if ids is not None:
             part = TaskContext.get().partitionId()
             for k, x in enumerate(np.split(sketch.ravel(), SKETCH_ROWS * SLICES)):

@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks kept in each worker.
-KEPT = 300_000
+KEPT = 200_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 

@@ -28,7 +28,7 @@ def alnum_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, kept for words already seen up to a bound."""
 
-    def __init__(self, bound: int = 150_000):
+    def __init__(self, bound: int = 100_000):
         super().__init__()
         self.bound = bound
 
