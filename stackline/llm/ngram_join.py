@@ -10,8 +10,8 @@ link differ in at most k c signatures; with any common order of signatures they
 their first k c + 1. The order is that of a sketch of all shingles' frequencies, rarest first, so that
 common passages are not compared. The few sets with no more than k c signatures also give each
 shingle as a signature. Bands of larger sets have parts that aren't divided further (one subset, the
-whole part): there two of three smaller parts give twice the signatures and were measured to find
-no fewer pairs to compare.
+whole part): there two of three smaller parts need 2 k + 1 signatures for k + 1, by counting beyond
+the disk that the join may use.
 
 The sketch is a count-min sketch of two rows, as wide as the number of shingles asks for, up to a bound
 for what is sent to executors. What chance adds to each counter on average is taken off, so that beyond
