@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackline.functions.signature import KINDS, TOKEN, compact, letters, signature
+from stackline.functions.signature import KINDS, TOKEN, coarse, compact, label, letters, signature
 
 #: Tokens, and characters of a pattern, beyond which a cluster gets none.
 MOST_TOKENS, MOST_PATTERN = 40, 4000
@@ -31,6 +31,13 @@ def clusters(statements: DataFrame, column: str = "stmt") -> DataFrame:
     return found.orderBy(F.desc("statements"), "example")
 
 
+def labels(statements: DataFrame, column: str = "stmt") -> DataFrame:
+    """Each cluster with its ``label``, its ``coarse`` signature, and how many clusters share that."""
+    found = clusters(statements, column).withColumn("label", label(F.col("signature"))).withColumn("coarse", coarse(F.col("signature")))
+    # The window is over clusters, not statements.
+    return found.withColumn("clusters", F.count(F.lit(1)).over(Window.partitionBy("coarse")))
+
+
 def tokens(member: DataFrame) -> DataFrame:
     """A row for each token of a member: place, letter, text; numbers with hyphens and unknown runs are one token."""
     # The compact letters are matched against the raw ones, so that merged tokens keep their text.

@@ -35,6 +35,10 @@ def holdings_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.clusters(rendered.statements(spark, sf_dir)).select("signature", "statements", "distinct_statements")
 
 
+def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.labels(rendered.statements(spark, sf_dir)).select("signature", "label", "coarse", "clusters", "statements")
+
+
 def holdings_match_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.match_rates(rendered.statements(spark, sf_dir)).select("signature", "matched", "statements", F.col("match_rate").cast("double").alias("match_rate"))
 
@@ -137,7 +141,7 @@ def free_text_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    holdings_clusters, holdings_match_rates, holdings_segments, holdings_top_level_pieces, holdings_predicates, holdings_ranges, holdings_values, holdings_captions,
+    holdings_clusters, cluster_labels, holdings_match_rates, holdings_segments, holdings_top_level_pieces, holdings_predicates, holdings_ranges, holdings_values, holdings_captions,
     record_links, record_links_merged, record_review, holdings_audit, rules_by_source, rules_captured, rules_applied, roles_inferred, clusters_decide, statement_origins, free_text_statements,
 )
 
@@ -154,6 +158,7 @@ _SIGNATURE = {
     "G": "NUMBER|UNKNOWN",
     "H": "VOL_CAP|NUMBER|" + _PAREN.format("YEAR") + "|SEP_COMMA|VOL_CAP|NUMBER|" + _PAREN.format("YEAR"),
 }
+_LABEL = {"A": "VOLISS(CHRONYEAR)", "B": "VOL(YEAR) \u2014 VOL(YEAR)", "C": "VOL(YEAR)\u2013", "D": "VOLISS\u2039text\u203a#,#(YEAR)", "E": "YEAR:#(#\u2039text\u203aCHRON\u2039text\u203a)", "F": "VOLISS(CHRONYEAR)", "G": "#\u2039text\u203a", "H": "VOL(YEAR),VOL(YEAR)"}
 _CASE = lambda table: "CASE family " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
 _MM = "lpad(CAST(m AS VARCHAR), 2, '0')"
 _VALUES = f"""
@@ -172,6 +177,7 @@ _ROLE_ROWS = ", ".join(f"('{_SIGNATURE[f]}', {k}, '{g}', {_ROLES[g]})" for f, gr
 
 ORACLE = {
     "holdings_clusters": f"{_S} SELECT {_CASE(_SIGNATURE)} AS signature, count(*) AS statements, count(DISTINCT stmt) AS distinct_statements FROM s GROUP BY 1",
+    "cluster_labels": f"{_S} SELECT {_CASE(_SIGNATURE)} AS signature, {_CASE(_LABEL)} AS label, {_CASE(_SIGNATURE)} AS coarse, CAST(1 AS BIGINT) AS clusters, count(*) AS statements FROM s GROUP BY 1, 2, 3",
     "holdings_match_rates": f"{_S} SELECT {_CASE(_SIGNATURE)} AS signature, count(*) AS matched, count(*) AS statements, CAST(1 AS DOUBLE) AS match_rate FROM s GROUP BY 1",
     "holdings_segments": f"{_D} SELECT stmt, CAST(k AS BIGINT) AS pos, CASE WHEN family <> 'H' THEN stmt ELSE string_split(stmt, ', ')[k + 1] END AS segment FROM d, (SELECT unnest([0, 1]) AS k) WHERE k = 0 OR family = 'H'",
     "holdings_top_level_pieces": f"{_D} SELECT stmt, CAST(k AS BIGINT) AS pos, CASE WHEN family NOT IN ('D', 'H') THEN stmt ELSE string_split(stmt, ', ')[k + 1] END AS piece FROM d, (SELECT unnest([0, 1]) AS k) WHERE k = 0 OR family IN ('D', 'H')",

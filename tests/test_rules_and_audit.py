@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stackline.functions.signature import signature
+from stackline.functions.signature import coarse, kinds_of, label, range_separator, signature
 from stackline.operators import audit, convert, parse, rules
 from stackline.plans.holdings import PATTERNS
 
@@ -22,6 +22,25 @@ def test_captions_share_a_signature(spark):
     assert rows.count() == 1
 
 
+def test_labels(spark):
+    want = {
+        "v. 7-9 (2001-2003)": ("VOL-VOL(YEAR-YEAR)", None), "v. 2 no. 1 (1988)-v. 4 no. 6 (1990)": ("VOLISS(YEAR) \u2014 VOLISS(YEAR)", 8), "1950-1962": ("YEAR \u2014 YEAR", 2),
+        "v. 9 (2004)-": ("VOL(YEAR)\u2013", None), "12-14": ("#-#", None), "v. 3-5-8": ("VOL-VOL-VOL", None), "v. 1 (1970)-3 (1972)": ("VOL(YEAR) \u2014 #(YEAR)", 6), "lacking v. 6": ("\u2039text\u203aVOL", None),
+        "(v. 1-v. 2)": ("(VOL-VOL)", None), ")-v. 2": (")-VOL", None), "-": ("\u2013", None), "-v. 2": (" \u2014 VOL", 1), "": ("", None), None: (None, None),
+    }
+    read = spark.createDataFrame([(k,) for k in want], "s string").withColumn("g", signature(F.col("s")))
+    out = {r["s"]: (r["label"], r["at"]) for r in read.select("s", label(F.col("g")).alias("label"), range_separator(kinds_of(F.col("g"))).alias("at")).collect()}
+    assert out == want
+    cut = read.where("s = '1950-1962'").select(label(F.col("g"), 6).alias("x")).first()[0]
+    assert cut == "YEAR \u2014"
+
+
+def test_coarse_signatures(spark):
+    want = {"MON|YEAR": "CHRON|YEAR", "SEASON|UNKNOWN|SEASON|YEAR": "CHRON|YEAR", "CHRON|UNKNOWN|MON|UNKNOWN|SEASON": "CHRON", "CHRON|UNKNOWN|YEAR": "CHRON|UNKNOWN|YEAR", "UNKNOWN|CHRON": "UNKNOWN|CHRON", "": "", None: None}
+    out = {r["g"]: r["c"] for r in spark.createDataFrame([(k,) for k in want], "g string").select("g", coarse(F.col("g")).alias("c")).collect()}
+    assert out == want
+
+
 def test_validation():
     ok = PATTERNS[0]
     assert rules.validated(ok) == [] and rules.validated(PATTERNS[2]) == []
