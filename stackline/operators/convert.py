@@ -10,16 +10,19 @@ review or failed gives no field; where every value of a range was dropped, the r
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackline.functions.codes import codeable
+from stackline.functions.codes import chronology_text, codeable
 from stackline.operators.parse import BOUNDARY_TYPE
 
 CHRONOLOGY = ("year", "month", "day")
 FIELD = "array<struct<code:string,value:string>>"
+#: Subfields of an 853 that hold captions.
+LETTERS = "abcdefghijklm"
 #: Deeper statements are flagged.
 PLAUSIBLE_DEPTH = 3
 
@@ -33,15 +36,75 @@ class Convention:
     indicators: tuple[str, str] = ("3", "1")
     frequency: str = ""
     continuity: str = ""
+    chron_as_text: bool = False
 
     def __post_init__(self):
         used = [*self.enum, *self.chron.values()]
-        if len(set(used)) < len(used) or not set(used) <= set("abcdefghijklm"):
+        if len(set(used)) < len(used) or not set(used) <= set(LETTERS):
             raise ValueError("subfields must be different letters from a to m")
 
 
 STANDARD = Convention()
-HOUSE = Convention(("b", "c", "d", "e", "f"), {"year": "a", "month": "i"}, ("2", "0"))
+HOUSE = Convention(("b", "c", "d", "e", "f"), {"year": "a", "month": "i"}, ("2", "0"), chron_as_text=True)
+PRESETS = {"standard": STANDARD, "house": HOUSE}
+#: Levels by the words that older settings have for them.
+OLDER_NAMES = {"vol": 0, "issue": 1, "part": 2}
+
+
+def level_of(name: object) -> int | None:
+    """The enumeration level, from 0, that a setting names: a number, ``e1`` for the first, or an older word; else null."""
+    if isinstance(name, str):
+        name = name.strip().lower()
+        found = re.fullmatch(r"(e?)([0-9]+)", name)
+        name = OLDER_NAMES.get(name) if found is None else int(found[2]) - len(found[1])
+    return name if isinstance(name, int) and not isinstance(name, bool) and name >= 0 else None
+
+
+def overlaid(base: Convention = STANDARD, subfields: dict | None = None, indicators: object = None, chron_as_text: bool | None = None) -> tuple[Convention, list[str]]:
+    """A convention with wishes laid over it, and what is said of those that don't hold; these leave it as it was.
+
+    subfields: letters by chronology level, by enumeration level (``level_of``), or a sequence as ``enum``.
+    Enumeration is settled first. A level without a wish whose letter another level now has goes.
+    """
+    letter = lambda x: str(x or "").strip().lower()
+    usable = lambda x: len(x) == 1 and x in LETTERS
+    said: list[str] = []
+    asked = dict(subfields or {})
+    sequence = asked.pop("enum", None)
+    levels = {k: v for k, v in asked.items() if k not in base.chron and level_of(k) is not None}
+    said += [f"unknown level {k}" for k in asked if k not in base.chron and k not in levels]
+    if isinstance(sequence, dict):
+        levels, sequence = {**levels, **sequence}, None
+    elif sequence is not None and levels:
+        said.append("levels beside a whole sequence")
+    enum = list(base.enum)
+    if sequence is not None:
+        enum = [letter(x) for x in (sequence if isinstance(sequence, (list, tuple)) else [sequence])]
+    elif levels:
+        room = lambda k: level_of(k) is not None and level_of(k) < len(base.enum)
+        said += [f"no level {k}" for k in levels if not room(k)]
+        wanted = {level_of(k): letter(v) for k, v in levels.items() if room(k)}
+        enum = [wanted.get(i, x) for i, x in enumerate(base.enum) if i in wanted or x not in wanted.values()]
+        if len(enum) < len(base.enum):
+            said.append(f"room for {len(enum)} levels")
+    if not enum or not all(map(usable, enum)) or len(set(enum)) < len(enum) or set(enum) & set(base.chron.values()):
+        said.append(f"enumeration can't be in {' '.join(enum)}")
+        enum = list(base.enum)
+    chron = dict(base.chron)
+    for level in (k for k in asked if k in chron):
+        x = letter(asked[level])
+        if not usable(x) or x in enum or any(x == y for k, y in chron.items() if k != level):
+            said.append(f"{level} can't be in {x}")
+        else:
+            chron[level] = x
+    marks = base.indicators
+    if indicators is not None:
+        try:
+            first, second = list(indicators)[:2]
+            marks = tuple(str(x).strip()[:1] or " " for x in (first, second))
+        except (TypeError, ValueError):
+            said.append(f"indicators can't be {indicators}")
+    return replace(base, enum=tuple(enum), chron=chron, indicators=marks, chron_as_text=base.chron_as_text if chron_as_text is None else bool(chron_as_text)), said
 
 
 def hierarchy(levels: Column, has_finish: Column, open_ended: Column) -> Column:
@@ -114,7 +177,8 @@ def values(parsed: DataFrame, convention: Convention = STANDARD) -> DataFrame:
     has = F.col("finish").isNotNull()
     told = told.withColumn("_e", hierarchy(enum, has, F.col("open_ended"))).withColumn("_c", hierarchy(F.array(*map(point, CHRONOLOGY)), has, F.col("open_ended")))
     all_codes = F.create_map(*(F.lit(x) for i, c in enumerate(convention.enum) for x in (f"e{i + 1}", c)), *(F.lit(x) for k, c in convention.chron.items() for x in (k, c)))
-    coded = F.transform(F.filter(F.concat("_e", "_c"), lambda x: x["value"].isNotNull()), lambda x: F.struct(all_codes[x["name"]].alias("code"), x["value"].alias("value")))
+    written = lambda x: F.when(x["name"] == "month", chronology_text(x["value"])).otherwise(x["value"]) if convention.chron_as_text else x["value"]
+    coded = F.transform(F.filter(F.concat("_e", "_c"), lambda x: x["value"].isNotNull()), lambda x: F.struct(all_codes[x["name"]].alias("code"), written(x).alias("value")))
     gap = F.when(F.col("gap_after") & (F.size(coded) > 0), F.array(F.struct(F.lit("w").alias("code"), F.lit("g").alias("value")))).otherwise(F.array().cast(FIELD))
     warned = F.array_distinct(F.concat("warnings", F.array_compact(F.transform(F.concat("_e", "_c"), lambda x: x["warning"]))))
     deep = F.when(F.col("depth") > PLAUSIBLE_DEPTH, F.array(F.lit("implausible_depth"))).otherwise(F.array().cast("array<string>"))
@@ -123,13 +187,16 @@ def values(parsed: DataFrame, convention: Convention = STANDARD) -> DataFrame:
     return out.withColumn("flagged", F.exists("warnings", lambda w: w.startswith("uncodeable:year") | w.startswith("uncodeable:month") | w.startswith("uncodeable:day") | (w == "implausible_depth"))).drop("_e", "_c")
 
 
-def caption_field(convention: Convention = STANDARD) -> Column:
-    """The 853's (code, value) pairs, from ``captions`` and the chronology stated."""
+def caption_field(convention: Convention = STANDARD, words: dict | None = None) -> Column:
+    """The 853's (code, value) pairs, from ``captions`` and the chronology stated; ``words``, by level, hold before what is stated."""
+    words = {k if k in ("year", "month", "season", "day") else level_of(k): v for k, v in (words or {}).items() if v}
+    own = F.array(*(F.lit(words.get(i)).cast("string") for i in range(len(convention.enum))))
     codes = F.array(*map(F.lit, convention.enum))
-    enum = F.filter(F.transform("captions", lambda c, i: F.struct(F.get(codes, i).alias("code"), F.coalesce(c, F.lit("(*)")).alias("value"))), lambda x: x["code"].isNotNull())
+    enum = F.filter(F.transform("captions", lambda c, i: F.struct(F.get(codes, i).alias("code"), F.coalesce(F.get(own, i), c, F.lit("(*)")).alias("value"))), lambda x: x["code"].isNotNull())
     if convention.continuity:
         enum = F.when(F.size(enum) > 0, F.concat(enum, F.array(F.struct(F.lit("v").alias("code"), F.lit(convention.continuity).alias("value"))))).otherwise(enum)
-    named = {"year": F.lit("(year)"), "month": F.when(F.col("season"), "(season)").otherwise("(month)"), "day": F.lit("(day)")}
+    name = lambda k: F.lit(words.get(k, f"({k})"))
+    named = {"year": name("year"), "month": F.when(F.col("season"), name("season")).otherwise(name("month")), "day": name("day")}
     chron = F.array_compact(F.array(*(F.when(F.col(f"has_{k}"), F.struct(F.lit(c).alias("code"), named[k].alias("value"))) for k, c in convention.chron.items())))
     before = F.filter(chron, lambda x: x["code"] < convention.enum[0])
     after = F.filter(chron, lambda x: x["code"] >= convention.enum[0])
@@ -144,9 +211,9 @@ def display(tag: str, indicators: tuple[str, str], fields: Column, link: Column
     return F.concat_ws(" ", F.lit(head), *([F.concat(F.lit("$8 "), link)] if link is not None else []), shown)
 
 
-def convert_statements(parsed: DataFrame, convention: Convention = STANDARD) -> DataFrame:
+def convert_statements(parsed: DataFrame, convention: Convention = STANDARD, words: dict | None = None) -> DataFrame:
     """A row for each statement: ``f853``, the array ``f863`` of value fields in order, ``warnings``, ``flagged``, ``status``."""
-    told = values(parsed, convention).withColumn("_853", caption_field(convention))
+    told = values(parsed, convention).withColumn("_853", caption_field(convention, words))
     order = lambda x, y: F.when(x["pos"] < y["pos"], -1).when(x["pos"] > y["pos"], 1).otherwise(0)
     rows = told.groupBy("stmt").agg(
         F.max("_853").alias("f853"),

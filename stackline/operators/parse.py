@@ -19,7 +19,11 @@ from stackline.functions.codes import CAPTION, NUMBER, VOLUME_CAPTION, YEAR, cap
 
 #: Not inside round brackets.
 OUTSIDE = r"(?![^(]*\))"
-SEGMENT = rf"(?i)(?:(?<=\))\s*[,;]\s*|\s*[,;]\s*(?={VOLUME_CAPTION}\s*\d)|[,;]\s*(?=\d{{4}}\s*(?:$|-))|\s+/\s+){OUTSIDE}"
+SEGMENT = rf"(?i)(?:(?<=\))\s*[,;]\s*|\s*[,;]\s*(?={VOLUME_CAPTION}\s*\d)|[,;]\s*(?=\d{{4}}\s*(?:$|-))){OUTSIDE}"
+SLASH = rf"\s+/\s+{OUTSIDE}"
+#: Captioned numbers and nothing else; the numbers at the head of a text.
+DESIGNATION = rf"(?i)^(?:{CAPTION}\s*{NUMBER}(?:[\s:,]+(?={CAPTION}\s*\d)|$))+$"
+HEAD = rf"(?i)^(?:(?:{CAPTION})?\s*{NUMBER}[\s:,]*)+"
 LIST = rf"(?i)^((?:{CAPTION}\s*{NUMBER}[\s:,]+(?={CAPTION}\s*\d))*)({CAPTION})?\s*({NUMBER}(?:\s*,\s*{NUMBER})+)\s*(?:\(([^()]*)\))?\s*(-?)$"
 #: Start and end: at a hyphen after a bracket, or between a digit and a letter; or two years.
 SPLIT = rf"^(.*?(?<=\)))\s*-\s*{OUTSIDE}(.+)$"
@@ -42,9 +46,26 @@ def _or_null(text: Column) -> Column:
     return F.when(text != "", text)
 
 
+def _captions(text: Column) -> Column:
+    return F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(LEVEL), F.lit(1)), lambda w: caption(w)))
+
+
+def _heads(before: Column, after: Column) -> Column:
+    """Whether ``before`` only names what ``after`` is part of, as a series does: both have captions, and none in common."""
+    left, right = _captions(before), _captions(F.regexp_extract(after, HEAD, 0))
+    return F.coalesce(before.rlike(DESIGNATION) & (F.size(right) > 0) & ~F.arrays_overlap(left, right), F.lit(False))
+
+
 def segments(statement: Column) -> Column:
-    """A statement's segments; separators inside brackets and in lists don't count."""
-    return F.filter(F.transform(F.split(F.regexp_replace(statement, SEGMENT, "\u0001"), "\u0001"), trimmed), lambda x: x != "")
+    """A statement's segments; separators inside brackets, in lists and after a designation don't count."""
+    cut = lambda text, mark: F.filter(F.transform(F.split(text, mark), trimmed), lambda x: x != "")
+
+    def step(told: Column, x: Column) -> Column:
+        last = F.get(told, F.size(told) - 1)
+        return F.when(_heads(last, x), F.concat(F.slice(told, F.lit(1), F.size(told) - 1), F.array(F.concat_ws(", ", last, x)))).otherwise(F.concat(told, F.array(x)))
+
+    marked = F.regexp_replace(F.regexp_replace(statement, SEGMENT, "\u0002"), SLASH, "\u0001")
+    return F.flatten(F.transform(cut(marked, "\u0001"), lambda part: F.aggregate(cut(part, "\u0002"), F.array().cast("array<string>"), step)))
 
 
 def top_level(statement: Column) -> Column:

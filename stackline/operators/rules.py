@@ -319,3 +319,9 @@ def tested(statements: DataFrame, regex: str, column: str = "stmt", most: int =
 def by_source(sources: DataFrame) -> DataFrame:
     """Statements of each source, most first."""
     return sources.groupBy("source").agg(F.count(F.lit(1)).alias("statements")).orderBy(F.desc("statements"), "source")
+
+
+def labelled(sources: DataFrame, patterns: list[dict]) -> DataFrame:
+    """``source_label``: a pattern's label, or what a source that is no pattern means; null for an unknown one."""
+    said = {**{p["id"]: p["label"] for p in patterns}, "parser": "read by the parser", "unmatched": "left as it is, no pattern fits", "skipped": "left as it is, to be skipped"}
+    return sources.withColumn("source_label", F.create_map(*(F.lit(x) for pair in said.items() for x in pair))[F.col("source")])

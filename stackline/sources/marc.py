@@ -75,6 +75,17 @@ def refuse_unreadable(records: DataFrame, shown: int = 10) -> DataFrame:
     return records
 
 
+def chosen(records: DataFrame, places: DataFrame, kept: bool = True) -> DataFrame:
+    """The records at ``places`` (the key; repeats and places that aren't there don't count), or all but these."""
+    keys = key(records)
+    return records.join(places.select(*keys).distinct(), keys, "left_semi" if kept else "left_anti")
+
+
+def page(records: DataFrame, offset: int = 0, limit: int = 50, most: int = 200) -> DataFrame:
+    """``limit`` records in order of their key, from ``offset``; for looking at them."""
+    return records.orderBy(*key(records)).offset(max(0, offset)).limit(max(1, min(limit, most)))
+
+
 def values(tag: str, codes: str) -> Column:
     """Values of the first field ``tag``'s subfields ``codes``, in order."""
     subs = F.get(F.filter("fields", lambda f: f["tag"] == tag), F.lit(0))["subfields"]

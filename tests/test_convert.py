@@ -75,3 +75,36 @@ def test_convention_is_checked():
         convert.Convention(("a", "i"))
     with pytest.raises(ValueError):
         convert.Convention(("z",))
+
+
+def test_a_designation_heads_the_numbers_after_it(spark):
+    want = {
+        "Series 1, v. 6 no. 1 (Summer/Fall 1992)": ["$a 1 $b 6 $c 1 $i 1992 $j 22/23"], "v. 1, v. 5 (1994)": ["$a 1", "$a 5 $i 1994"], "ser. 2, v. 1 (1990), ser. 2, v. 3 (1992)": ["$a 2 $b 1 $i 1990", "$a 2 $b 3 $i 1992"],
+        "Series 1 / v. 6 (1992)": ["$a 1", "$b 6 $i 1992"], "no. 3, v. 5 no. 2 (1990)": ["$a 3", "$i 1990"],
+    }
+    df = spark.createDataFrame([(x,) for x in want], "stmt string")
+    cut = {r["stmt"]: r["s"] for r in df.select("stmt", parse.segments(df["stmt"]).alias("s")).collect()}
+    assert cut["Series 1, v. 6 no. 1 (Summer/Fall 1992)"] == ["Series 1, v. 6 no. 1 (Summer/Fall 1992)"] and cut["v. 1, v. 5 (1994)"] == ["v. 1", "v. 5 (1994)"]
+    assert cut["ser. 2, v. 1 (1990), ser. 2, v. 3 (1992)"] == ["ser. 2, v. 1 (1990)", "ser. 2, v. 3 (1992)"] and len(cut["Series 1 / v. 6 (1992)"]) == 2 and len(cut["no. 3, v. 5 no. 2 (1990)"]) == 2
+    rows = {r["stmt"]: [shown(f) for f in r["f863"]] for r in convert.convert_statements(parse.parse_distinct(df)).collect()}
+    assert {k: rows[k] for k in list(want)[:3]} == {k: want[k] for k in list(want)[:3]}
+
+
+def test_conventions_are_overlaid(spark):
+    new, said = convert.overlaid(convert.STANDARD, {"vol": "c", "year": "A", "month": "zz", "week": "l"}, ["1", ""])
+    assert new.enum == ("c", "b", "d", "e", "f")
+    assert new.indicators == ("1", " ") and new.chron == {"year": "a", "month": "j", "day": "k"}
+    assert "unknown level week" in said and "month can't be in zz" in said
+    kept, said = convert.overlaid(convert.STANDARD, {"enum": ["a", "i"]})
+    assert kept == convert.STANDARD and len(said) == 1
+    for wrong in ({"enum": []}, {"enum": ["a", "a"]}, {"enum": ["n"]}):
+        assert convert.overlaid(convert.STANDARD, wrong)[0].enum == convert.STANDARD.enum
+    assert convert.overlaid(convert.HOUSE, {"day": "k"}) == (convert.HOUSE, ["unknown level day"])
+    assert convert.overlaid(convert.STANDARD, {"enum": {"e1": "c", "e9": "d"}})[1] == ["no level e9", "room for 5 levels"]
+    assert convert.overlaid(convert.STANDARD, None, 5)[1] == ["indicators can't be 5"]
+    assert [convert.level_of(x) for x in ("e1", "E3", "vol", "part", 0, 2, "2", True, -1, "e0", "x", None)] == [0, 2, 0, 2, 0, 2, 2, None, None, None, None, None]
+    df = spark.createDataFrame([("v. 3 no. 4 (Feb-Mar 1990)",), ("v. 3 (Winter 1989/90)",)], "stmt string")
+    rows = {r["stmt"]: r for r in convert.convert_statements(parse.parse_distinct(df), convert.HOUSE, {"e1": "Bd.", "season": "(Zeit)"}).collect()}
+    assert shown(rows["v. 3 no. 4 (Feb-Mar 1990)"]["f863"][0]) == "$a 1990 $b 3 $c 4 $i Feb-Mar"
+    assert shown(rows["v. 3 no. 4 (Feb-Mar 1990)"]["f853"]) == "$a (year) $b Bd. $c no. $i (month)"
+    assert shown(rows["v. 3 (Winter 1989/90)"]["f863"][0]) == "$a 1989/1990 $b 3 $i Winter" and shown(rows["v. 3 (Winter 1989/90)"]["f853"]).endswith("$i (Zeit)")

@@ -110,7 +110,8 @@ def test_two_files_keep_their_records_apart(spark, tmp_path, records):
     path = tmp_path / "in"
     path.mkdir()
     for name, stmt in (("a", "v.1(1990)"), ("b", "v. 2 no. 1 (Feb 1991)")):
-        one = df.where("rec_idx = 0").withColumn("fields", F.transform("fields", lambda f, stmt=stmt: f.withField("subfields", F.when(f["tag"] == "866", F.array(F.struct(F.lit("a").alias("code"), F.lit(stmt).alias("value")))).otherwise(f["subfields"]))))
+        said = F.array(F.struct(F.lit("a").alias("code"), F.lit(stmt).alias("value")))
+        one = df.where("rec_idx = 0").withColumn("fields", F.transform("fields", lambda f: f.withField("subfields", F.when(f["tag"] == "866", said).otherwise(f["subfields"]))))
         raw = one.select(marc.to_raw(F.col("fields"), F.col("leader"))).first()[0]
         (path / f"{name}.mrc").write_bytes(raw.encode() + b"\x1d")
     back = marc.with_index(marc.read_marc(spark, str(path)))
@@ -142,3 +143,28 @@ def test_statements_find_their_fields_and_converted_ones_go(spark, records):
     assert [t for _, t in left[0]] == ["001", "245", "022", "852", "866", "866"] and [p for p, _ in left[0]] == list(range(6)) and len(left[1]) == 7
     first = marc.origins(marc.statements(two).withColumnRenamed("stmt", "piece"), ["rec_idx", "pos"]).collect()
     assert {(r["piece"], r["times"], r["rec_idx"], r["pos"]) for r in first} == {("v.1(1990)-v.4(1993)", 2, 0, 4), ("v. 5 no. 1 (1994)", 4, 0, 5)}
+
+
+def test_corpus_lines_have_sections_over_splits(spark, tmp_path):
+    from stackline.sources import corpus
+
+    rows = [f"v. {k} ({1900 + k % 100})" for k in range(400)]
+    text = "v. 0 (1890)\n# comment\n\n[section: one]\n" + "\n".join(rows) + "\n[section: two ]\nv. 1 (1990)  # [x12] warn:D3 odd\n  # note\nv. 2 (1991)\n"
+    (tmp_path / "c.txt").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        out = [tuple(r)[1:] for r in corpus.read_corpus(spark, str(tmp_path)).orderBy("line").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [(1, None, "v. 0 (1890)", 1, None, None), *((5 + k, "one", x, 1, None, None) for k, x in enumerate(rows)), (406, "two", "v. 1 (1990)", 12, "warn", "D3"), (408, "two", "v. 2 (1991)", 1, None, None)]
+    assert out == want
+
+
+def test_records_chosen_by_place(spark):
+    from stackline.sources import marc
+
+    records = spark.createDataFrame([(f, k) for f in "ab" for k in range(4)], "file string, rec_idx long")
+    places = spark.createDataFrame([("a", 1), ("a", 1), ("b", 9)], "file string, rec_idx long")
+    assert [tuple(r) for r in marc.chosen(records, places).collect()] == [("a", 1)] and marc.chosen(records, places, kept=False).count() == 7
+    assert [tuple(r) for r in marc.page(records, 3, 2).collect()] == [("a", 3), ("b", 0)] and marc.page(records, -5, 0).count() == 1

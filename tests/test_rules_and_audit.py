@@ -62,6 +62,8 @@ def test_first_that_fits(spark):
     df = spark.createDataFrame([(x,) for x in ("v. 1 no. 2 (Feb 1990)", "v.1(1990)-v.2(1991)", "12 ?", "else", None)], "stmt string")
     out = {r["stmt"]: (r["source"], r["skipped"]) for r in rules.sourced(df, good).collect()}
     assert out == {"v. 1 no. 2 (Feb 1990)": ("months", False), "v.1(1990)-v.2(1991)": ("any", False), "12 ?": ("bare", True), "else": ("parser", False), None: ("parser", False)}
+    said = {r["source"]: r["source_label"] for r in rules.labelled(rules.sourced(df, good), good).collect()}
+    assert said["months"] == "months" and said["parser"] == "read by the parser"
     assert rules.sourced(df, good, fallback=False).where("source = 'unmatched'").count() == 2
     got = rules.captured(rules.sourced(df, good), good).where("source = 'months'").first()["start"]
     assert [(x["caption"], x["value"]) for x in got["levels"]] == [("v.", "1"), ("no.", "2")] and got["year"] == "1990" and got["month"] == "02"
