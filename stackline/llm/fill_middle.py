@@ -32,8 +32,8 @@ PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 #: Marks in the order of the output, by form; the text has its parts in the order of TEXT.
 ORDER = {"psm": (PREFIX, SUFFIX, MIDDLE), "spm": (SUFFIX, PREFIX, MIDDLE)}
 TEXT = {PREFIX: 1, MIDDLE: 2, SUFFIX: 3}
-#: Bytes of a piece at most.
-PIECE = 1 << 16
+#: Bytes of a piece at most, and of the texts whose pieces a task sorts, about.
+PIECE, SORTED = 1 << 16, 32 << 20
 
 
 class Cut(NamedTuple):
@@ -104,8 +104,10 @@ def _rows(documents: DataFrame, id_col: str, text_col: str) -> RDD:
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")).rdd
 
 
-def _partitions(documents: DataFrame) -> int:
-    return int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _partitions(documents: DataFrame, text_col: str) -> int:
+    """Those of the session, or as many as keep what a task sorts bounded."""
+    total = documents.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SORTED)
 
 
 def sorted_outputs(documents: DataFrame, seed: int = SEED, formed: int = FORMED, suffix_first: int = SUFFIX_FIRST, id_col: str = "doc_id", text_col: str = "text") -> RDD:
@@ -120,7 +122,7 @@ def sorted_outputs(documents: DataFrame, seed: int = SEED, formed: int = FORMED,
             for k, piece in enumerate(output_pieces(whole, how)):
                 yield (row, 1, k), piece
 
-    return _rows(documents, id_col, text_col).mapPartitions(pieces).repartitionAndSortWithinPartitions(_partitions(documents), _of_row)
+    return _rows(documents, id_col, text_col).mapPartitions(pieces).repartitionAndSortWithinPartitions(_partitions(documents, text_col), _of_row)
 
 
 def _by_row(records: Iterable) -> Iterator[tuple[int, tuple, Iterator[bytes]]]:
@@ -177,7 +179,7 @@ def digests(documents: DataFrame, **how) -> DataFrame:
 
     outputs = sorted_outputs(documents, **how)
     # The partitioner is the outputs' own, so rows stay where they are and only the order changes.
-    again = outputs.mapPartitions(forth, preservesPartitioning=True).repartitionAndSortWithinPartitions(_partitions(documents), _of_row)
+    again = outputs.mapPartitions(forth, preservesPartitioning=True).repartitionAndSortWithinPartitions(outputs.getNumPartitions(), _of_row)
     return documents.sparkSession.createDataFrame(again.mapPartitions(back), "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string", verifySchema=False)
 
 
