@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stackline.llm import decontaminate, fill_middle, html_labeller, ngram_join, packing, quality_rules, secret_scan, sharding, token_counts, url_filter, vector_codes, warc
+from stackline.llm import decontaminate, fill_middle, html_labeller, ngram_join, packing, quality_rules, secret_scan, sharding, substring_dedup, token_counts, url_filter, vector_codes, warc
 from stackline.llm import sql as oracle
 from stackline.llm.staging import bounded_batches
 
@@ -67,6 +67,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
 
@@ -76,8 +80,8 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_secret_scan, op4_warc, op5_ngram_join, op5_ngram_links, op6_best_fit_packing, op7_sharding, op8_html_text, op9_decontamination, op10_token_counts, op12_vector_codes, op13_fill_middle)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_secret_scan, op4_warc, op5_ngram_join, op5_ngram_links, op6_best_fit_packing, op7_sharding, op8_html_text, op9_decontamination, op10_token_counts, op11_substring_dedup, op12_vector_codes, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_join": oracle.NGRAM_JOIN, "op4_warc": oracle.WARC, "op1_quality_rules": oracle.QUALITY_RULES, "op2_url_filter": url_filter.sql(), "op9_decontamination": oracle.DECONTAMINATION, "op12_vector_codes": vector_codes.sql(), "op13_fill_middle": fill_middle.SQL}
+    return {"op5_ngram_join": oracle.NGRAM_JOIN, "op4_warc": oracle.WARC, "op1_quality_rules": oracle.QUALITY_RULES, "op2_url_filter": url_filter.sql(), "op9_decontamination": oracle.DECONTAMINATION, "op11_substring_dedup": substring_dedup.SQL, "op12_vector_codes": vector_codes.sql(), "op13_fill_middle": fill_middle.SQL}
