@@ -1,47 +1,31 @@
 """A compressed FM-index over sequences of whole numbers, searched for many patterns at once.
 
-The Burrows-Wheeler transform is kept in a Huffman-shaped wavelet tree: each level is a row of bits
-with a count every 64, so a symbol takes about its entropy and a rank as many steps as its code has
+The Burrows-Wheeler transform is kept in a wavelet tree whose shape is that of Shannon's code: each level is a row of
+bits with a count every 64, so the text takes about its entropy, and a rank as many steps as its symbol's code has
 bits. Besides, the index knows which neighbours in suffix order agree in fewer than each number
 of symbols up to a threshold; that lets a match drop symbols at its right end.
 """
 
 from __future__ import annotations
 
-import heapq
 from functools import cached_property
 
 import numpy as np
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Lengths of Huffman codes for symbols that occur so often; 0 for absent ones, 1 for a symbol that is alone."""
-    lengths = np.zeros(len(counts), np.int64)
-    present = np.flatnonzero(counts)
-    if len(present) < 2:
-        lengths[present] = 1
-        return lengths
-    heap = [(int(counts[s]), k) for k, s in enumerate(present)]
-    heapq.heapify(heap)
-    parent = np.zeros(2 * len(present) - 1, np.int64)
-    for made in range(len(present), len(parent)):
-        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-        parent[x] = parent[y] = made
-        heapq.heappush(heap, (a + b, made))
-    depth = np.zeros(len(parent), np.int64)
-    for node in range(len(parent) - 2, -1, -1):
-        depth[node] = depth[parent[node]] + 1
-    lengths[present] = depth[: len(present)]
-    return lengths
+    """Lengths of Shannon's codes for symbols that occur so often: the binary logarithm of how rare each is, rounded up, 1 at least; 0 for absent ones."""
+    rarity = counts.sum() / np.maximum(counts, 1)
+    return np.where(counts > 0, np.maximum(1, np.ceil(np.log2(np.maximum(rarity, 1)))), 0).astype(np.int64)
 
 
 def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     """Codes of those lengths, by length and then symbol, none a prefix of another."""
-    codes, code, last = np.zeros(len(lengths), np.int64), 0, 0
-    for s in np.lexsort((np.arange(len(lengths)), lengths)).tolist():
-        if lengths[s]:
-            code <<= int(lengths[s]) - last
-            codes[s], code, last = code, code + 1, int(lengths[s])
+    codes, deepest = np.zeros(len(lengths), np.int64), int(lengths.max(initial=0))
+    order = np.lexsort((np.arange(len(lengths)), lengths))
+    order = order[lengths[order] > 0]
+    room = np.int64(1) << (deepest - lengths[order])
+    codes[order] = (np.cumsum(room) - room) >> (deepest - lengths[order])
     return codes
 
 
@@ -119,14 +103,23 @@ class FMIndex:
     """Index of sequences of symbols above 0, of which matches of up to ``threshold`` symbols are wanted."""
 
     def __init__(self, sequences: list[np.ndarray], symbols: int, threshold: int):
+        self._build(np.concatenate(sequences) if len(sequences) else np.zeros(0, np.int64), np.array([len(x) for x in sequences], np.int64), symbols, threshold)
+
+    @classmethod
+    def of(cls, flat: np.ndarray, lengths: np.ndarray, symbols: int, threshold: int) -> FMIndex:
+        """The same from sequences that stand one after the other."""
+        out = cls.__new__(cls)
+        out._build(flat, lengths, symbols, threshold)
+        return out
+
+    def _build(self, flat: np.ndarray, lengths: np.ndarray, symbols: int, threshold: int) -> None:
         self.threshold = threshold
-        lengths = np.array([len(s) for s in sequences], np.int64)
-        marked = np.zeros(int(lengths.sum()) + len(sequences), np.int64)
+        marked = np.zeros(len(flat) + len(lengths), np.int64)
         inside = np.ones(len(marked), bool)
         inside[np.cumsum(lengths + 1) - 1] = False
-        marked[inside] = np.concatenate(sequences) if len(sequences) else 0
+        marked[inside] = flat
         # Ends of sequences differ from each other while suffixes are sorted, so no match runs over one.
-        apart = np.where(inside, marked + len(sequences), np.cumsum(~inside) - 1)
+        apart = np.where(inside, marked + len(lengths), np.cumsum(~inside) - 1)
         order = suffix_array(apart)
         transform = marked[order - 1]
         self.size = len(marked)

@@ -264,37 +264,47 @@ def _fetched(packed: DataFrame, asked: DataFrame, window: int, single: bool = Fa
     return packed.join(by_doc, ["doc", "twin"]).select("doc", "twin", "packed", "asked").mapInArrow(_fetching(window, single), f"{SEGMENT}, words binary")
 
 
-def repeated_windows(rows: list[tuple[int, int, int, list[bytes]]], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """Of segments (doc, twin, start, words), those of an anchor all among them: runs (doc, twin, first word, end) covered by windows that are also earlier."""
-    last, kept = None, []
-    for row in sorted(rows, key=lambda r: r[:3]):
-        if row[:3] != last:
-            kept.append(row)
-        last = row[:3]
-    ids: dict[bytes, int] = {}
-    sequences = [np.fromiter((ids.setdefault(w, len(ids) + 1) for w in r[3]), np.int64, len(r[3])) for r in kept]
-    if not sequences:
-        return []
-    index = FMIndex(sequences, len(ids) + 1, window)
-    lengths = np.array([len(s) for s in sequences])
-    patterns = np.full((len(sequences), int(lengths.max())), -1)
-    patterns[np.arange(patterns.shape[1]) < lengths[:, None]] = np.concatenate(sequences)
+def repeated_in_shard(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, words: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """Of segments, those of an anchor all among them: doc, twin, first word and end of the windows that are also earlier.
+
+    ``words`` are numbers of the words, from 1, of all segments one after the other.
+    """
+    order = np.lexsort((start, twin, doc))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (doc[order][1:] != doc[order][:-1]) | (twin[order][1:] != twin[order][:-1]) | (start[order][1:] != start[order][:-1])
+    order = order[fresh]  # a document that is there twice is one
+    if not len(order):
+        return doc[:0], twin[:0], start[:0], start[:0]
+    patterns = np.full((len(lengths), int(lengths.max())), -1)
+    patterns[np.arange(patterns.shape[1]) < lengths[:, None]] = words
+    doc, twin, start, lengths, patterns = doc[order], twin[order], start[order], lengths[order], patterns[order]
+    index = FMIndex.of(patterns[patterns >= 0], lengths, int(words.max()) + 1, window)
     matched, low, high = index.matching_statistics(patterns, lengths)
     lane, at = np.nonzero((matched >= window) & (high - low > 1))
-    docs = np.cumsum([False, *(a[:2] != b[:2] for a, b in zip(kept, kept[1:]))])
-    starts = np.array([r[2] for r in kept])
-    order = np.lexsort((starts[lane] + at, docs[lane]))  # documents in their order, and their windows
-    lane, at = lane[order], at[order]
+    own = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1])))
+    stream = np.lexsort((start[lane] + at, own[lane]))  # documents in their order, and their windows
+    lane, at = lane[stream], at[stream]
     again = np.ones(len(lane), bool)
     again[np.unique(low[lane, at], return_index=True)[1]] = False
-    return [(*kept[k][:2], int(kept[k][2] + i), int(kept[k][2] + i + window)) for k, i in zip(lane[again].tolist(), at[again].tolist())]
+    lane, first = lane[again], start[lane[again]] + at[again]
+    return doc[lane], twin[lane], first, first + window
+
+
+def repeated_windows(rows: list[tuple[int, int, int, list[bytes]]], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """The same of rows (doc, twin, start, words)."""
+    ids: dict[bytes, int] = {}
+    words = np.array([ids.setdefault(w, len(ids) + 1) for r in rows for w in r[3]], np.int64)
+    columns = [np.array([r[k] for r in rows], np.int64) for k in range(3)]
+    found = repeated_in_shard(*columns, words, np.array([len(r[3]) for r in rows], np.int64), window)
+    return list(zip(*(c.tolist() for c in found)))
 
 
 def _indexing(window: int) -> Callable:
     def of(table: pa.Table) -> pa.Table:
-        columns = [table[n].to_pylist() for n in ("doc", "twin", "start", "words")]
-        found = repeated_windows([(d, t, s, w.split(b" ")) for d, t, s, w in zip(*columns)], window)
-        return pa.table({n: pa.array([r[k] for r in found], pa.int64() if k < 2 else pa.int32()) for k, n in enumerate(("doc", "twin", "start", "end"))})
+        words = pc.split_pattern(table["words"].combine_chunks(), b" ")
+        numbers = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+        found = repeated_in_shard(*(table[n].to_numpy().astype(np.int64) for n in ("doc", "twin", "start")), numbers, pc.list_value_length(words).to_numpy().astype(np.int64), window)
+        return pa.table({n: pa.array(c, pa.int64() if n in ("doc", "twin") else pa.int32()) for n, c in zip(("doc", "twin", "start", "end"), found)})
 
     return of
 
