@@ -12,6 +12,7 @@ Defined cases: a null or empty page, or one without main text, has an empty text
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 import zlib
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stackline.llm.html_blocks import Block, blocks
+from stackline.llm.html_blocks import Block, Path, blocks
 
 TAG_SLOTS, WORD_SLOTS, EXTRA = 1024, 64, 4
 HIDDEN = 16
@@ -36,19 +37,25 @@ _SPLIT = re.compile(r"[\s_\-]+")
 
 
 @lru_cache(maxsize=20_000)
-def path_slots(path: tuple[str, ...]) -> np.ndarray:
-    """Slots of the path's tags, their class words and pairs of neighbours."""
-    found = set()
-    names = [x.split(" ", 1) for x in path]
-    for k, parts in enumerate(names):
-        found.add(f"tag {parts[0]}")
-        if k:
-            found.add(f"pair {names[k - 1][0]} {parts[0]}")
-        for word in _SPLIT.split(parts[1]) if len(parts) > 1 else ():
-            found.add(f"class {word}")
-    if path:
-        found.add(f"leaf {names[-1][0]}")
-    return np.array(sorted({zlib.crc32(x.encode()) % TAG_SLOTS for x in found}), np.int64)
+def _bits(above: str | None, element: str) -> int:
+    """Bits of the slots of an element's tag, its class words, and the pair it makes with the tag above."""
+    tag, *classes = element.split(" ", 1)
+    found = [f"tag {tag}", *([] if above is None else [f"pair {above} {tag}"]), *(f"class {w}" for c in classes for w in _SPLIT.split(c))]
+    return functools.reduce(lambda bits, x: bits | 1 << zlib.crc32(x.encode()) % TAG_SLOTS, found, 0)
+
+
+def path_slots(leaf: Path | None) -> int:
+    """Bits of the slots of a path's tags, their class words and pairs of neighbours, and its leaf. What paths share is kept with it."""
+    if leaf is None:
+        return 0
+    open_, at = [], leaf
+    while at is not None and at.slots is None:
+        open_.append(at)
+        at = at.parent
+    for at in reversed(open_):
+        above = at.parent
+        at.slots = _bits(above and above.element.split(" ", 1)[0], at.element) | (above.slots if above else 0)
+    return leaf.slots | 1 << zlib.crc32(f"leaf {leaf.element.split(' ', 1)[0]}".encode()) % TAG_SLOTS
 
 
 class _WordSlots(dict):
@@ -68,7 +75,7 @@ class Page:
     """A page's blocks as the network reads them: paths, and rows of hashed words and other figures."""
 
     def __init__(self, found: list[Block]):
-        self.paths = [b.path for b in found]
+        self.paths = [path_slots(b.leaf) for b in found]
         words = [b.text.split(" ") for b in found]
         counts = np.array([len(w) for w in words])
         slots = np.fromiter((_SLOTS[w] for ws in words for w in ws), np.int64, counts.sum())
@@ -90,11 +97,11 @@ class Batch:
         sizes = np.array([len(p) for p in pages])
         self.live = np.arange(sizes.max())[None] < sizes[:, None]
         self.dense = np.concatenate([p.dense for p in pages])
-        numbers: dict[tuple[str, ...], int] = {}
+        numbers: dict[int, int] = {}
         self.path = np.array([numbers.setdefault(x, len(numbers)) for p in pages for x in p.paths])
         self.hot = np.zeros((len(numbers), TAG_SLOTS), np.float32)
         for x, k in numbers.items():
-            self.hot[k, path_slots(x)] = 1
+            self.hot[k] = np.unpackbits(np.frombuffer(x.to_bytes(TAG_SLOTS // 8, "little"), np.uint8), bitorder="little")
 
 
 class Labeller:

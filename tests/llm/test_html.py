@@ -86,3 +86,25 @@ def test_gradients_match_differences():
             losses.append(model.gradients(pages, labels)[1])
         model.w[name][at] = old
         assert abs((losses[0] - losses[1]) / (2 * step) - grad[name][at]) < 0.02 * abs(grad[name][at]) + 1e-3
+
+
+def test_megabytes_of_odd_marks_take_linear_time():
+    import time
+
+    mb = 1 << 20
+    odd = ['<a "', "<div>", "<div>x", "<i>", "<i>x ", '<a ">">', "<a \">\"'", "<", "<title>", "<!--", "&", "<b>x<'", "</div>", "<p><u>", "<li>x"]
+    pages = [x * (mb // len(x)) for x in odd] + ["<div><u><p>" + "<i>" * 90_000 + "</u>" * 90_000, "<div>" * 90_000 + "</section>" * 60_000]
+    for page in pages:
+        began = time.process_time()
+        found = blocks(page)
+        took = time.process_time() - began
+        assert took < 2, (page[:20], took)
+        began = time.process_time()
+        h.Page(found) if found else None
+        assert time.process_time() - began < 10
+
+
+def test_paths_share_what_is_above():
+    found = blocks("<div id=a>" * 50_000 + "x<p>y")
+    assert found[0].leaf is found[1].leaf.parent and len(found[0].path) == 50_000
+    assert h.path_slots(found[1].leaf) and h.path_slots(None) == 0
