@@ -8,7 +8,8 @@ length, the fillings of the rest that no other filling dominates (Martello and T
 enumerated from the least waste up, each is used as often as its lengths last or less often,
 and a branch ends when its waste exceeds what any better packing may waste, when its open
 lengths were met before with as few sequences, or when the lower bound of the rest leaves no
-gain. The search goes back over all choices until ``NODES`` fillings were looked at; ``Packing.proven``
+gain. The search goes back over all choices until ``NODES`` fillings were looked at or ``VISITS``
+lengths visited, and then ends with the best packing so far; ``Packing.proven``
 says whether the packing is known to have the fewest sequences. Pieces then find their place by
 their rank among equal lengths.
 
@@ -19,6 +20,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -261,7 +263,8 @@ def search(histogram: dict[int, int], incumbent: Plan, size: int = SEQUENCE, nod
     left = {n: c for n, c in histogram.items() if c > 0}
     best, fewest, bound = incumbent, sum(t for _, t in incumbent), lower_bound(left, size)
     total = sum(n * c for n, c in left.items())
-    keys = {n: hash((n, 0x9E3779B97F4A7C15)) | 1 for n in left}
+    # A state is the sum of a 128-bit digest for each open piece, so two different ones agree with a chance of about 2^-128.
+    keys = {n: int.from_bytes(hashlib.blake2b(n.to_bytes(8, "big"), digest_size=16).digest(), "big") for n in left}
     state, met = sum(keys[n] * c for n, c in left.items()), {}
 
     def fillings(allowed: int) -> Iterator[tuple[list[int], int] | None]:

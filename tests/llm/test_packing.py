@@ -202,3 +202,19 @@ def test_rules_for_crossing_tokens():
     for rule, want in (("first", [2, 0, 1]), ("largest", [1, 1, 1]), ("split", [1.2, 0.4, 1.4])):
         held, crossing = tc.attributed(spans, edges, rule)
         assert np.allclose(held, want) and crossing.tolist() == [1, 1, 1]
+
+
+def test_states_that_differ_are_kept_apart():
+    """Sets of equal count and sum are different states: sequences were lost, and packings called proven, where they met as one."""
+    lengths = [411, 823, 814, 876, 367, 805, 503, 1036, 509, 657, 453, 938, 659, 1034, 355]
+    found = p.packing({n: lengths.count(n) for n in lengths})
+    assert (found.sequences, found.proven) == (5, True)
+    rng = random.Random(11)
+    for k in range(2000):
+        cut = []
+        for _ in range(rng.randint(4, 8)):
+            a = rng.randint(300, 1000)
+            b = rng.randint(300, 2048 - a - 300)
+            cut += [a, b, 2048 - a - b]
+        found = p.packing({n: cut.count(n) for n in cut})
+        assert found.sequences * 2048 == sum(cut) or not found.proven, (k, cut)
