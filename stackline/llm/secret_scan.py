@@ -2,7 +2,7 @@
 
 Three base kinds are reported wherever their pattern fits. Further candidates (base64 and
 hex runs, three-part tokens, armoured and one-line keys) are decoded first and reported
-only if what they hold parses: the fields of a private key at their places, with nested
+only if what they hold parses, wherever in a run of letters it starts and however its lines are broken or escaped: the fields of a private key at their places, with nested
 lengths that fill it exactly; a length-prefixed private key file; an encrypted key's headers
 and whole cipher blocks; or a signed token's JSON header and payload. Certificates, signatures,
 digests and public keys have other fields and aren't reported.
@@ -34,11 +34,16 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----((?:[ \t]*\r?\n[A-Za-z0-9-]+: [^\r\n]*)*)([A-Za-z0-9+/=\s]{16,}?)-----END \1PRIVATE KEY-----", re.ASCII)
+#: Where a line is broken: at its end, as an escape of two characters or four, and before what mails quote with.
+_BREAK = r"[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t>]*"
+_ARMOUR = re.compile(rf"-----BEGIN ([A-Z ]*)PRIVATE KEY-----((?:{_BREAK}[A-Za-z0-9-]+: (?:(?!\\[rn])[^\r\n])*)*)((?:[A-Za-z0-9+/=\s>]|\\[rn]){{16,}}?)-----END \1PRIVATE KEY-----", re.ASCII)
 _CIPHER = re.compile(r"Proc-Type: *4,ENCRYPTED\s+DEK-Info: *([A-Z0-9-]+),([0-9A-Fa-f]+)", re.ASCII)
-#: Runs of either alphabet; a sign of equality before a run doesn't belong to it.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{44,}={0,2}(?![A-Za-z0-9+/=])")
-_BASE64_URL = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{44,}={0,2}(?![A-Za-z0-9_=-])")
+#: Where a key may start in base64, inside a run too: a sequence's tag and length, or the mark of a key file.
+_STARTS = re.compile(r"M[A-I]|b3BlbnNzaC1rZXktdjEA")
+_JSON = re.compile(r"(?=e[yw])")
+_PIECE, _JOIN, _PADDING = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(_BREAK), re.compile(r"=*")
+#: Bytes of a key at most, and of what decides whether it is worth reading whole.
+LARGEST, HEAD = 1 << 14, 12
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 _OPENSSH = b"openssh-key-v1\x00"
 
@@ -49,7 +54,7 @@ _ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010
 
 def decoded(text: str) -> bytes | None:
     """Base64 of either alphabet, with or without its padding; None if it isn't."""
-    text = re.sub(r"\s", "", text).rstrip("=").replace("-", "+").replace("_", "/")
+    text = re.sub(r"\\[rn]|[\s>]", "", text).rstrip("=").replace("-", "+").replace("_", "/")
     if len(text) % 4 == 1:
         return None
     try:
@@ -86,7 +91,7 @@ def nested(data: bytes, depth: int = 12) -> bool:
 def is_der_key(data: bytes | None) -> bool:
     """One sequence with the fields of a private key, each at its place, and all lengths exact.
 
-    PKCS#1: version and eight numbers or more. DSA: version and five numbers. PKCS#8: version, an
+    PKCS#1: version and eight numbers or more. DSA: version and five numbers of fitting sizes. PKCS#8: version, an
     algorithm that starts with an identifier, octets. SEC1: version 1 and octets, then tagged
     parts only. Encrypted PKCS#8: an encryption scheme with parameters, and octets.
     """
@@ -106,7 +111,9 @@ def is_der_key(data: bytes | None) -> bool:
     if numbers >= 9:
         return tags[numbers:] in ([], [SEQUENCE])
     if numbers == len(tags) == 6:
-        return True
+        p, q, *rest = (int.from_bytes(x, "big") for _, x in fields[1:])
+        size = lambda n: -(-n.bit_length() // 8)
+        return fields[0][1] == b"\x00" and 64 <= size(p) <= 513 and size(q) in (20, 28, 32) and all(n > 1 and size(n) <= size(top) for n, top in zip(rest, (p, p, q), strict=True))
     if tags[1:3] == [SEQUENCE, OCTETS]:
         algorithm = elements(fields[1][1])
         return bool(algorithm) and algorithm[0][0] == OBJECT and len(fields[2][1]) >= 16 and all(tag & 0x80 for tag in tags[3:])
@@ -125,21 +132,25 @@ def _strings(data: bytes, n: int | None = None) -> tuple[list[bytes], bytes] | N
     return out, data
 
 
-def is_ssh_key(data: bytes | None) -> bool:
-    """A private key file: cipher, derivation, public keys as counted, and a private part whose check numbers agree where it isn't encrypted."""
+def ssh_size(data: bytes | None) -> int:
+    """Bytes of the private key file that ``data`` starts with, or 0: cipher, derivation, public keys as counted, and a private part whose check numbers agree where it isn't encrypted."""
     if not data or not data.startswith(_OPENSSH):
-        return False
+        return 0
     head = _strings(data[len(_OPENSSH) :], 3)
     if head is None or len(head[1]) < 4:
-        return False
+        return 0
     keys = int.from_bytes(head[1][:4], "big")
-    rest = _strings(head[1][4:])
-    if not 1 <= keys <= 64 or rest is None or len(rest[0]) != keys + 1:
-        return False
+    rest = _strings(head[1][4:], keys + 1) if 1 <= keys <= 64 else None
+    if rest is None:
+        return 0
     public, private = rest[0][:-1], rest[0][-1]
     if any((named := _strings(k)) is None or len(named[0]) < 2 for k in public) or len(private) < 16:
-        return False
-    return head[0][0] != b"none" or private[:4] == private[4:8]
+        return 0
+    return len(data) - len(rest[1]) if head[0][0] != b"none" or private[:4] == private[4:8] else 0
+
+
+def is_ssh_key(data: bytes | None) -> bool:
+    return bool(data) and ssh_size(data) == len(data)
 
 
 def is_encrypted_armour(headers: str, data: bytes | None) -> bool:
@@ -163,23 +174,77 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return out + [(m.start(), "hex", m.end()) for m in _HEX.finditer(text)]
 
 
+def _letters(text: str, at: int, most: int) -> tuple[str, list[tuple[int, int]]]:
+    """Up to ``most`` characters of base64 from a place on, over breaks of lines, and (letters so far, end in the text) of each line."""
+    out, n, ends = [], 0, []
+    while n < most and (piece := _PIECE.match(text, at, at + most - n)):
+        out.append(piece[0])
+        n, at = n + len(piece[0]), piece.end()
+        ends.append((n, at))
+        if not (join := _JOIN.match(text, at)):
+            break
+        at = join.end()
+    return "".join(out), ends
+
+
+def _end(ends: list[tuple[int, int]], letters: int, text: str) -> int | None:
+    """Where the first ``letters`` characters end in the text, with the padding that follows; None if others follow in their line."""
+    n, at = next(e for e in ends if e[0] >= letters)
+    at -= n - letters
+    return None if _PIECE.match(text, at) else _PADDING.match(text, at).end()
+
+
+def embedded_keys(text: str) -> Iterator[tuple[int, str, int]]:
+    """Keys in base64 of either alphabet, wherever in a run of letters they start and however their lines are broken."""
+    at = 0
+    while m := _STARTS.search(text, at):
+        start, at = m.start(), m.start() + 1
+        if m[0][0] == "b":
+            letters, ends = _letters(text, start, LARGEST * 4 // 3)
+            size, kind = ssh_size(decoded(letters[: len(letters) & ~3]) or b"") or ssh_size(decoded(letters)), "sshkey"
+        else:
+            letters, ends = _letters(text, start, HEAD * 4 // 3)
+            head = (decoded(letters) or b"") if len(letters) == HEAD * 4 // 3 else b""
+            more = head[1] & 0x7F if head and head[1] & 0x80 else 0
+            size, kind = (2 + more + int.from_bytes(head[2 : 2 + more], "big") if more else 2 + head[1]) if head and more <= 4 else 0, "der"
+            if not 32 < size <= LARGEST or head[2 + more] not in (INTEGER, SEQUENCE):
+                continue
+            wanted = -(-size * 4 // 3)
+            letters, ends = _letters(text, start, wanted)
+            size = size if len(letters) == wanted and is_der_key((decoded(letters) or b"")[:size]) else 0
+        if size and (end := _end(ends, -(-size * 4 // 3), text)):
+            yield start, kind, end
+            at = end
+
+
+def signed_tokens(text: str) -> Iterator[tuple[int, str, int]]:
+    """Signed tokens; what stands joined before one isn't part of it."""
+    at = 0
+    while m := _TOKEN.search(text, at):
+        starts = [0, *(x.start() for x in _JSON.finditer(m[1]) if x.start())]
+        found = next((k for k in starts if is_signed_token(m[1][k:], m[2], m[3])), None)
+        at = m.start(2) if found is None else m.end()
+        if found is not None:
+            yield m.start() + found, "token", m.end()
+
+
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     """Candidates whose decoded form has the structure of a secret."""
     out = []
     if "." in text:
-        out += [(m.start(), "token", m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[1], m[2], m[3])]
+        out += signed_tokens(text)
     if "-----BEGIN" in text:
         out += [(m.start(), "key", m.end()) for m in _ARMOUR.finditer(text) if is_der_key(data := decoded(m[3])) or is_ssh_key(data) or is_encrypted_armour(m[2], data)]
     inside = [(a, b) for a, _, b in out]
-    for pattern, read in ((_BASE64, decoded), (_BASE64_URL, decoded), (_HEX_ANY, binascii.unhexlify)):
-        for m in pattern.finditer(text):
-            if any(a <= m.start() and m.end() <= b for a, b in inside):
-                continue
-            data = read(m[0])
-            if is_der_key(data):
-                out.append((m.start(), "der", m.end()))
-            elif is_ssh_key(data):
-                out.append((m.start(), "sshkey", m.end()))
+    for start, kind, end in embedded_keys(text):
+        if not any(a <= start and end <= b for a, b in inside):
+            out.append((start, kind, end))
+    for m in _HEX_ANY.finditer(text):
+        data = binascii.unhexlify(m[0])
+        if is_der_key(data):
+            out.append((m.start(), "der", m.end()))
+        elif is_ssh_key(data):
+            out.append((m.start(), "sshkey", m.end()))
     return out
 
 
