@@ -31,17 +31,25 @@ KINDS = (
 TOKEN = "(?is)" + "|".join(f"({pattern})" for _, _, pattern in KINDS)
 
 
-def letters(statement: Column) -> Column:
-    """One letter for each token. All patterns are tried together, as boundaries depend on the neighbours."""
-    groups = F.array(*(F.regexp_extract_all(statement, F.lit(TOKEN), F.lit(k + 1)) for k in range(len(KINDS))))
-    names = "".join(letter for letter, _, _ in KINDS)
+_NEXT, _ELSE = "\u0001", "\u0002"
+
+
+def tokens(statement: Column) -> Column:
+    """(letter, text) of each token, from one pass: every match is replaced by its groups, of which one isn't empty."""
+    plain = F.translate(statement, _NEXT + _ELSE, "\u001a\u001a")
+    marked = F.regexp_replace(plain, TOKEN, _NEXT + _ELSE.join(f"${k + 1}" for k in range(len(KINDS))))
+    names = F.lit("".join(letter for letter, _, _ in KINDS))
+
+    def read(t: Column) -> Column:
+        before = F.length(t) - F.length(F.ltrim(t, F.lit(_ELSE)))
+        return F.struct(F.substring(names, before + 1, F.lit(1)).alias("letter"), F.trim(t, F.lit(_ELSE)).alias("text"))
 
-    def picked(g: Column) -> Column:
-        kinds = F.arrays_zip(*(F.get(g, F.lit(k)).alias(f"k{k}") for k in range(len(KINDS))))
-        first = lambda t: F.coalesce(*(F.when(t[f"k{k}"] != "", F.lit(letter)) for k, letter in enumerate(names)))
-        return F.array_join(F.transform(kinds, first), "")
+    return F.transform(F.filter(F.split(marked, _NEXT), lambda t: t != ""), read)
 
-    return let(groups, picked)
+
+def letters(statement: Column) -> Column:
+    """One letter for each token. All patterns are tried together, as boundaries depend on the neighbours."""
+    return F.array_join(F.transform(tokens(statement), lambda t: t["letter"]), "")
 
 
 def compact(kinds: Column) -> Column:
@@ -53,8 +61,13 @@ def compact(kinds: Column) -> Column:
 
 def signature(statement: Column) -> Column:
     """Names of the kinds of tokens joined by ``|``; of a null statement, null."""
-    names = F.create_map(*(F.lit(x) for letter, kind, _ in KINDS for x in (letter, kind)))
-    return F.array_join(F.transform(F.regexp_extract_all(compact(letters(F.trim(statement))), F.lit("(.)"), F.lit(1)), lambda x: names[x]), "|")
+    return names(letters(F.trim(statement)))
+
+
+def names(kinds: Column) -> Column:
+    """The names of a statement's letters, merged, joined by ``|``."""
+    said = F.create_map(*(F.lit(x) for letter, kind, _ in KINDS for x in (letter, kind)))
+    return F.array_join(F.transform(F.split(let(kinds, compact), ""), lambda x: said[x]), "|")
 
 
 def open_ended(statement: Column) -> Column:

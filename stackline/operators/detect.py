@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackline.functions.signature import KINDS, TOKEN, coarse, compact, label, letters, signature
+from stackline.functions.signature import KINDS, coarse, compact, label, letters, names
+from stackline.functions.signature import tokens as token_texts
 
 #: Tokens, and characters of a pattern, beyond which a cluster gets none.
 MOST_TOKENS, MOST_PATTERN = 40, 4000
@@ -22,7 +23,9 @@ def members(statements: DataFrame, column: str = "stmt") -> DataFrame:
     """Distinct statements with ``copies``, ``signature``, ``letters``."""
     text = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
     found = statements.select(text.alias("stmt")).where("stmt <> ''").groupBy("stmt").agg(F.count(F.lit(1)).alias("copies"))
-    return found.withColumn("signature", signature(F.col("stmt"))).withColumn("kinds", letters(F.col("stmt")))
+    # An explode keeps the letters from being read again wherever they are mentioned.
+    lettered = found.select("stmt", "copies", F.explode(F.array(letters(F.col("stmt")))).alias("kinds"))
+    return lettered.select("stmt", "copies", names(F.col("kinds")).alias("signature"), "kinds")
 
 
 def clusters(statements: DataFrame, column: str = "stmt") -> DataFrame:
@@ -40,14 +43,15 @@ def labels(statements: DataFrame, column: str = "stmt") -> DataFrame:
 
 def tokens(member: DataFrame) -> DataFrame:
     """A row for each token of a member: place, letter, text; numbers with hyphens and unknown runs are one token."""
-    # The compact letters are matched against the raw ones, so that merged tokens keep their text.
-    raw = F.regexp_extract_all("stmt", F.lit(TOKEN), F.lit(0))
     divided = F.col("kinds").rlike(r"\)S*-|-S*[VIP]")
     runs = F.when(divided, F.regexp_extract_all("kinds", F.lit(r"(N(?:S*-S*N)+|U(?:[US]*U)?|S|.)"), F.lit(1))).otherwise(F.regexp_extract_all("kinds", F.lit(r"(U(?:[US]*U)?|S|.)"), F.lit(1)))
-    ends = F.transform(F.sequence(F.lit(1), F.size("runs")), lambda i: F.aggregate(F.slice("runs", F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x)))
-    spans = F.transform("runs", lambda x, i: F.struct(F.substring(x, 1, 1).alias("letter"), F.array_join(F.slice("raw", F.get("ends", i) - F.length(x) + 1, F.length(x)), "").alias("text")))
-    out = member.withColumn("raw", raw).withColumn("runs", runs).withColumn("ends", ends)
-    return out.select("signature", "stmt", "copies", F.posexplode(F.filter(spans, lambda x: x["letter"] != "S")).alias("place", "token")).select("signature", "stmt", "copies", "place", "token.letter", "token.text")
+    started = F.aggregate(F.col("runs"), F.array(F.lit(1)), lambda ends, x: F.array_append(ends, F.element_at(ends, -1) + F.length(x)))
+    # Tokens, runs of letters and where each starts are bound by explodes, once a statement.
+    each = member.select("*", F.explode(F.array(F.struct(F.transform(token_texts(F.col("stmt")), lambda t: t["text"]).alias("raw"), runs.alias("runs")))).alias("_t"))
+    each = each.select("signature", "stmt", "copies", "_t.raw", "_t.runs")
+    each = each.select("*", F.explode(F.array(started)).alias("starts"))
+    spans = F.transform("runs", lambda x, i: F.struct(F.substring(x, 1, 1).alias("letter"), F.array_join(F.slice("raw", F.get("starts", i), F.length(x)), "").alias("text")))
+    return each.select("signature", "stmt", "copies", F.posexplode(F.filter(spans, lambda x: x["letter"] != "S")).alias("place", "token")).select("signature", "stmt", "copies", "place", "token.letter", "token.text")
 
 
 def _escaped(text: Column) -> Column:

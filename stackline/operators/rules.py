@@ -9,7 +9,7 @@ pattern applies where it fits one piece (all pieces, where the parser may not re
 piece of several runs is the parser's, a pattern to skip claims what it fits and writes nothing, and
 where the parser reads the statement its ranges hold, with the pattern's captions where it states none.
 
-Defined cases: invalid patterns are reported and left out; equal ids get a new one; equal
+Defined cases: invalid patterns, and those whose expression may take for ever (``screen``), are reported and left out; equal ids get a new one; equal
 priorities keep their order; a statement that no pattern fits has source ``parser``, or
 ``unmatched`` where the parser isn't asked; a capture that isn't encoded is warned of; a null or
 blank statement is unmatched by all.
@@ -18,21 +18,20 @@ blank statement is unmatched by all.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterable
 
 from pyspark import SparkContext
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackline.functions.codes import CHRONOLOGY_CODES, chronology, year
-from stackline.operators import parse
+from stackline.functions.expressions import group_names
+from stackline.operators import parse, screen
 from stackline.operators.parse import BOUNDARY_TYPE, LEVELS_TYPE
 
 SCHEMA_VERSION, MOST_PATTERNS, MOST_CHARACTERS = 1, 200, 4000
 BOUNDARIES, KINDS = ("start", "end"), ("enum", "year", "month", "day", "ignore", "unresolved")
-_GROUP = re.compile(r"(?<!\\)\(\?<([A-Za-z][A-Za-z0-9]*)>")
 #: Kind and caption by the word that older libraries have in place of a kind.
 OLDER_LEVELS = {"vol": ("enum", "v."), "issue": ("enum", "no."), "part": ("enum", "pt."), "year": ("year", None), "month": ("month", None), "day": ("day", None), "ignore": ("ignore", None), "unresolved": ("unresolved", None)}
 RANGE_TYPE = f"struct<start:{BOUNDARY_TYPE},finish:{BOUNDARY_TYPE},open_ended:boolean,gap_after:boolean,warnings:array<string>>"
@@ -44,14 +43,10 @@ def whole(regex: str) -> str:
 
 
 def compiles(regex: str) -> bool:
-    """Whether the engine that runs it, Java's, takes an expression; Python's decides only where no session is."""
+    """Whether the engine that runs it, Java's, takes an expression; no other is asked, so a session must be there."""
     context = SparkContext._active_spark_context
     if context is None:
-        try:
-            re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", regex))
-        except re.error:
-            return False
-        return True
+        raise RuntimeError("expressions are checked by the session's engine, and there is no session")
     try:
         context._jvm.java.util.regex.Pattern.compile(whole(regex))
     except IllegalArgumentException:  # what a syntax error of an expression is
@@ -78,8 +73,8 @@ def with_levels(roles: list[dict]) -> list[dict]:
     return out
 
 
-def validated(pattern: dict) -> list[str]:
-    """What is wrong with a pattern; nothing if it can be used."""
+def validated(pattern: dict, slow: dict[str, str] | None = None) -> list[str]:
+    """What is wrong with a pattern; nothing if it can be used. ``slow``: expressions that may take for ever, with a witness."""
     if not isinstance(pattern, dict) or not isinstance(pattern.get("regex"), str) or not pattern["regex"]:
         return ["no regex"]
     regex, wrong = pattern["regex"], []
@@ -87,7 +82,9 @@ def validated(pattern: dict) -> list[str]:
         wrong.append("regex too long")
     if not compiles(regex):
         wrong.append("regex doesn't compile")
-    groups = _GROUP.findall(regex)
+    elif regex in (slow or {}):
+        wrong.append(f"regex may take for ever: {slow[regex]!r} repeated is read in ever more ways")
+    groups = [g for g in group_names(regex) if g]
     if not groups:
         wrong.append("no named groups")
     roles = pattern.get("roles", [])
@@ -117,11 +114,13 @@ def validated(pattern: dict) -> list[str]:
 
 def loaded(patterns: Iterable[dict]) -> tuple[list[dict], list[tuple[int, list[str]]]]:
     """Valid patterns in order of use, and what is wrong with the others by place."""
-    good, bad, ids = [], [], set()
+    good, bad, ids, patterns = [], [], set(), list(patterns)
+    asked = {p["regex"] for p in patterns if isinstance(p, dict) and isinstance(p.get("regex"), str) and len(p["regex"]) <= MOST_CHARACTERS}
+    slow = screen.refused(SparkSession.active(), asked) if asked else {}
     for k, p in enumerate(patterns):
         if isinstance(p, dict) and isinstance(p.get("roles"), list) and all(isinstance(r, dict) for r in p["roles"]):
             p = {**p, "roles": with_levels(p["roles"])}
-        wrong = validated(p)
+        wrong = validated(p, slow)
         if wrong or len(good) == MOST_PATTERNS:
             bad.append((k, wrong or ["library is full"]))
             continue
@@ -173,9 +172,7 @@ def sourced(statements: DataFrame, patterns: list[dict], fallback: bool = True,
 
 def _capture(text: Column, p: dict, group: str) -> Column:
     """What a group holds of the whole text; null where it is empty."""
-    # groups of a library pattern that aren't named are counted too
-    places = [m.start() for m in re.finditer(r"(?<!\\)\((?!\?)|(?<!\\)\(\?<(?![=!])", p["regex"])]
-    at = places.index(next(m.start() for m in _GROUP.finditer(p["regex"]) if m[1] == group)) + 1
+    at = group_names(p["regex"]).index(group) + 1
     got = F.trim(F.regexp_extract(text, whole(p["regex"]), at))
     return F.when(got != "", got)
 
@@ -308,11 +305,13 @@ def applied(statements: DataFrame, patterns: list[dict], fallback: bool = True,
 def tested(statements: DataFrame, regex: str, column: str = "stmt", most: int = 500) -> DataFrame:
     """How a pattern that isn't in the library fits each statement (its first ``most`` characters): full, partial, and the groups of a full fit.
 
-    Only for looking at a pattern; a conversion always reads whole statements.
+    Only for looking at a pattern; a conversion always reads whole statements. One that may take for ever isn't run.
     """
+    if slow := screen.refused(statements.sparkSession, [regex]):
+        raise ValueError(f"regex may take for ever: {slow[regex]!r} repeated is read in ever more ways, so nothing was tested; a repeat without another inside it mends that")
     text = F.substring(F.trim(F.col(column)), 1, most)
     full = F.coalesce(text.rlike(whole(regex)), F.lit(False))
-    groups = F.create_map(*(x for g in _GROUP.findall(regex) for x in (F.lit(g), F.coalesce(_capture(text, {"regex": regex}, g), F.lit("")))))
+    groups = F.create_map(*(x for g in group_names(regex) if g for x in (F.lit(g), F.coalesce(_capture(text, {"regex": regex}, g), F.lit("")))))
     return statements.select(F.col(column).alias("stmt"), full.alias("full"), (~full & F.coalesce(text.rlike(f"(?i:{regex})"), F.lit(False))).alias("partial"), F.when(full, groups).alias("groups"))
 
 
