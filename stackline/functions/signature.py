@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stackline.functions.codes import let
+from stackline.functions.codes import CHRONOLOGY_CODES, let
 
-_MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?|spring|summer|autumn|fall|winter"
+#: Months and seasons by name; seasons' abbreviations are words of other kinds, too.
+_MONTHS = "|".join(sorted((w for w, code in CHRONOLOGY_CODES.items() if code < "13" or len(w) > 4 or w == "fall"), key=len, reverse=True))
 #: Letter, kind and pattern, in the order in which they are tried.
 KINDS = (
     ("V", "VOL_CAP", r"\bv(?:ol(?:ume)?)?s?\.?"),

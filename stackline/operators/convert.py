@@ -16,7 +16,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackline.functions.codes import chronology_text, codeable
+from stackline.functions.codes import bound, chronology_text, codeable
 from stackline.operators.parse import BOUNDARY_TYPE
 
 CHRONOLOGY = ("year", "month", "day")
@@ -143,7 +143,7 @@ def captions(parsed: DataFrame) -> DataFrame:
     both = F.concat(F.array("start"), F.when(F.col("finish").isNotNull(), F.array("finish")).otherwise(F.array().cast(f"array<{BOUNDARY_TYPE}>")))
     w = Window.partitionBy("stmt")
     told = parsed.withColumn("_b", both).withColumn("_all", F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct(F.col("pos").alias("p"), F.col("_b").alias("b")))).over(w), lambda x, y: F.when(x["p"] < y["p"], -1).when(x["p"] > y["p"], 1).otherwise(0)), lambda x: x["b"]))
-    told = told.withColumn("_flat", F.flatten("_all")).withColumn("depth", F.coalesce(F.array_max(F.transform("_flat", lambda b: F.size(b["levels"]))), F.lit(0)))
+    told = bound(told, "_flat", F.flatten("_all")).withColumn("depth", F.coalesce(F.array_max(F.transform("_flat", lambda b: F.size(b["levels"]))), F.lit(0)))
     first = lambda i: F.get(F.filter(F.transform("_flat", lambda b: F.get(b["levels"], i)["caption"]), lambda c: c.isNotNull()), F.lit(0))
     told = told.withColumn("captions", F.when(F.col("depth") > 0, F.transform(F.sequence(F.lit(0), F.col("depth") - 1), lambda i: first(i))).otherwise(F.array().cast("array<string>")))
 
@@ -175,7 +175,7 @@ def values(parsed: DataFrame, convention: Convention = STANDARD) -> DataFrame:
         return F.struct(F.lit(k).alias("name"), s.alias("start"), f.alias("finish"), F.lit(False).alias("blocked"), fits.alias("coded"))
 
     has = F.col("finish").isNotNull()
-    told = told.withColumn("_e", hierarchy(enum, has, F.col("open_ended"))).withColumn("_c", hierarchy(F.array(*map(point, CHRONOLOGY)), has, F.col("open_ended")))
+    told = bound(bound(told, "_e", hierarchy(enum, has, F.col("open_ended"))), "_c", hierarchy(F.array(*map(point, CHRONOLOGY)), has, F.col("open_ended")))
     all_codes = F.create_map(*(F.lit(x) for i, c in enumerate(convention.enum) for x in (f"e{i + 1}", c)), *(F.lit(x) for k, c in convention.chron.items() for x in (k, c)))
     written = lambda x: F.when(x["name"] == "month", chronology_text(x["value"])).otherwise(x["value"]) if convention.chron_as_text else x["value"]
     coded = F.transform(F.filter(F.concat("_e", "_c"), lambda x: x["value"].isNotNull()), lambda x: F.struct(all_codes[x["name"]].alias("code"), written(x).alias("value")))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackline.functions.shared import settled
 from stackline.functions.signature import KINDS, coarse, compact, label, letters, names
 from stackline.functions.signature import tokens as token_texts
 
@@ -54,10 +55,27 @@ def tokens(member: DataFrame) -> DataFrame:
     return each.select("signature", "stmt", "copies", F.posexplode(F.filter(spans, lambda x: x["letter"] != "S")).alias("place", "token")).select("signature", "stmt", "copies", "place", "token.letter", "token.text")
 
 
+def top(df: DataFrame, keys: list[str], order: list[Column], k: int, salts: int = 64) -> DataFrame:
+    """The first ``k`` rows of each key by ``order``: the first of each part of a key's rows, and then of these; no task ranks all rows of a frequent key."""
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if df.schema[c].dataType.typeName() in ("string", "long", "integer")]), F.lit(salts))
+    some = df.withColumn("_part", part).withColumn("_turn", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))).where(F.col("_turn") <= k)
+    return some.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_turn") <= k).drop("_part").withColumnRenamed("_turn", "turn")
+
+
 def _escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\.\[\](){}*+?^$|/-])", r"\\$1")
 
 
+def _named(places: DataFrame) -> DataFrame:
+    """Places of a signature's tokens (signature, place, letter) with ``group``, the name of the value there."""
+    w = Window.partitionBy("signature").orderBy("place")
+    governing = F.last(F.when(F.col("letter").isin("V", "P", "I"), F.col("letter")).when(F.col("letter") == "(", F.lit("")), ignorenulls=True).over(w)
+    value = F.when(F.col("letter") == "N", F.when(governing == "V", "vol").when(governing == "I", "iss").when(governing == "P", "part").otherwise("num")).when(F.col("letter") == "Y", "year").when(F.col("letter") == "C", "month")
+    named = places.withColumn("value", value)
+    turn = F.when(F.col("value").isNotNull(), F.row_number().over(Window.partitionBy("signature", "value").orderBy("place")))
+    return named.withColumn("turn", turn).withColumn("group", F.when(F.col("turn") == 1, F.concat(F.lit("start"), "value")).when(F.col("turn") == 2, F.concat(F.lit("end"), "value")).when(F.col("turn") > 2, F.concat(F.lit("end"), "value", (F.col("turn") - 1).cast("string"))))
+
+
 def patterns(statements: DataFrame, column: str = "stmt") -> DataFrame:
     """signature, pattern (Java named groups), groups, statements, and why a cluster has no pattern."""
     found = members(statements, column)
@@ -67,12 +85,7 @@ def patterns(statements: DataFrame, column: str = "stmt") -> DataFrame:
     form = F.when(F.col("letter").isin("V", "P", "I"), F.lower("text"))
     places = tokens(simple).groupBy("signature", "place", "letter", form.alias("form")).agg(F.max(F.length("text")).alias("longest"))
     places = places.groupBy("signature", "place", "letter").agg(F.sort_array(F.collect_set("form")).alias("forms"), F.max("longest").alias("longest"))
-    w = Window.partitionBy("signature").orderBy("place")
-    governing = F.last(F.when(F.col("letter").isin("V", "P", "I"), F.col("letter")).when(F.col("letter") == "(", F.lit("")), ignorenulls=True).over(w)
-    value = F.when(F.col("letter") == "N", F.when(governing == "V", "vol").when(governing == "I", "iss").when(governing == "P", "part").otherwise("num")).when(F.col("letter") == "Y", "year").when(F.col("letter") == "C", "month")
-    named = places.withColumn("value", value)
-    turn = F.when(F.col("value").isNotNull(), F.row_number().over(Window.partitionBy("signature", "value").orderBy("place")))
-    named = named.withColumn("turn", turn).withColumn("group", F.when(F.col("turn") == 1, F.concat(F.lit("start"), "value")).when(F.col("turn") == 2, F.concat(F.lit("end"), "value")).when(F.col("turn") > 2, F.concat(F.lit("end"), "value", (F.col("turn") - 1).cast("string"))))
+    named = _named(places)
     by_letter = {letter: pattern for letter, _, pattern in KINDS}
     of_value = F.when(F.col("letter") == "N", F.lit(r"\d+[A-Za-z]?(?:\s*[-/]\s*\d+[A-Za-z]?)*"))
     for letter in ("Y", "C"):
@@ -96,3 +109,59 @@ def match_rates(statements: DataFrame, column: str = "stmt") -> DataFrame:
     found, made = members(statements, column), patterns(statements, column)
     each = found.select("signature", "stmt", "copies").join(made.select("signature", "pattern"), "signature").where("pattern is not null")
     return each.groupBy("signature").agg(F.sum(F.when(F.expr("stmt rlike pattern"), F.col("copies")).otherwise(0)).alias("matched"), F.sum("copies").alias("statements"), F.round(F.sum(F.when(F.expr("stmt rlike pattern"), F.col("copies")).otherwise(0)) / F.sum("copies"), 4).alias("match_rate"))
+
+
+def annotated(statements: DataFrame, order: list[str], decided: DataFrame, column: str = "stmt", k: int = 3) -> DataFrame:
+    """One row for each cluster: examples, values of each group, where it occurs first, and whether it needs a decision.
+
+    order: the columns that place a statement. decided: signature, decides (``roles.decides``). At most ``k`` examples, and
+    values of each group, most frequent first.
+    """
+    found = members(statements, column)
+    by = [F.desc("copies"), F.col("stmt")]
+    examples = top(found.select("signature", "stmt", "copies"), ["signature"], by, k).groupBy("signature").agg(F.sort_array(F.collect_list(F.struct("turn", "stmt"))).alias("_e"))
+    each = tokens(found)
+    groups = _named(each.select("signature", "place", "letter").distinct()).where("group is not null").select("signature", "place", "group")
+    counted = each.groupBy("signature", "place", "text").agg(F.sum("copies").alias("copies")).join(groups, ["signature", "place"])
+    best = top(counted.select("signature", "place", "group", "text", "copies"), ["signature", "place"], [F.desc("copies"), F.col("text")], k)
+    values = best.groupBy("signature", "place", "group").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("_v"))
+    values = values.groupBy("signature").agg(F.sort_array(F.collect_list(F.struct("place", F.col("group"), F.transform("_v", lambda x: x["text"]).alias("values")))).alias("_g"))
+    text = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
+    first = statements.select(*order, text.alias("stmt")).groupBy("stmt").agg(F.min(F.struct(*order)).alias("first"), F.count(F.lit(1)).alias("copies")).join(found.select("stmt", "signature"), "stmt")
+    where = first.groupBy("signature").agg(F.min("first").alias("first"), F.sum("copies").alias("statements"))
+    out = where.join(examples, "signature").join(values, "signature", "left").join(decided, "signature", "left")
+    shown = F.transform("_g", lambda g: F.struct(g["group"].alias("group"), g["values"].alias("values")))
+    return out.select("signature", "statements", F.transform("_e", lambda e: e["stmt"]).alias("examples"), shown.alias("values"), "first", F.coalesce("decides", F.lit("nothing")).alias("decides"), (F.coalesce("decides", F.lit("nothing")) != "nothing").alias("needs_decision"))
+
+
+def statistics(statements: DataFrame, column: str = "stmt") -> DataFrame:
+    """``scope`` (all, shape or label), ``key``, and how many clusters, single ones, declined ones, ones that miss members, and statements there are.
+
+    All scopes come from one pass over the clusters. A shape is a coarse signature: one with several clusters is split. A label
+    with several clusters can't be told from their labels.
+    """
+    told = labels(statements, column).select("signature", "label", "coarse", "statements")
+    rates = match_rates(statements, column).select("signature", "match_rate")
+    declined = patterns(statements, column).select("signature", F.col("declined").isNotNull().alias("declined"))
+    each = told.join(declined, "signature", "left").join(rates, "signature", "left")
+    return statements.sparkSession.sql(
+        """
+        SELECT CASE WHEN grouping(coarse) = 0 THEN 'shape' WHEN grouping(label) = 0 THEN 'label' ELSE 'all' END AS scope, coalesce(coarse, label) AS key, count(*) AS clusters,
+            count_if(statements = 1) AS singletons, count_if(declined) AS declined, count_if(match_rate < 1) AS imperfect, sum(statements) AS statements
+        FROM {each} GROUP BY GROUPING SETS ((), (coarse), (label))""",
+        each=each,
+    )
+
+
+def confusable(statements: DataFrame, column: str = "stmt") -> DataFrame:
+    """signature and ``family``, the least signature of all clusters it is tied to by equal labels or shapes, over any number of steps.
+
+    Families are components of the graph of clusters with labels and shapes; each round takes the least family over a label and over a shape.
+    """
+    at = settled(labels(statements, column).select("signature", "label", "coarse", F.col("signature").alias("family")))
+    while True:
+        by_label, by_shape = (at.groupBy(c).agg(F.min("family").alias(f"_{c}")) for c in ("label", "coarse"))
+        new = settled(at.join(by_label, "label").join(by_shape, "coarse").select("signature", "label", "coarse", F.least("_label", "_coarse").alias("family"), (F.least("_label", "_coarse") != F.col("family")).alias("_moved")))
+        if not new.where("_moved").limit(1).count():
+            return at.select("signature", "family")
+        at = new.drop("_moved")

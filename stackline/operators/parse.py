@@ -1,8 +1,8 @@
 """Holdings statements to ranges, in built-in expressions.
 
 A statement is cut into segments, a segment that lists items into its items, and each of
-these into a start and an end. Every step is a column or an explode, so the whole is one
-narrow stage without Python. Parse distinct statements (``parse_distinct``) and join back.
+these into a start and an end, in built-in expressions. A statement's ranges come together again to be
+numbered, which shuffles by statement. Parse distinct statements (``parse_distinct``) and join back.
 
 Output of ``ranges``: a row for each range, with its place ``pos`` in the statement, ``start``
 and ``finish`` (levels and chronology), ``open_ended``, ``gap_after`` and ``warnings``; and for a
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackline.functions.codes import CAPTION, NUMBER, VOLUME_CAPTION, YEAR, caption, chronology, let, trimmed, year
+from stackline.functions.codes import CAPTION, NUMBER, VOLUME_CAPTION, YEAR, bound, caption, chronology, let, trimmed, year
 
 #: Not inside round brackets.
 OUTSIDE = r"(?![^(]*\))"
@@ -131,7 +131,7 @@ def _units(df: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         text = F.trim(side)
         df = df.withColumn(f"_{side}y", text.rlike(rf"^{YEAR}$")).withColumn(f"_{side}l", F.when(F.col(f"_{side}y"), "").otherwise(F.regexp_extract(text, UNIT, 1)))
-        df = df.withColumn(f"_{side}c", _chronology(F.when(F.col(f"_{side}y"), text).otherwise(F.regexp_extract(text, UNIT, 2))))
+        df = bound(df, f"_{side}c", _chronology(F.when(F.col(f"_{side}y"), text).otherwise(F.regexp_extract(text, UNIT, 2))))
         alone = F.col(f"_{side}l").rlike(rf"^{NUMBER}$") & ~F.col("bare")
         df = df.withColumn(f"_{side}ok", F.when(F.col(side).isNull(), True).otherwise((text != "") & (F.col(f"_{side}y") | (text.rlike(UNIT) & ~alone))))
         df = df.withColumn(f"_{side}b", _boundary(_levels(F.col(f"_{side}l")), F.col(f"_{side}c")))
@@ -205,7 +205,7 @@ def _plain_ranges(base: DataFrame) -> DataFrame:
     bad = F.transform(F.filter("all", lambda x: ~x["r"]["ok"] & x["r"]["listed"]), lambda x: x["seg"])
     good = F.filter("all", lambda x: x["r"]["ok"] & ~F.array_contains(bad, x["seg"]))
     skipped = F.size("all") > F.size("good")
-    found = together.withColumn("good", good).withColumn("skipped", skipped)
+    found = bound(together, "good", good).withColumn("skipped", skipped)
     uncertain = F.col("text").rlike(r"^\d{4}\s*\?$")
     review = F.col("text").rlike(r"^\d+\s*\??$")
     none = F.array().cast("array<string>")

@@ -25,7 +25,7 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackline.functions.codes import CHRONOLOGY_CODES, chronology, year
+from stackline.functions.codes import CHRONOLOGY_CODES, bound, chronology, year
 from stackline.functions.expressions import group_names
 from stackline.operators import parse, screen
 from stackline.operators.parse import BOUNDARY_TYPE, LEVELS_TYPE
@@ -256,7 +256,7 @@ def applied(statements: DataFrame, patterns: list[dict], fallback: bool = True,
         F.array_intersect(some(own) if fallback else every(own), numbers(lambda p: not p["skip"] and p["split"])),
         F.array_intersect(alone, numbers(lambda p: not p["skip"] and not p["split"])),
     )
-    told = joined_rows.withColumn("_which", F.array_min(claims))
+    told = bound(joined_rows, "_which", F.array_min(claims))
     which = F.col("_which")
 
     def of_pattern(make, otherwise: Column) -> Column:
@@ -295,7 +295,7 @@ def applied(statements: DataFrame, patterns: list[dict], fallback: bool = True,
     by_parser = F.transform("_ranges", lambda r, i: r.withField("warnings", F.when(i == 0, F.concat(r["warnings"], passed)).otherwise(r["warnings"]))) if fallback else nothing
     from_pattern = of_pattern(lambda p: F.when(F.size("_ranges") > 0, captioned(p)).otherwise(built(p)), nothing)
     skips = F.array_contains(numbers(lambda p: p["skip"]), which)
-    told = told.withColumn("_out", F.when(which.isNull(), by_parser).when(skips, nothing).otherwise(from_pattern))
+    told = bound(told, "_out", F.when(which.isNull(), by_parser).when(skips, nothing).otherwise(from_pattern))
     ids = F.array(*(F.lit(p["id"]) for p in patterns)).cast("array<string>")
     source = F.when(which.isNull(), F.lit("parser" if fallback else "unmatched")).when(skips, "skipped").otherwise(F.get(ids, which))
     status = F.when(F.size("_out") > 0, "ok").when(which.isNull() & F.lit(fallback), F.col("_status")).otherwise("failed")

@@ -17,7 +17,6 @@ judged once; an empty table gives none.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -25,22 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackline.functions.expressions import Unreadable, moves
+from stackline.functions.shared import settled
 
 OK, EXPONENTIAL, UNREADABLE = "ok", "exponential", "unreadable"
 _MOVES = "regex string, loop int, a int, b int, shown string, kind int, ways int"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Checkpointed in the folder that the session names; a local session without one gets a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="stackline-"))
-    return df.checkpoint()
-
-
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["regex", "loop", "a", "b", "shown", "kind", "ways"]
     for frame in frames:
@@ -64,16 +53,17 @@ def screened(expressions: DataFrame, column: str = "regex") -> DataFrame:
     one, other = loops.select(*same, "a", "b", "shown"), loops.select(*same, F.col("a").alias("c"), F.col("b").alias("d"))
     # Order doesn't matter in a pair, so it is kept with the lesser place first.
     parted = one.join(other, [*same]).where("a = c and b < d").groupBy("regex", "loop", F.col("b").alias("p"), F.col("d").alias("q")).agg(F.min("shown").alias("word"))
-    frontier = settled(parted.join(double, "regex", "left_anti"))
-    met, found = frontier.select("regex", "loop", "p", "q"), double
-    while frontier.limit(1).count():
-        went = frontier.join(one, (frontier["p"] == one["a"]) & (frontier["regex"] == one["regex"]) & (frontier["loop"] == one["loop"])).select(frontier["regex"], frontier["loop"], "q", "kind", F.col("b").alias("to"), F.concat("word", "shown").alias("word"))
+    pair = ["regex", "loop", "p", "q"]
+    # One table has all pairs met so far and the round in which each was; a round is a step of one character.
+    met, turn = settled(parted.join(double, "regex", "left_anti").withColumn("turn", F.lit(0))), 0
+    while met.where(F.col("turn") == turn).limit(1).count():
+        frontier = met.where(f"turn = {turn} and p <> q").join(met.where("p = q").select("regex").distinct(), "regex", "left_anti")
+        went = frontier.join(one.withColumnRenamed("a", "p"), ["regex", "loop", "p"]).select("regex", "loop", "q", "kind", F.col("b").alias("to"), F.concat("word", "shown").alias("word"))
         both = went.join(other.withColumnRenamed("c", "q"), ["regex", "loop", "kind", "q"]).select("regex", "loop", F.least("to", "d").alias("p"), F.greatest("to", "d").alias("q"), "word")
-        reached = settled(both.groupBy("regex", "loop", "p", "q").agg(F.min("word").alias("word")))
-        closed = reached.where("p = q").groupBy("regex").agg(F.min("word").alias("word"))
-        found = settled(found.unionByName(closed))
-        frontier = settled(reached.where("p <> q").join(met, ["regex", "loop", "p", "q"], "left_anti").join(found, "regex", "left_anti"))
-        met = settled(met.unionByName(frontier.select("regex", "loop", "p", "q")))
+        turn += 1
+        reached = both.groupBy(*pair).agg(F.min("word").alias("word")).join(met.select(*pair), pair, "left_anti").withColumn("turn", F.lit(turn))
+        met = settled(met.unionByName(reached))
+    found = double.unionByName(met.where("p = q").select("regex", "word"))
     bad = all_moves.where("loop < 0").select("regex", F.lit(UNREADABLE).alias("_bad")).distinct()
     witness = found.groupBy("regex").agg(F.min("word").alias("witness"))
     judged = distinct.join(bad, "regex", "left").join(witness, "regex", "left")

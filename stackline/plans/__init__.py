@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackline.plans import holdings
+from stackline.plans import holdings, review
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in holdings.QUERIES}
+    return {f.__name__: f for f in (*holdings.QUERIES, *review.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(holdings.ORACLE)
+    return {**holdings.ORACLE, **review.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,3 +30,27 @@ SQL = f"SELECT *, {TEXT} AS stmt FROM (SELECT {COLUMNS} FROM lineitem)"
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return spark.sql(SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem)
+
+
+#: Families in which something is lost, dropped or can't be read, besides one (A) in which nothing is.
+ODD = "AJKLMNPQ"
+ODD_COLUMNS = COLUMNS.replace("substr('ABCDEFGH', CAST((l_orderkey + l_linenumber) % 8", f"substr('{ODD}', CAST((l_orderkey + l_linenumber + {{shift}}) % 8")
+NEXT_MONTH = "substr('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * (m % 12) + 1, 3)"
+ODD_TEXT = f"""CASE family
+    WHEN 'A' THEN concat('v. ', v, ' no. ', i, ' (', {_MONTH}, ' ', y, ')')
+    WHEN 'J' THEN concat('v. ', v, ' no. ', i, ' (', {_MONTH}, ' & ', {NEXT_MONTH}, ' ', y, ')')
+    WHEN 'K' THEN concat('v. ', v, ' no. ', i, ' (', y, ')-v. ', v + 2, ' no. ', i, ' (', y + 5, ')')
+    WHEN 'L' THEN concat('v. ', v, ' (', y, '), see ', i + 100)
+    WHEN 'M' THEN concat('v. ', v, ' (', y, ')-v. ', v + 3, ' no. ', i, ' (', y + 5, ')')
+    WHEN 'N' THEN concat('v. ', v, ' no. 1 (', y, ')-v. ', v + 2, ' no. 4 (Dec ', y + 5, ')')
+    WHEN 'P' THEN concat('v. ', v, ' (Late ', y, ')')
+    ELSE concat('v. ', v, ' (', y, ') + index ', i) END"""
+
+
+def odd_sql(shift: int = 0, more: str = "") -> str:
+    return f"SELECT *, {ODD_TEXT} AS stmt FROM (SELECT {ODD_COLUMNS.format(shift=shift)}, l_returnflag AS flag{more} FROM lineitem)"
+
+
+def odd_statements(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return spark.sql(odd_sql(shift).replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem)

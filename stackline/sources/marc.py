@@ -13,9 +13,13 @@ fields have ``data``, others ``ind1``, ``ind2`` and ``subfields``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stackline.functions.shared import file_system
+
 END_RECORD, END_FIELD, SUBFIELD = "\x1d", "\x1e", "\x1f"
 SUBFIELDS = "array<struct<code:string,value:string>>"
 
@@ -75,6 +79,37 @@ def refuse_unreadable(records: DataFrame, shown: int = 10) -> DataFrame:
     return records
 
 
+def ingest(spark: SparkSession, path: str, out: str, shown: int = 10) -> dict[str, int]:
+    """Read files of records once into the new folder ``out`` (``records``, ``statements``), or refuse them and leave nothing.
+
+    Records are counted and tested while they are written to a folder beside ``out``, which gets its name only if all
+    can be read. Places of unreadable ones are told from what was written. Returns records and statements.
+    """
+    staging = f"{out.rstrip('/')}-{uuid.uuid4().hex}"
+    files, target = file_system(spark, out)
+    if files.exists(target):
+        raise FileExistsError(out)
+    seen = Observation("ingest")
+    has_866 = F.size(F.filter("fields", lambda f: f["tag"] == "866"))
+    read = read_marc(spark, path).observe(seen, F.count(F.lit(1)).alias("records"), F.count_if("unreadable").alias("unreadable"), F.coalesce(F.sum(F.greatest(has_866, F.lit(0))), F.lit(0)).alias("fields"))
+    try:
+        read.write.parquet(f"{staging}/read")
+        told = seen.get
+        written = with_index(spark.read.parquet(f"{staging}/read"))
+        if told["unreadable"]:
+            refuse_unreadable(written, shown)
+        written.write.parquet(f"{staging}/records")
+        found = Observation("statements")
+        statements(spark.read.parquet(f"{staging}/records")).observe(found, F.count(F.lit(1)).alias("n")).write.parquet(f"{staging}/statements")
+        files.delete(file_system(spark, f"{staging}/read")[1], True)
+        if not files.rename(file_system(spark, staging)[1], target):
+            raise FileExistsError(out)
+    except BaseException:
+        files.delete(file_system(spark, staging)[1], True)
+        raise
+    return {"records": told["records"], "fields": told["fields"], "statements": found.get["n"]}
+
+
 def chosen(records: DataFrame, places: DataFrame, kept: bool = True) -> DataFrame:
     """The records at ``places`` (the key; repeats and places that aren't there don't count), or all but these."""
     keys = key(records)
