@@ -5,7 +5,7 @@ a shard are units of their own (so there are at most a thousand a shard); all ot
 added up in hashed chunks of whole groups. Only these units' sizes, a bounded number, reach the
 driver. There they are sorted by size and each enters the shard with the least remaining
 room that still holds it, found in a balanced tree; the smallest capacity that needs no
-further shard is searched for. A group larger than a fair share can't stay whole under the
+further shard is searched for, and what that leaves uneven is spread. A group larger than a fair share can't stay whole under the
 law of equal bytes, so it alone is dealt into hashed parts of about a chunk's size first.
 
 Defined cases: a null text has 8 bytes and is a group with other null texts, apart from
@@ -16,6 +16,7 @@ gives none; other columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +103,29 @@ def smallest_capacity(sizes: list[tuple[str, int]], shards: int) -> dict[str, in
     return best
 
 
+def evened(sizes: dict[str, int], packed: dict[str, int], shards: int) -> dict[str, int]:
+    """The packing after units moved from the fullest shard to the emptiest while that brings the two closer.
+
+    The unit whose size is nearest to half the gap moves; each move lowers the sum of squared loads, so they end.
+    """
+    loads, held = [0] * shards, [[] for _ in range(shards)]
+    for key, at in packed.items():
+        loads[at] += sizes[key]
+        insort(held[at], (sizes[key], key))
+    while True:
+        full, empty = max(range(shards), key=lambda k: (loads[k], k)), min(range(shards), key=lambda k: (loads[k], k))
+        gap, units = loads[full] - loads[empty], held[full]
+        after = bisect_left(units, (gap // 2 + 1, ""))
+        near = [units[k] for k in (after - 1, after) if 0 <= k < len(units) and 0 < units[k][0] < gap]
+        if not near:
+            return {key: at for at, own in enumerate(held) for _, key in own}
+        moved = min(near, key=lambda u: (abs(2 * u[0] - gap), u))
+        units.remove(moved)
+        insort(held[empty], moved)
+        loads[full] -= moved[0]
+        loads[empty] += moved[0]
+
+
 def shard(documents: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of each document."""
     text = F.col(text_col)
@@ -130,7 +154,7 @@ def shard(documents: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
     unit = F.when(F.col("parts").isNull(), chunk).when(F.col("parts") == 1, F.concat(F.lit("g"), "group")).otherwise(F.concat(F.lit("p"), "group", F.lit(":"), part))
     units = base.join(F.broadcast(known), "group", "left").withColumn("unit", unit)
     sizes = [(r["unit"], r["bytes"]) for r in units.groupBy("unit").agg(F.sum("size").alias("bytes")).collect()]  # large groups, their parts and chunks
-    packed = smallest_capacity(sizes, shards)
+    packed = evened(dict(sizes), smallest_capacity(sizes, shards), shards)
     to = spark.createDataFrame(list(packed.items()), "unit string, shard int")
     placed = units.join(F.broadcast(to), "unit").select("doc_id", "size", "text_crc32", "shard")
     return ranked(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot").withColumn("slot", F.col("slot").cast("long"))

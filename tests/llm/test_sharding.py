@@ -70,3 +70,23 @@ def test_best_fit_decreasing_matches_a_plain_search():
         rooms[k] -= size
         want[key] = k
     assert s.best_fit(sizes, 1000) == want
+
+
+def test_few_large_rows_are_spread(make):
+    rows = [(i, "x" * 392) for i in range(200)]
+    sizes = check(rows, s.shard(make(rows), 24).collect(), 24)
+    assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) <= 400
+    several = [(1000 * g + i, f"{g}" * (300 + 40 * g)) for g in range(3) for i in range(150)]  # three groups above a fair share
+    sizes = check(several, s.shard(make(several), 24).collect(), 24)
+    assert len(sizes) == 24 and max(sizes.values()) <= 1.2 * min(sizes.values())
+
+
+def test_moves_even_out_and_lose_no_unit():
+    rng = random.Random(5)
+    for shards in (2, 7, 24):
+        sizes = {f"u{k}": rng.choice([1, 5, 50, 400]) + rng.randrange(9) for k in range(300)}
+        packed = s.smallest_capacity(list(sizes.items()), shards)
+        moved = s.evened(sizes, packed, shards)
+        loads = lambda p: [sum(sizes[u] for u in p if p[u] == k) for k in range(shards)]
+        assert moved.keys() == packed.keys() and max(loads(moved)) <= max(loads(packed)) and max(loads(moved)) - min(loads(moved)) <= max(loads(packed)) - min(loads(packed))
+    assert s.evened({"a": 9}, {"a": 0}, 3) == {"a": 0} and s.evened({"a": 4, "b": 4}, {"a": 0, "b": 0}, 2) in ({"a": 0, "b": 1}, {"a": 1, "b": 0})
