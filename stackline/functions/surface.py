@@ -22,7 +22,7 @@ _KINDS = f"array_join(transform({_TOKENS}, t -> t.letter), '')"
 _MERGED = "translate(regexp_replace(CASE WHEN rlike(k, r'\\)S*-|-S*[VIP]') THEN regexp_replace(k, r'N(?:S*-S*N)+', 'N') ELSE k END, r'U(?:[US]*U)?', 'U'), 'S', '')"
 
 FUNCTIONS = {
-    "holdings_signature(stmt STRING) RETURNS STRING": f"array_join(transform(split({_MERGED.replace('k,', f'{_KINDS},').replace('ELSE k ', f'ELSE {_KINDS} ')}, ''), x -> {_NAMES}[x]), '|')",
+    "holdings_signature(stmt STRING) RETURNS STRING": f"array_join(transform(split(transform(array({_KINDS}), k -> {_MERGED})[0], ''), x -> {_NAMES}[x]), '|')",
     "holdings_open(stmt STRING) RETURNS BOOLEAN": r"rlike(stmt, r'-\s*$')",
     "holdings_year(year STRING) RETURNS STRING": "CASE WHEN rlike(year, r'^\\d{4}/\\d{2}$') THEN concat(left(year, 5), CAST(CAST(left(year, 2) AS INT) + CASE WHEN CAST(right(year, 2) AS INT) < CAST(substring(year, 3, 2) AS INT) THEN 1 ELSE 0 END AS STRING), right(year, 2)) ELSE year END",
     "holdings_chronology(word STRING) RETURNS STRING": f"coalesce({_CODES}[lower(regexp_replace(trim(word), r'\\.$', ''))], trim(word))",

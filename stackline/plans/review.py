@@ -104,7 +104,9 @@ def signatures_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures and tokens by the SQL functions alone."""
     surface.register(spark)
     rows = rendered.statements(spark, sf_dir)
-    return spark.sql("SELECT holdings_signature(stmt) AS signature, count(*) AS tokens, count(DISTINCT stmt) AS distinct_statements FROM {rows}, LATERAL holdings_tokens(stmt) GROUP BY 1", rows=rows)
+    texts = rows.groupBy("stmt").agg(F.count(F.lit(1)).alias("n"))
+    each = spark.sql("SELECT stmt, n, kind FROM {texts}, LATERAL holdings_tokens(stmt)", texts=texts).groupBy("stmt", "n").agg(F.count("kind").alias("tokens"))
+    return each.select(F.expr("holdings_signature(stmt)").alias("signature"), "n", "tokens").groupBy("signature").agg(F.sum(F.col("n") * F.col("tokens")).alias("tokens"), F.count(F.lit(1)).alias("distinct_statements"))
 
 
 def records_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
