@@ -19,8 +19,10 @@ the bound rare shingles still count as rare, and only groups that are large inde
 
 In each group of sets with a signature in common, all are compared with the one whose
 shingles are most common; links so found make components. Where a group still holds several
-components, the pairs across them are compared too, in blocks of bounded size, behind an
-exact bound from histograms of the sets. So no link between components is lost.
+components, the pairs across them are compared too, in blocks of bounded size. So no link between
+components is lost. Whole sets are read again from their texts and compared only for pairs that an exact bound
+lets pass: each set has a histogram of its shingles, whose counters are kept modulo 16; the distances of two sets'
+counters, taken the shorter way round, never add up to more than the shingles that differ.
 
 Links are counted where asked for: as no link leaves a component, all pairs of its classes are
 compared, in blocks of bounded size, and only the sums by class leave a task.
@@ -72,9 +74,9 @@ BLOCK = 1_500
 LINK_BLOCK, LINK_SHINGLES = 1_000, 1_000_000
 #: Pairs looked at together.
 PAIRS = 200_000
-#: Counters of a set's histogram.
-HISTOGRAM = 512
-#: Rows of ids that are sent to all executors at most (8 bytes each).
+#: Counters of a set's histogram, of four bits each, and how many are added for a first look.
+HISTOGRAM, FOLD = 512, 4
+#: Rows of ids that are sent to all executors at most (8 bytes each, or 16 with the class).
 SENT_IDS = 2_000_000
 _WORDS = WordHashes()
 
@@ -161,7 +163,36 @@ def signatures(u: np.ndarray, counts: np.ndarray, threshold: int = THRESHOLD) ->
 
 def histogram(u: np.ndarray) -> np.ndarray:
     """Counters whose absolute differences never add up to more than the shingles that differ."""
-    return np.minimum(np.bincount((u & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM), 255).astype(np.uint8)
+    return np.bincount((u & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM)
+
+
+def packed(u: np.ndarray) -> bytes:
+    """A set's histogram modulo 16, two counters in a byte."""
+    low, high = np.split((histogram(u) & 15).astype(np.uint8), 2)
+    return (low | high << 4).tobytes()
+
+
+def counters(histograms: list[bytes]) -> np.ndarray:
+    """The counters modulo 16 of packed histograms, a row each."""
+    pairs = np.frombuffer(b"".join(histograms), np.uint8).reshape(-1, HISTOGRAM // 2)
+    return np.concatenate([pairs & 15, pairs >> 4], 1)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row, at most the shingles in one of two sets only: distances of counters modulo 16, the shorter way round."""
+    d = (a - b) & 15
+    return np.minimum(d, 16 - d).sum(1, dtype=np.int32)
+
+
+def near(h: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
+    """Which of the pairs (x, y) of sets with these counters and sizes may link: first by sums of counters, then by all."""
+    sizes = n[x] + n[y]
+    most = sizes - 2 * -(-threshold * sizes // (100 + threshold))  # as most_different
+    kept = np.arange(len(x))
+    for bins in (h.reshape(len(h), -1, FOLD).sum(2, dtype=np.uint8) & 15, h):
+        fits = [apart(bins[x[at]], bins[y[at]]) <= most[at] for at in np.split(kept, range(8_000, len(kept), 8_000))]
+        kept = kept[np.concatenate(fits)]
+    return kept
 
 
 def links(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
@@ -191,28 +222,28 @@ def _unpacked(data: bytes, width: int) -> np.ndarray:
 
 
 def _sets(documents: DataFrame, size: int, seed: int, bits: int) -> DataFrame:
-    """A row for each document (doc_id, n, key, check), and each task's part of the sketch (slice, part, counts)."""
+    """A row for each document (doc_id, n, key, check, histogram), and each task's part of the sketch (slice, part, counts)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, sketch = ["doc_id", "n", "key", "check", "slice", "part", "counts"], np.zeros((SKETCH_ROWS, 1 << bits), np.uint32)
-        kinds, ids = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], None
+        names, sketch = ["doc_id", "n", "key", "check", "histogram", "slice", "part", "counts"], np.zeros((SKETCH_ROWS, 1 << bits), np.uint32)
+        kinds, ids = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()], None
         one = np.uint32(1)
         for b in batches:
-            ids, n, key, check = b.column(0), [], [], []
+            ids, n, key, check, counted = b.column(0), [], [], [], []
             for x in b.column(1):
                 u = shingle_set(x.as_py(), size)
                 for r in range(SKETCH_ROWS):  # in place: no copies as wide as the sketch
                     np.add.at(sketch[r], slots(u, bits, r), one)
                 k = set_key(u, seed)
-                n.append(len(u)), key.append(k[0]), check.append(k[1])
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip((n, key, check), kinds, strict=False)), *(pa.nulls(len(n), t) for t in kinds[3:])], names=names)
+                n.append(len(u)), key.append(k[0]), check.append(k[1]), counted.append(packed(u))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip((n, key, check, counted), kinds, strict=False)), *(pa.nulls(len(n), t) for t in kinds[4:])], names=names)
         if ids is not None:
             part = TaskContext.get().partitionId()
             for k, x in enumerate(np.split(sketch.ravel(), SKETCH_ROWS * SLICES)):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, ids.type), *(pa.nulls(1, t) for t in kinds[:3]), pa.array([k], kinds[3]), pa.array([part], kinds[4]), pa.array([_packed(x)], kinds[5])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, ids.type), *(pa.nulls(1, t) for t in kinds[:4]), pa.array([k], kinds[4]), pa.array([part], kinds[5]), pa.array([_packed(x)], kinds[6])], names=names)
 
-    return documents.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, n long, key long, check long, slice int, part int, counts binary")
+    return documents.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, n long, key long, check long, histogram binary, slice int, part int, counts binary")
 
 
 def _sketch(parts: DataFrame, bits: int) -> np.ndarray:
@@ -330,6 +361,23 @@ def _fits(a: str, b: str, threshold: int):
     return (F.col(a) * 100 >= F.col(b) * threshold) & (F.col(b) * 100 >= F.col(a) * threshold)
 
 
+def _near(pairs: DataFrame, histograms: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that their histograms allow to link."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.arange(b.num_rows)
+            h = counters([*b.column(3).to_pylist(), *b.column(5).to_pylist()])
+            n = np.concatenate([np.asarray(b.column(2)), np.asarray(b.column(4))])
+            kept = b.take(pa.array(near(h, n, rows, rows + b.num_rows, threshold)))
+            yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
+
+    one, other = (histograms.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("histogram").alias(f"histogram_{x}")) for x in ("a", "b"))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "n_a", "histogram_a", "n_b", "histogram_b").mapInArrow(look, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of linked sets."""
 
@@ -343,7 +391,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 
-def _across(groups: DataFrame, labels: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
+def _across(groups: DataFrame, labels: DataFrame, histograms: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
     """Pairs in one group but different components that the bounds allow."""
     of = F.coalesce("component", "key").alias("component")
     rows = staged(groups.join(labels, "key", "left").select("sig", "key", "n", "center", of), "open")
@@ -357,14 +405,14 @@ def _across(groups: DataFrame, labels: DataFrame, fetch: Callable[[DataFrame], D
     dealt = rows.join(several.select("sig", blocks.alias("blocks")), "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "center", "component")
     dealt = staged(dealt, "dealt")
-    dealt = dealt.join(fetch(dealt.select("key")).select("key", "histogram"), "key")
+    dealt = dealt.join(histograms(dealt.select("key")).select("key", "histogram"), "key")
     names = ["sig", "i", "j", "own", "key", "n", "center", "component", "histogram"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
             t = np.stack([np.asarray(c).astype(np.int64) for c in b.columns[:8]], 1)
-            h = np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint8).reshape(-1, HISTOGRAM)
+            h = np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint8).reshape(-1, HISTOGRAM // 2)
             if held is not None:
                 t, h = np.concatenate([held[0], t]), np.concatenate([held[1], h])
             if not len(t):
@@ -381,8 +429,7 @@ def _across(groups: DataFrame, labels: DataFrame, fetch: Callable[[DataFrame], D
         first = np.flatnonzero(np.concatenate(([True], (t[1:, :3] != t[:-1, :3]).any(1))))
         ends = np.repeat(np.append(first[1:], len(t)), np.diff(np.append(first, len(t))))
         later = ends - np.arange(len(t)) - 1  # rows of the group after each
-        coarse = h.reshape(len(h), -1, 8).sum(2, dtype=np.int16)
-        total = np.cumsum(later)
+        h, total = counters([h.tobytes()]), np.cumsum(later)
         for rows in np.split(np.arange(len(t)), np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS))):
             x = np.repeat(rows, later[rows])
             y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later[rows]) - later[rows], later[rows])
@@ -391,22 +438,22 @@ def _across(groups: DataFrame, labels: DataFrame, fetch: Callable[[DataFrame], D
             fits &= (a[:, 4] != b[:, 6]) & (b[:, 4] != a[:, 6])  # else compared before
             fits &= (a[:, 1] == a[:, 2]) | (a[:, 3] != b[:, 3])  # within a block, or across two
             x, y = x[fits], y[fits]
-            sizes = t[x, 5] + t[y, 5]
-            most = sizes - 2 * -(-threshold * sizes // (100 + threshold))
-            for bins in (coarse, h):
-                near = np.concatenate([np.abs(bins[x[k : k + 8_000]].astype(np.int16) - bins[y[k : k + 8_000]]).sum(1, dtype=np.int32) for k in range(0, len(x), 8_000)] or [most])
-                keep = near <= most
-                x, y, most = x[keep], y[keep], most[keep]
-            found = np.unique(np.sort(np.stack([t[x, 4], t[y, 4]], 1), 1), axis=0)
+            kept = near(h, t[:, 5], x, y, threshold)
+            found = np.unique(np.sort(np.stack([t[x[kept], 4], t[y[kept], 4]], 1), 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     sent = dealt.select(names).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     return sent.mapInArrow(read, "a long, b long").distinct()
 
 
+def _by_size(ids: DataFrame) -> DataFrame:
+    """A staged table of ids, to be sent to all executors only up to SENT_IDS rows."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
 def _kept_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is in ``ids``, a staged table; it is sent to all executors only up to SENT_IDS rows."""
-    return documents.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+    """Documents whose id is in ``ids``, a staged table."""
+    return documents.join(_by_size(ids), "doc_id", "left_semi")
 
 
 def classes(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
@@ -427,14 +474,19 @@ def classes(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD,
     signed = _kept_texts(with_id, reps) if reps.count() <= SENT_IDS else with_id
     groups = staged(_groups(_signature_rows(signed, counts, size, seed, threshold)), "groups")
 
-    def fetch(keys: DataFrame, whole: bool = False) -> DataFrame:
-        """Histograms, or whole sets, of these classes only, from their texts."""
-        ids = staged(keys.distinct().join(found, "key").select(F.col("rep").alias("doc_id")), "ids")
-        return _set_rows(_kept_texts(with_id, ids), size, seed, whole)
+    def histograms(keys: DataFrame) -> DataFrame:
+        """(key, n, histogram) of these classes only; repeated rows of a document bring theirs once."""
+        counted = read.where("slice is null").select("doc_id", "key", "n", "histogram")
+        wanted = staged(keys.distinct().join(found, "key").select(F.col("rep").alias("doc_id"), "key"), "wanted")
+        return counted.join(_by_size(wanted), ["doc_id", "key"]).groupBy("key").agg(F.first("n").alias("n"), F.first("histogram").alias("histogram"))
+
+    def sides(of: DataFrame) -> DataFrame:
+        return of.select(F.col("a").alias("key")).union(of.select("b"))
 
     def verified(candidates: DataFrame) -> DataFrame:
-        keys = candidates.select(F.col("a").alias("key")).union(candidates.select("b"))
-        sets = fetch(keys, True)
+        """The candidates that are links, by whole sets, which are read again from the texts of these classes only."""
+        ids = staged(sides(candidates).distinct().join(found, "key").select(F.col("rep").alias("doc_id")), "ids")
+        sets = _set_rows(_kept_texts(with_id, ids), size, seed)
         out = staged(_verified(candidates, sets, threshold), "links")
         removed(spark, sets)
         return out
@@ -444,13 +496,14 @@ def classes(documents: DataFrame, size: int = SIZE, threshold: int = THRESHOLD,
     over = groups.where("salt > 0 and key = center").join(top, "sig").select("key", "n", F.col("top.key").alias("center"), F.col("top.n").alias("center_n"))
     pairs = groups.select("key", "n", "center", "center_n").union(over).where(F.col("key") != F.col("center")).where(_fits("n", "center_n", threshold))
     pairs = staged(pairs.select(F.least("key", "center").alias("a"), F.greatest("key", "center").alias("b")).distinct(), "pairs")
-    linked = verified(pairs)
+    fitting = staged(_near(pairs, histograms(sides(pairs)), threshold), "fitting")
+    linked = verified(fitting)
     labels = components(linked)
-    across = staged(_across(groups, labels, fetch, threshold), "across")
+    across = staged(_across(groups, labels, histograms, threshold), "across")
     more = verified(across)
     if more.limit(1).count():
         labels = components(linked.union(more))
-    for table in (groups, pairs, across):
+    for table in (groups, pairs, fitting, across):
         removed(spark, table)
     # A component's first class is that of the least document, of equal ones the least class.
     first = labels.join(found, "key").groupBy("component").agg(F.min(F.struct("rep", "key")).alias("first"))
@@ -523,12 +576,12 @@ def _link_counts(rows: DataFrame, found: DataFrame, sets: Callable[[DataFrame],
     return members.join(more, "key", "left").select("key", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
 
 
-def _set_rows(documents: DataFrame, size: int, seed: int, whole: bool) -> DataFrame:
-    """(key, set or histogram) of each document; repeated documents once."""
+def _set_rows(documents: DataFrame, size: int, seed: int) -> DataFrame:
+    """(key, set) of each document; repeated documents once."""
 
     def batch(found: dict[int, np.ndarray]) -> pa.RecordBatch:
-        data = [(u if whole else histogram(u)).tobytes() for u in found.values()]
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(data, pa.binary())], names=["key", name])
+        data = [u.tobytes() for u in found.values()]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(data, pa.binary())], names=["key", "set"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -543,8 +596,7 @@ def _set_rows(documents: DataFrame, size: int, seed: int, whole: bool) -> DataFr
                     found, held = {}, 0
             yield batch(found)
 
-    name = "set" if whole else "histogram"
-    out = staged(documents.select("text").mapInArrow(read, f"key long, {name} binary"), "linkable")
+    out = staged(documents.select("text").mapInArrow(read, "key long, set binary"), "linkable")
     # A document id that is there twice brings its set twice: rare, and seen from the keys alone.
     if out.groupBy("key").count().where("count > 1").limit(1).count():
         out = staged(out.dropDuplicates(["key"]), "linkable")
@@ -561,7 +613,7 @@ def document_components(documents: DataFrame, size: int = SIZE, threshold: int =
     if links:
 
         def sets(ids: DataFrame) -> DataFrame:
-            return _set_rows(_kept_texts(documents.select("doc_id", "text").where("doc_id is not null"), staged(ids.distinct(), "ids")), size, seed, True)
+            return _set_rows(_kept_texts(documents.select("doc_id", "text").where("doc_id is not null"), staged(ids.distinct(), "ids")), size, seed)
 
         found = staged(found.join(_link_counts(rows, found, sets, threshold), "key", "left"), "counted")
         counts = [F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("n_links")).otherwise(F.lit(0)).alias("n_links")]

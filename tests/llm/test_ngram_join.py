@@ -176,6 +176,27 @@ def test_subsets_in_all_bands_or_none(make, rows, monkeypatch, subsets):
     assert sorted(map(tuple, g.document_components(make(rows)).collect())) == brute(rows)
 
 
+def test_packed_histograms_bound_what_differs():
+    rng = np.random.default_rng(5)
+    sets, pairs = [], []
+    for n, differ in ((1, 0), (40, 9), (900, 200), (900, 700), (20_000, 4_000), (200_000, 60_000), (200_000, 5)):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        b = np.unique(np.concatenate([a[differ:], rng.integers(0, 1 << 63, differ, np.int64).astype(np.uint64)]))
+        pairs.append((len(sets), len(sets) + 1))
+        sets += [a, b]
+    h, n = g.counters([g.packed(u) for u in sets]), np.array([len(u) for u in sets])
+    x, y = np.array(pairs).T
+    differing = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in pairs])
+    assert (g.apart(h[x], h[y]) <= differing).all()
+    assert (g.apart(h[x], h[y]) == g.apart(h[y], h[x])).all()
+    kept = set(g.near(h, n, x, y).tolist())
+    assert kept >= {k for k, (a, b) in enumerate(pairs) if g.links(sets[a], sets[b])}
+    assert 3 not in kept  # 700 of 900 differ
+    assert not len(g.near(h, n, x[:0], y[:0]))
+    for k in (2, 6):  # counters far apart in value, close modulo 16
+        assert np.abs(g.histogram(sets[2 * k]) - g.histogram(sets[2 * k + 1])).sum() <= differing[k]
+
+
 def test_sketch_counts(make, prose):
     rows = [(k, "a common passage of seven words here " + prose(30, k)) for k in range(300)]
     docs = make(rows)
