@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 CONF = "spark.checkpoint.dir"
 
@@ -33,6 +33,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """Dealt by ``keys`` over as many tasks as shuffles have; few short rows may cost much, and would else be one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def distinct(df: DataFrame, *keys: str) -> DataFrame:
+    """The different ``keys``, settled and spread. What is asked of a key later would else go below the aggregation, where every row pays for it."""
+    return spread(settled(df.select(*keys).distinct()), *keys)
+
+
 def file_system(spark: SparkSession, name: str):
     """Hadoop's file system of a path, and the path."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackline.functions.shared import settled
+from stackline.functions.shared import settled, spread
 from stackline.functions.signature import KINDS, coarse, compact, label, letters, names
 from stackline.functions.signature import tokens as token_texts
 
@@ -20,24 +20,37 @@ from stackline.functions.signature import tokens as token_texts
 MOST_TOKENS, MOST_PATTERN = 40, 4000
 
 
-def members(statements: DataFrame, column: str = "stmt") -> DataFrame:
-    """Distinct statements with ``copies``, ``signature``, ``letters``."""
+def members(statements: DataFrame, column: str = "stmt", head: str | None = None) -> DataFrame:
+    """Distinct statements with ``copies``, ``signature``, ``letters``; all statements are read here, once, and only members go on.
+
+    head: a column whose least value is kept as ``least``, and whether it is null anywhere as ``headless``.
+    """
     text = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
-    found = statements.select(text.alias("stmt")).where("stmt <> ''").groupBy("stmt").agg(F.count(F.lit(1)).alias("copies"))
+    found = statements.select(text.alias("stmt"), *([F.col(head).alias("_head")] if head else [])).where("stmt <> ''").groupBy("stmt").agg(F.count(F.lit(1)).alias("copies"), *([F.min("_head").alias("least"), F.max(F.col("_head").isNull()).alias("headless")] if head else []))
+    also = [c for c in ("least", "headless") if head]
     # An explode keeps the letters from being read again wherever they are mentioned.
-    lettered = found.select("stmt", "copies", F.explode(F.array(letters(F.col("stmt")))).alias("kinds"))
-    return lettered.select("stmt", "copies", names(F.col("kinds")).alias("signature"), "kinds")
+    # Dealt by a hash, as the optimizer leaves out a second exchange by the same key, and then few tasks read all letters.
+    lettered = spread(found, F.xxhash64("stmt")).select("stmt", "copies", *also, F.explode(F.array(letters(F.col("stmt")))).alias("kinds"))
+    return settled(lettered.select("stmt", "copies", names(F.col("kinds")).alias("signature"), "kinds", *also))
 
 
 def clusters(statements: DataFrame, column: str = "stmt") -> DataFrame:
     """signature, statements, distinct statements and an example, largest first."""
-    found = members(statements, column).groupBy("signature").agg(F.sum("copies").alias("statements"), F.count(F.lit(1)).alias("distinct_statements"), F.min("stmt").alias("example"))
-    return found.orderBy(F.desc("statements"), "example")
+    return _clusters(members(statements, column))
+
+
+def _clusters(found: DataFrame) -> DataFrame:
+    sizes = found.groupBy("signature").agg(F.sum("copies").alias("statements"), F.count(F.lit(1)).alias("distinct_statements"), F.min("stmt").alias("example"))
+    return sizes.orderBy(F.desc("statements"), "example")
 
 
 def labels(statements: DataFrame, column: str = "stmt") -> DataFrame:
     """Each cluster with its ``label``, its ``coarse`` signature, and how many clusters share that."""
-    found = clusters(statements, column).withColumn("label", label(F.col("signature"))).withColumn("coarse", coarse(F.col("signature")))
+    return _labels(members(statements, column))
+
+
+def _labels(found: DataFrame) -> DataFrame:
+    found = _clusters(found).withColumn("label", label(F.col("signature"))).withColumn("coarse", coarse(F.col("signature")))
     # The window is over clusters, not statements.
     return found.withColumn("clusters", F.count(F.lit(1)).over(Window.partitionBy("coarse")))
 
@@ -78,7 +91,11 @@ def _named(places: DataFrame) -> DataFrame:
 
 def patterns(statements: DataFrame, column: str = "stmt") -> DataFrame:
     """signature, pattern (Java named groups), groups, statements, and why a cluster has no pattern."""
-    found = members(statements, column)
+    return patterns_of(members(statements, column))
+
+
+def patterns_of(found: DataFrame) -> DataFrame:
+    """``patterns`` of members that are there already."""
     sizes = found.groupBy("signature").agg(F.sum("copies").alias("statements"), F.count(F.lit(1)).alias("distinct_statements"), F.max(F.length(compact(F.col("kinds")))).alias("n_tokens"))
     simple = found.where(F.length(compact(F.col("kinds"))) <= MOST_TOKENS)
     # At each place few forms are seen: captions and separators are grouped in lower case before they are gathered.
@@ -106,18 +123,22 @@ def patterns(statements: DataFrame, column: str = "stmt") -> DataFrame:
 
 def match_rates(statements: DataFrame, column: str = "stmt") -> DataFrame:
     """How many of each cluster's statements its pattern matches whole."""
-    found, made = members(statements, column), patterns(statements, column)
+    found = members(statements, column)
+    return _match_rates(found, patterns_of(found))
+
+
+def _match_rates(found: DataFrame, made: DataFrame) -> DataFrame:
     each = found.select("signature", "stmt", "copies").join(made.select("signature", "pattern"), "signature").where("pattern is not null")
     return each.groupBy("signature").agg(F.sum(F.when(F.expr("stmt rlike pattern"), F.col("copies")).otherwise(0)).alias("matched"), F.sum("copies").alias("statements"), F.round(F.sum(F.when(F.expr("stmt rlike pattern"), F.col("copies")).otherwise(0)) / F.sum("copies"), 4).alias("match_rate"))
 
 
-def annotated(statements: DataFrame, order: list[str], decided: DataFrame, column: str = "stmt", k: int = 3) -> DataFrame:
+def annotated(statements: DataFrame, order: list[str], decided: DataFrame, column: str = "stmt", k: int = 3, found: DataFrame | None = None) -> DataFrame:
     """One row for each cluster: examples, values of each group, where it occurs first, and whether it needs a decision.
 
     order: the columns that place a statement. decided: signature, decides (``roles.decides``). At most ``k`` examples, and
-    values of each group, most frequent first.
+    values of each group, most frequent first. found: the statements' members with ``head`` the first of ``order``, where they are there already.
     """
-    found = members(statements, column)
+    found = members(statements, column, order[0]) if found is None else found
     by = [F.desc("copies"), F.col("stmt")]
     examples = top(found.select("signature", "stmt", "copies"), ["signature"], by, k).groupBy("signature").agg(F.sort_array(F.collect_list(F.struct("turn", "stmt"))).alias("_e"))
     each = tokens(found)
@@ -127,8 +148,12 @@ def annotated(statements: DataFrame, order: list[str], decided: DataFrame, colum
     values = best.groupBy("signature", "place", "group").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("_v"))
     values = values.groupBy("signature").agg(F.sort_array(F.collect_list(F.struct("place", F.col("group"), F.transform("_v", lambda x: x["text"]).alias("values")))).alias("_g"))
     text = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
-    first = statements.select(*order, text.alias("stmt")).groupBy("stmt").agg(F.min(F.struct(*order)).alias("first"), F.count(F.lit(1)).alias("copies")).join(found.select("stmt", "signature"), "stmt")
-    where = first.groupBy("signature").agg(F.min("first").alias("first"), F.sum("copies").alias("statements"))
+    # A cluster's first place is where the first order column is least, so other rows are left out before their text is looked at.
+    least = found.groupBy("signature").agg(F.min("least").alias("_least"), F.max("headless").alias("_none"))
+    least = settled(least.select(F.when(~F.col("_none"), F.col("_least")).alias("_least")).distinct())
+    some = settled(statements.select(*order, column).join(least, F.col(order[0]).eqNullSafe(F.col("_least")), "left_semi"))
+    some = some.select(F.struct(*order).alias("first"), text.alias("stmt")).join(found.select("stmt", "signature"), "stmt")
+    where = some.groupBy("signature").agg(F.min("first").alias("first")).join(found.groupBy("signature").agg(F.sum("copies").alias("statements")), "signature")
     out = where.join(examples, "signature").join(values, "signature", "left").join(decided, "signature", "left")
     shown = F.transform("_g", lambda g: F.struct(g["group"].alias("group"), g["values"].alias("values")))
     return out.select("signature", "statements", F.transform("_e", lambda e: e["stmt"]).alias("examples"), shown.alias("values"), "first", F.coalesce("decides", F.lit("nothing")).alias("decides"), (F.coalesce("decides", F.lit("nothing")) != "nothing").alias("needs_decision"))
@@ -140,9 +165,11 @@ def statistics(statements: DataFrame, column: str = "stmt") -> DataFrame:
     All scopes come from one pass over the clusters. A shape is a coarse signature: one with several clusters is split. A label
     with several clusters can't be told from their labels.
     """
-    told = labels(statements, column).select("signature", "label", "coarse", "statements")
-    rates = match_rates(statements, column).select("signature", "match_rate")
-    declined = patterns(statements, column).select("signature", F.col("declined").isNotNull().alias("declined"))
+    found = members(statements, column)
+    made = settled(patterns_of(found))
+    told = _labels(found).select("signature", "label", "coarse", "statements")
+    rates = _match_rates(found, made).select("signature", "match_rate")
+    declined = made.select("signature", F.col("declined").isNotNull().alias("declined"))
     each = told.join(declined, "signature", "left").join(rates, "signature", "left")
     return statements.sparkSession.sql(
         """

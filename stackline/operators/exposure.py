@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stackline.functions.codes import let
+from stackline.functions.shared import settled
 from stackline.functions.signature import kinds_of
 from stackline.operators import detect
 
@@ -31,9 +33,12 @@ def signs(text: Column) -> Column:
 
 def held(text: Column) -> Column:
     """All signs and pairs of signs of a text, and the empty one."""
-    of = signs(text)
-    places = F.sequence(F.lit(1), F.greatest(F.length(of), F.lit(1)))
-    return F.array_distinct(F.concat(F.array(F.lit("")), F.transform(places, lambda i: of.substr(i, F.lit(1))), F.transform(places, lambda i: of.substr(i, F.lit(2)))))
+
+    def parts(of: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(of), F.lit(1)))
+        return F.array_distinct(F.concat(F.array(F.lit("")), F.transform(places, lambda i: of.substr(i, F.lit(1))), F.transform(places, lambda i: of.substr(i, F.lit(2)))))
+
+    return let(signs(text), parts)
 
 
 def required(signature: Column) -> Column:
@@ -46,7 +51,8 @@ def required(signature: Column) -> Column:
 
 def candidates(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """stmt with each pattern that may fit a part of it. texts: stmt. patterns: signature, pattern, statements."""
-    index = texts.select("stmt", held(F.col("stmt")).alias("held"))
+    # Settled, as the explode's filter on what is held would else be asked of every statement that ``texts`` are made of.
+    index = settled(texts.select("stmt", held(F.col("stmt")).alias("held")))
     each = index.select("stmt", "held", F.explode("held").alias("key"))
     common = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     wanted = patterns.where("pattern is not null").select("signature", "pattern", "statements", required(F.col("signature")).alias("required"))
@@ -58,8 +64,8 @@ def candidates(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def exposed(statements: DataFrame, column: str = "stmt") -> DataFrame:
     """stmt, signature, statements (the cluster's size), share, matched and discarded of the least partial fit of each statement."""
-    texts = detect.members(statements, column).select("stmt")
-    met = candidates(texts, detect.patterns(statements, column))
+    found = detect.members(statements, column)
+    met = candidates(found.select("stmt"), detect.patterns_of(found))
     inner = F.regexp_replace("pattern", r"^\(\?is\)\^|\$$", "")
     tried = met.where(~F.expr("stmt rlike pattern")).withColumn("_part", F.concat(F.lit("(?is)("), inner, F.lit(")"))).withColumn("matched", F.expr("regexp_extract(stmt, _part, 1)")).where("matched <> ''")
     share = (F.length("matched") / F.length("stmt")).alias("share")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackline.functions.codes import CAPTION, NUMBER, VOLUME_CAPTION, YEAR, bound, caption, chronology, let, trimmed, year
+from stackline.functions.shared import distinct
 
 #: Not inside round brackets.
 OUTSIDE = r"(?![^(]*\))"
@@ -167,7 +168,7 @@ def ranges(statements: DataFrame, column: str = "stmt") -> DataFrame:
 
 def parse_distinct(statements: DataFrame, column: str = "stmt") -> DataFrame:
     """Ranges of each distinct statement, once."""
-    return ranges(statements.select(column).distinct(), column)
+    return ranges(distinct(statements, column), column)
 
 
 def _plain_ranges(base: DataFrame) -> DataFrame:

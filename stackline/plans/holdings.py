@@ -122,8 +122,8 @@ def roles_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clusters_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rendered.statements(spark, sf_dir)
-    return roles.decides(detect.members(rows), parse.parse_distinct(rows))
+    found = detect.members(rendered.statements(spark, sf_dir))
+    return roles.decides(found, parse.parse_distinct(found))
 
 
 def statement_origins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,8 +80,9 @@ def clusters_confusable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clusters_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rendered.statements(spark, sf_dir)
-    decided = roles.decides(detect.members(rows), parse.parse_distinct(rows))
-    found = detect.annotated(rows, ["rec", *ORDER], decided)
+    members = detect.members(rows, head="rec")
+    decided = roles.decides(members, parse.parse_distinct(members))
+    found = detect.annotated(rows, ["rec", *ORDER], decided, found=members)
     first = F.get("values", F.lit(0))
     return found.select("signature", "statements", F.array_join("examples", " | ").alias("examples"), first["group"].alias("first_group"), F.array_join(first["values"], " ").alias("first_values"), F.col("first.rec").alias("rec"), F.col("first.v").alias("v"), "decides", "needs_decision")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from stackline.functions import surface
 from stackline.functions.signature import open_ended, signature
 from stackline.functions.codes import chronology, year
-from stackline.operators import audit, convert, detect, exposure, parse, preview, rules
+from stackline.operators import audit, convert, detect, exposure, parse, preview, roles, rules
 from stackline.plans import holdings
 from stackline.sources import marc
 
@@ -169,3 +169,30 @@ def test_functions_of_sql_equal_the_columns(spark, stmts):
     assert "Python" not in tokens._jdf.queryExecution().executedPlan().toString()
     words = spark.createDataFrame([("1996/97",), ("1999/00",), ("1990",), ("Jan.",), ("Late",)], "w string")
     assert [tuple(r) for r in words.selectExpr("w", "holdings_year(w)", "holdings_chronology(w)").collect()] == [tuple(r) for r in words.select("w", year(F.col("w")), chronology(F.col("w"))).collect()]
+
+
+def test_partial_fits_leave_all_rows_behind(spark, stmts, tmp_path):
+    at = str(tmp_path / "rows")
+    stmts.write.parquet(at)
+    rows = spark.read.parquet(at)
+    assert rows.inputFiles()
+    # What is asked of different statements must not be asked of every row.
+    assert not [f for f in exposure.exposed(rows).inputFiles() if at in f]
+
+
+def test_annotated_clusters_leave_rows_behind_that_hold_no_first_place(spark, tmp_path):
+    texts = ["v. 1 (1990)", "v. 2 (1991)", " v. 3 (1992)", "1 ?", "2 ?", "no. 5"]
+    rows = [(None if k == 3 else k, k % 2, texts[k % 6]) for k in range(60, 0, -1)]
+    spark.createDataFrame(rows, "rec int, pos int, stmt string").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    members = detect.members(df, head="rec")
+    assert not [f for f in members.inputFiles() if str(tmp_path / "rows") in f]
+    decided = roles.decides(members, parse.parse_distinct(members))
+    want = {}
+    for rec, pos, stmt in rows:  # null goes first
+        key, place = stmt.strip()[0].replace("2", "1") + stmt[-1], (rec is not None, rec or 0, pos)
+        want[key] = min(want.get(key, place), place)
+    out = detect.annotated(df, ["rec", "pos"], decided, found=members)
+    got = {e["examples"][0].strip()[0].replace("2", "1") + e["examples"][0][-1]: (e["first"]["rec"] is not None, e["first"]["rec"] or 0, e["first"]["pos"]) for e in out.collect()}
+    assert got == want and sum(r["statements"] for r in out.collect()) == 60
+    assert not [f for part in (out, decided) for f in part.inputFiles() if str(tmp_path / "rows") in f]
