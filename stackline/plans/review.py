@@ -122,10 +122,8 @@ def records_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     marc.write_marc(records, f"{at}/files")
     marc.ingest(spark, f"{at}/files", f"{at}/in")
     read = spark.read.parquet(f"{at}/in/records")
-    control = F.get(F.filter("fields", lambda f: f["tag"] == "001"), F.lit(0))["data"].cast("long").alias("rec")
-    found = spark.read.parquet(f"{at}/in/statements").join(read.select("file", "rec_idx", control), ["file", "rec_idx"])
-    titles = marc.summary(read).select("file", "rec_idx", "title")
-    return found.join(titles, ["file", "rec_idx"]).groupBy("rec").agg(F.max("title").alias("title"), F.count(F.lit(1)).alias("statements"), F.min("stmt").alias("least"), F.min("pos").cast("long").alias("first_pos"))
+    told = marc.summary(read).select("file", "rec_idx", F.col("control").cast("long").alias("rec"), "title")
+    return spark.read.parquet(f"{at}/in/statements").join(told, ["file", "rec_idx"]).groupBy("rec").agg(F.max("title").alias("title"), F.count(F.lit(1)).alias("statements"), F.min("stmt").alias("least"), F.min("pos").cast("long").alias("first_pos"))
 
 
 QUERIES = (

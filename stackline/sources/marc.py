@@ -18,6 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stackline.functions.codes import bound, let
 from stackline.functions.shared import file_system
 
 END_RECORD, END_FIELD, SUBFIELD = "\x1d", "\x1e", "\x1f"
@@ -26,42 +27,46 @@ SUBFIELDS = "array<struct<code:string,value:string>>"
 
 def read_marc(spark: SparkSession, path: str) -> DataFrame:
     """file, rec_idx (place in the file), leader, fields, raw, unreadable."""
-    lines = spark.read.option("lineSep", END_RECORD).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("raw"))
-    lines = lines.where(F.trim(F.regexp_replace(F.col("raw").cast("string"), r"[\r\n]", "")) != "")
+    lines = spark.read.option("lineSep", END_RECORD).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("raw"))
+    # Numbered when blank ones are gone, so the records of a split have numbers one after the other.
+    lines = lines.where(F.trim(F.regexp_replace(F.col("raw").cast("string"), r"[\r\n]", "")) != "").withColumn("row", F.monotonically_increasing_id())
     text = lambda start, size: F.substring(F.col("raw"), start, size).cast("string")
     number = lambda t: F.when(t.rlike(r"^\d+$"), t.try_cast("int"))
     size, base = number(text(1, 5)), number(text(13, 5))
-    out = lines.withColumn("leader", text(1, 24)).withColumn("base", base).withColumn("size", size).withColumn("entries", ((F.col("base") - 25) / 12).cast("int"))
+    # What several columns mention is bound, so that it is read once a record.
+    out = bound(lines, "_h", F.struct(text(1, 24).alias("leader"), base.alias("base"), size.alias("size")))
+    out = out.select("*", "_h.*").drop("_h").withColumn("entries", ((F.col("base") - 25) / 12).cast("int"))
     framed = (F.col("size") == F.octet_length("raw") + 1) & (F.col("base") >= 25) & ((F.col("base") - 25) % 12 == 0)
     framed &= F.hex(F.expr("substring(raw, base, 1)")) == "1E"
-    out = out.withColumn("framed", F.coalesce(framed, F.lit(False)))
-    entry = lambda i: F.expr("substring(raw, 25, base - 25)").cast("string").substr(i * 12 + 1, F.lit(12))
+    out = bound(out, "framed", F.coalesce(framed, F.lit(False)))
+    listing = F.expr("substring(raw, 25, base - 25)").cast("string")
     # Numbers of a damaged directory give null, which shows below.
-    parsed = F.transform(F.sequence(F.lit(0), F.greatest(F.col("entries") - 1, F.lit(0))), lambda i: F.struct(i.alias("pos"), F.substring(entry(i), 1, 3).alias("tag"), number(F.substring(entry(i), 4, 4)).alias("length"), number(F.substring(entry(i), 8, 5)).alias("start")))
-    out = out.withColumn("directory", F.when(F.col("framed") & (F.col("entries") > 0), parsed))
+    at = lambda e, i, start, size: e.substr(i * 12 + start, F.lit(size))
+    parsed = lambda e: F.transform(F.sequence(F.lit(0), F.greatest(F.col("entries") - 1, F.lit(0))), lambda i: F.struct(i.alias("pos"), at(e, i, 1, 3).alias("tag"), number(at(e, i, 4, 4)).alias("length"), number(at(e, i, 8, 5)).alias("start")))
+    out = bound(out, "directory", F.when(F.col("framed") & (F.col("entries") > 0), let(listing, parsed)))
     whole = F.forall("directory", lambda e: F.coalesce(F.col("base") + e["start"] + e["length"] <= F.octet_length("raw") + 1, F.lit(False)))
-    out = out.withColumn("unreadable", ~F.coalesce(F.col("framed") & (whole | (F.col("entries") == 0)), F.lit(False)))
+    out = bound(out, "unreadable", ~F.coalesce(F.col("framed") & (whole | (F.col("entries") == 0)), F.lit(False)))
 
     def field(e: Column) -> Column:
-        body = F.regexp_replace(F.make_valid_utf8(F.substring(F.col("raw"), F.col("base") + e["start"] + 1, e["length"]).cast("string")), f"{END_FIELD}$", "")
+        return let(F.regexp_replace(F.make_valid_utf8(F.substring(F.col("raw"), F.col("base") + e["start"] + 1, e["length"]).cast("string")), f"{END_FIELD}$", ""), lambda body: named(e, body))
+
+    def named(e: Column, body: Column) -> Column:
         control = e["tag"] < "010"
-        parts = F.slice(F.split(body, SUBFIELD), F.lit(2), F.greatest(F.size(F.split(body, SUBFIELD)) - 1, F.lit(0)))
+        parts = let(F.split(body, SUBFIELD), lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))))
         subs = F.transform(parts, lambda p: F.struct(F.substring(p, 1, 1).alias("code"), p.substr(F.lit(2), F.length(p)).alias("value")))
         return F.struct(e["pos"].alias("pos"), e["tag"].alias("tag"), F.when(control, body).alias("data"), F.when(~control, F.substring(body, 1, 1)).alias("ind1"), F.when(~control, F.substring(body, 2, 1)).alias("ind2"), F.when(~control, subs).otherwise(F.array().cast(SUBFIELDS)).alias("subfields"))
 
-    out = out.withColumn("fields", F.when(~F.col("unreadable"), F.transform("directory", field)))
+    out = bound(out, "fields", F.when(~F.col("unreadable"), F.transform("directory", field)))
     return out.select("file", "block", "row", "leader", "fields", F.concat("raw", F.lit(END_RECORD).cast("binary")).alias("raw"), "unreadable")
 
 
 def with_index(records: DataFrame) -> DataFrame:
-    """rec_idx: a record's place in its file, from the sizes of the splits before its own."""
-
-
-    sizes = records.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    """rec_idx: a record's place in its file, from the sizes of the splits before its own. ``row`` numbers a split's records without gaps, so none are sorted."""
+    sizes = records.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("least"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("row")) - 1
-    return records.withColumn("own", own).join(starts, ["file", "block"]).withColumn("rec_idx", F.col("before") + F.col("own")).drop("own", "before", "block", "row")
+    starts = sizes.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("shift"))
+    # A row for each split.
+    return records.join(F.broadcast(starts), ["file", "block"]).withColumn("rec_idx", F.col("row") + F.col("shift")).drop("shift", "block", "row")
 
 
 def key(records: DataFrame) -> list[str]:
@@ -128,11 +133,12 @@ def values(tag: str, codes: str) -> Column:
 
 
 def summary(records: DataFrame) -> DataFrame:
-    """The key, title, issn, location and which holdings fields there are."""
+    """The key, control number, title, issn, location and which holdings fields there are."""
     has = lambda tag: F.coalesce(F.exists("fields", lambda f: f["tag"] == tag), F.lit(False))
     title = F.regexp_replace(F.trim(F.array_join(values("245", "ab"), " ")), r"[ /:]+$", "")
     named = F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(F.concat(F.lit("Record "), (F.col("rec_idx") + 1).cast("string")))
-    return records.select(*key(records), named.alias("title"), F.coalesce(F.get(values("022", "a"), F.lit(0)), F.lit("")).alias("issn"), F.coalesce(F.array_join(values("852", "bc"), " > "), F.lit("")).alias("location"), has("866").alias("has_866"), has("853").alias("has_853"), has("863").alias("has_863"), "unreadable")
+    control = F.get(F.filter("fields", lambda f: f["tag"] == "001"), F.lit(0))["data"]
+    return records.select(*key(records), control.alias("control"), named.alias("title"), F.coalesce(F.get(values("022", "a"), F.lit(0)), F.lit("")).alias("issn"), F.coalesce(F.array_join(values("852", "bc"), " > "), F.lit("")).alias("location"), has("866").alias("has_866"), has("853").alias("has_853"), has("863").alias("has_863"), "unreadable")
 
 
 def statements(records: DataFrame) -> DataFrame:
@@ -172,13 +178,21 @@ def without_converted(records: DataFrame, converted: DataFrame) -> DataFrame:
 def to_raw(fields: Column, leader: Column) -> Column:
     """A record's bytes from its fields; lengths and offsets are put right."""
     body = lambda f: F.concat(F.when(f["tag"] < "010", F.coalesce(f["data"], F.lit(""))).otherwise(F.concat(F.coalesce(f["ind1"], F.lit(" ")), F.coalesce(f["ind2"], F.lit(" ")), F.array_join(F.transform(f["subfields"], lambda s: F.concat(F.lit(SUBFIELD), s["code"], s["value"])), ""))), F.lit(END_FIELD))
-    bodies = F.transform(fields, body)
-    starts = F.transform(bodies, lambda b, i: F.aggregate(F.slice(bodies, F.lit(1), i), F.lit(0), lambda n, x: n + F.octet_length(x)))
-    entries = F.transform(bodies, lambda b, i: F.concat(F.get(fields, i)["tag"], F.lpad(F.octet_length(b).cast("string"), 4, "0"), F.lpad(F.get(starts, i).cast("string"), 5, "0")))
-    base = F.lit(25) + F.size(fields) * 12
-    size = base + F.aggregate(bodies, F.lit(0), lambda n, x: n + F.octet_length(x)) + 1
-    head = F.concat(F.lpad(size.cast("string"), 5, "0"), F.substring(leader, 6, 7), F.lpad(base.cast("string"), 5, "0"), F.substring(leader, 18, 7))
-    return F.concat(head, F.array_join(entries, ""), F.lit(END_FIELD), F.array_join(bodies, ""))
+
+    def step(state: Column, x: Column) -> Column:
+        size = F.octet_length(x["body"])
+        entry = F.concat(x["tag"], F.lpad(size.cast("string"), 4, "0"), F.lpad(state["at"].cast("string"), 5, "0"))
+        return F.struct((state["at"] + size).alias("at"), F.concat(state["listing"], F.coalesce(entry, F.lit(""))).alias("listing"))
+
+    def framed(parts: Column, told: Column) -> Column:
+        base = F.lit(25) + F.size(parts) * 12
+        head = F.concat(F.lpad((base + told["at"] + 1).cast("string"), 5, "0"), F.substring(leader, 6, 7), F.lpad(base.cast("string"), 5, "0"), F.substring(leader, 18, 7))
+        return F.concat(head, told["listing"], F.lit(END_FIELD), F.array_join(F.transform(parts, lambda x: x["body"]), ""))
+
+    # Each body is written once, and one pass tells where it starts.
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("listing"))
+    bodies = F.transform(fields, lambda f: F.struct(f["tag"].alias("tag"), body(f).alias("body")))
+    return let(bodies, lambda parts: let(F.aggregate(parts, start, step), lambda told: framed(parts, told)))
 
 
 def write_marc(records: DataFrame, path: str) -> None:

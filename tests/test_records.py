@@ -168,3 +168,18 @@ def test_records_chosen_by_place(spark):
     places = spark.createDataFrame([("a", 1), ("a", 1), ("b", 9)], "file string, rec_idx long")
     assert [tuple(r) for r in marc.chosen(records, places).collect()] == [("a", 1)] and marc.chosen(records, places, kept=False).count() == 7
     assert [tuple(r) for r in marc.page(records, 3, 2).collect()] == [("a", 3), ("b", 0)] and marc.page(records, -5, 0).count() == 1
+
+
+def test_a_record_of_many_fields_takes_linear_time(spark, tmp_path):
+    import time
+
+    sub = lambda value: [("a", value)]
+    rows = [(0, "00000nas a2200000 a 4500", [(0, "001", "x", None, None, [])] + [(k, "866", None, " ", "0", sub(f"v. {k}")) for k in range(1, 400)])]
+    df = spark.createDataFrame(rows, f"rec_idx long, leader string, fields array<struct<pos:int,tag:string,data:string,ind1:string,ind2:string,subfields:{marc.SUBFIELDS}>>")
+    began = time.perf_counter()
+    marc.write_marc(df, str(tmp_path / "long"))
+    back = marc.with_index(marc.read_marc(spark, str(tmp_path / "long")))
+    assert [r["stmt"] for r in marc.statements(back).orderBy("pos").collect()] == [f"v. {k}" for k in range(1, 400)]
+    assert time.perf_counter() - began < 30
+    assert "rowNumber" not in back._jdf.queryExecution().analyzed().toString() and "row_number" not in back._jdf.queryExecution().analyzed().toString()
+    assert marc.summary(back).first()["control"] == "x"
