@@ -8,6 +8,9 @@ are read in one pass that keeps the open run alone.
 
 Defined cases: ties in order go by statement; a record without fields gives no row; order columns
 may have any name.
+
+Where a table of fields by statement is given, rows move with a pattern and a number of fields alone, and the fields come
+back by statement when all is numbered.
 """
 
 from __future__ import annotations
@@ -22,14 +25,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def numbered(converted: DataFrame, order: list[str]) -> DataFrame:
-    """``link`` and ``run_853`` of each statement, strict: a new link wherever the pattern changes. Keys: rec, then ``order``."""
+def _slim(rows: DataFrame, fields: DataFrame, pattern: str, n: str) -> DataFrame:
+    """The rows whose statement has fields, with its 853 as JSON and how many 863s there are."""
+    return rows.join(fields.where(F.size("f863") > 0).select("stmt", F.to_json("f853").alias(pattern), F.size("f863").alias(n)), "stmt")
+
+
+def numbered(converted: DataFrame, order: list[str], fields: DataFrame | None = None) -> DataFrame:
+    """``link`` and ``run_853`` of each statement, strict: a new link wherever the pattern changes. Keys: rec, then ``order``.
+
+    fields: stmt (once each), f853 and f863, where ``converted`` has none.
+    """
     w = Window.partitionBy("rec").orderBy(*order)
-    kept = converted.where(F.size("f863") > 0)
-    changed = kept.withColumn("_new", F.coalesce(F.to_json(F.struct("f853")) != F.lag(F.to_json(F.struct("f853"))).over(w), F.lit(True)).cast("int"))
+    if fields is None:
+        kept = converted.where(F.size("f863") > 0).withColumns({"_pattern": F.to_json(F.struct("f853")), "_n": F.size("f863")})
+    else:
+        kept = _slim(converted, fields, "_pattern", "_n")
+    changed = kept.withColumn("_new", F.coalesce(F.col("_pattern") != F.lag("_pattern").over(w), F.lit(True)).cast("int"))
     linked = changed.withColumn("link", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
     before = Window.partitionBy("rec", "link").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return linked.withColumn("first_seq", F.coalesce(F.sum(F.size("f863")).over(before), F.lit(0)) + 1).withColumn("run_853", F.col("f853"))
+    told = linked.withColumn("first_seq", F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).drop("_pattern", "_n")
+    return (told if fields is None else told.join(fields.select("stmt", "f853", "f863"), "stmt")).withColumn("run_853", F.col("f853"))
 
 
 def existing(records: DataFrame) -> DataFrame:
@@ -84,16 +99,21 @@ def _meets(full: str, pattern: str) -> tuple[bool, bool]:
     return all(b[c] == v for c, v in a.items() if c in b) and (a.keys() <= b.keys() or b.keys() <= a.keys()), len(b) > len(a)
 
 
-def merged(converted: DataFrame, order: list[str], taken: str | None = None) -> DataFrame:
+def merged(converted: DataFrame, order: list[str], taken: str | None = None, fields: DataFrame | None = None) -> DataFrame:
     """A row for each statement with fields: ``link``, ``run_853`` (its run's fullest), ``first_seq``, ``merged``.
 
     taken: a column of links that the record has already, which new runs leave out. A column
-    ``conform`` gives a statement its link; it then ends the run before it.
+    ``conform`` gives a statement its link; it then ends the run before it. fields: stmt (once each), f853 and f863, where
+    ``converted`` has none.
     """
     own = lambda name: f"__number_{name}"
     conform = F.col("conform").cast("int") if "conform" in converted.columns else F.lit(None).cast("int")
     had = F.transform(F.filter(F.col(taken), lambda x: x.rlike(r"^\d+$")), lambda x: x.try_cast("int")) if taken else F.array().cast("array<int>")
-    rows = converted.where(F.size("f863") > 0).select("rec", *order, "stmt", "f853", "f863", conform.alias(own("conform")), had.alias(own("had")), F.size("f863").alias(own("n")), F.to_json("f853").alias(own("pattern")))
+    extra = [conform.alias(own("conform")), had.alias(own("had"))]
+    if fields is None:
+        rows = converted.where(F.size("f863") > 0).select("rec", *order, "stmt", "f853", "f863", *extra, F.size("f863").alias(own("n")), F.to_json("f853").alias(own("pattern")))
+    else:
+        rows = _slim(converted, fields, own("pattern"), own("n")).select("rec", *order, "stmt", *extra, own("n"), own("pattern"))
     schema = T.StructType([*rows.schema, T.StructField(own("run"), T.IntegerType()), T.StructField(own("seq"), T.LongType()), T.StructField(own("subset"), T.BooleanType())])
     places = [rows.columns.index(c) for c in ("rec", own("conform"), own("n"), own("pattern"))]
 
@@ -123,7 +143,13 @@ def merged(converted: DataFrame, order: list[str], taken: str | None = None) ->
     before = Window.partitionBy("rec", own("conform")).orderBy(*order, "stmt").rowsBetween(Window.unboundedPreceding, -1)
     is_own = F.col(own("conform")).isNull()
     used = F.array_distinct(F.concat(F.flatten(F.collect_set(own("had")).over(by_rec)), F.collect_set(own("conform")).over(by_rec)))
-    told = seen.withColumn(own("used"), used).withColumn(own("full"), F.max(F.struct(F.size("f853").alias("s"), "f853")).over(by_run)["f853"]).withColumn(own("any"), F.max(own("subset")).over(by_run)).withColumn(own("before"), F.coalesce(F.sum(own("n")).over(before), F.lit(0)) + 1)
+    if fields is None:
+        full = F.max(F.struct(F.size("f853").alias("s"), "f853")).over(by_run)["f853"]
+    else:
+        told = F.from_json(own("pattern"), fields.schema["f853"].dataType)
+        full = F.from_json(F.max(F.struct(F.size(told).alias("s"), F.col(own("pattern")).alias("f"))).over(by_run)["f"], fields.schema["f853"].dataType)
+    told = seen.withColumn(own("used"), used).withColumn(own("full"), full).withColumn(own("any"), F.max(own("subset")).over(by_run)).withColumn(own("before"), F.coalesce(F.sum(own("n")).over(before), F.lit(0)) + 1)
+    told = told if fields is None else told.join(fields.select("stmt", "f863"), "stmt")
     return told.select(
         "rec", *order, "stmt", "f863",
         F.when(is_own, _nth_free(F.col(own("run")), F.col(own("used")))).otherwise(F.col(own("conform"))).alias("link"),

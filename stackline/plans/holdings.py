@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackline.functions import shared
 from stackline.functions.signature import open_ended
 from stackline.operators import audit, convert, detect, number, parse, roles, rules
 from stackline.plans import rendered
@@ -73,22 +74,28 @@ def holdings_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _converted(spark, sf_dir).where("f853 is not null").groupBy(_shown(F.col("f853")).alias("f853")).agg(F.count(F.lit(1)).alias("statements"))
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rendered.statements(spark, sf_dir).join(_converted(spark, sf_dir), "stmt")
+def _numbering(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows to be numbered, and each statement's fields with their number."""
+    fields = shared.settled(_converted(spark, sf_dir).select("stmt", "f853", "f863", F.size("f863").alias("n")))
+    return rendered.statements(spark, sf_dir).select("rec", *ORDER, "stmt"), fields
 
 
 def record_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = number.numbered(_records(spark, sf_dir), ORDER)
-    return out.groupBy("rec", F.col("link").cast("long").alias("link")).agg(F.max(_shown(F.col("run_853"))).alias("f853"), F.sum(F.size("f863")).alias("fields"), F.count(F.lit(1)).alias("statements"))
+    rows, fields = _numbering(spark, sf_dir)
+    # A run's rows go to its sums with a number and a short text, as these are sorted.
+    out = number.numbered(rows, ORDER, fields).select("rec", "link", "stmt").join(fields.select("stmt", "n", _shown(F.col("f853")).alias("f853")), "stmt")
+    return out.groupBy("rec", F.col("link").cast("long").alias("link")).agg(F.max("f853").alias("f853"), F.sum("n").alias("fields"), F.count(F.lit(1)).alias("statements"))
 
 
 def record_links_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = number.merged(_records(spark, sf_dir).select("rec", *ORDER, "stmt", "f853", "f863"), ORDER)
-    return out.groupBy("rec", F.col("link").cast("long").alias("link")).agg(F.max(_shown(F.col("run_853"))).alias("f853"), F.sum(F.size("f863")).alias("fields"), F.max("merged").alias("merged"))
+    rows, fields = _numbering(spark, sf_dir)
+    out = number.merged(rows, ORDER, fields=fields).select("rec", "link", "stmt", "run_853", "merged").join(fields.select("stmt", "n"), "stmt")
+    runs = out.groupBy("rec", F.col("link").cast("long").alias("link")).agg(F.max("run_853").alias("f853"), F.sum("n").alias("fields"), F.max("merged").alias("merged"))
+    return runs.withColumn("f853", _shown(F.col("f853")))
 
 
 def record_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.review_index(_records(spark, sf_dir))
+    return audit.review_index(rendered.statements(spark, sf_dir).select("rec", "stmt").join(shared.settled(_converted(spark, sf_dir).select("stmt", "f863", "status", "flagged")), "stmt"))
 
 
 def holdings_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

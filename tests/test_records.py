@@ -183,3 +183,14 @@ def test_a_record_of_many_fields_takes_linear_time(spark, tmp_path):
     assert time.perf_counter() - began < 30
     assert "rowNumber" not in back._jdf.queryExecution().analyzed().toString() and "row_number" not in back._jdf.queryExecution().analyzed().toString()
     assert marc.summary(back).first()["control"] == "x"
+
+
+def test_rows_are_numbered_without_their_fields(spark):
+    texts = ["v. 1 (1990)", "v. 2 no. 3 (1991)", "1 ?", "v. 3 (Jan 1992)", "v. 4 (1993)-"]
+    rows = spark.createDataFrame([(k % 4, k, texts[k * k % 5]) for k in range(40)], "rec int, pos int, stmt string")
+    fields = convert.convert_statements(parse.parse_distinct(rows)).select("stmt", "f853", "f863").localCheckpoint()
+    for f in (number.numbered, number.merged):
+        whole, slim = f(rows.join(fields, "stmt"), ["pos"]), f(rows, ["pos"], fields=fields)
+        assert {*whole.columns} == {*slim.columns}
+        shown = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+        assert shown(whole) == shown(slim) and len(shown(slim)) > 20
