@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stackline.functions.shared import settled
 from stackline.operators import convert, number, parse
 from stackline.operators.rules import whole
 
@@ -71,10 +72,10 @@ def page(rows: DataFrame, chosen: DataFrame | None = None, skipped: DataFrame |
 def records(rows: DataFrame, order: list[str], chosen: DataFrame | None = None, skipped: DataFrame | None = None, separate: DataFrame | None = None, convention: convert.Convention = convert.STANDARD) -> DataFrame:
     """rec, order, stmt, f863, link, first_seq, run_853 and ``separate`` of each statement with fields. rows: rec, order, stmt."""
     asked = page(rows, chosen, skipped).select("rec", *order, "stmt")
-    done = asked.join(convert.convert_statements(parse.parse_distinct(asked), convention), "stmt").select("rec", *order, "stmt", "f853", "f863")
+    fields = settled(convert.convert_statements(parse.parse_distinct(asked), convention).select("stmt", "f853", "f863"))
     shown = ["rec", *order, "stmt", "f863", F.col("link").cast("long").alias("link"), F.col("first_seq").cast("long").alias("first_seq"), "run_853"]
     if separate is None:
-        return number.merged(done, order).select(*shown, F.lit(False).alias("separate"))
+        return number.merged(asked, order, fields=fields).select(*shown, F.lit(False).alias("separate"))
     apart = separate.select("rec").distinct()
-    strict = number.numbered(done.join(apart, "rec", "left_semi"), order).select(*shown, F.lit(True).alias("separate"))
-    return strict.unionByName(number.merged(done.join(apart, "rec", "left_anti"), order).select(*shown, F.lit(False).alias("separate")))
+    strict = number.numbered(asked.join(apart, "rec", "left_semi"), order, fields).select(*shown, F.lit(True).alias("separate"))
+    return strict.unionByName(number.merged(asked.join(apart, "rec", "left_anti"), order, fields=fields).select(*shown, F.lit(False).alias("separate")))

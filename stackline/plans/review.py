@@ -64,8 +64,8 @@ def audit_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over holdings that changed meanwhile: returned items are new, items not yet shipped are gone, others have another statement."""
     before, after = (rendered.odd_statements(spark, sf_dir, shift).where(f"flag <> '{gone}'") for shift, gone in ((0, "R"), (1, "N")))
-    each = before.select("stmt").union(after.select("stmt")).distinct()
-    verdict = audit.conserved(convert.convert_statements(parse.ranges(each))).select("stmt", "verdict")
+    each = before.select("stmt").union(after.select("stmt"))
+    verdict = shared.settled(audit.conserved(convert.convert_statements(parse.parse_distinct(each))).select("stmt", "verdict"))
     runs = [rows.select("rec", "v", "stmt").join(verdict, "stmt") for rows in (before, after)]
     return audit.drift(*runs, keys=["rec", "v"]).groupBy("drift", "before", "after").agg(F.count(F.lit(1)).alias("statements"))
 
@@ -98,7 +98,8 @@ def record_previewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of finished and open orders' records, the open ones kept separate and urgent ones skipped."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("rec"), "o_orderstatus", "o_orderpriority")
     out = preview.records(rendered.statements(spark, sf_dir), ORDER, orders.where("o_orderstatus <> 'P'"), orders.where("o_orderpriority = '1-URGENT'"), orders.where("o_orderstatus = 'O'"))
-    return out.groupBy("rec", "link", "separate").agg(F.max(_shown(F.col("run_853"))).alias("f853"), F.sum(F.size("f863")).alias("fields"), F.count(F.lit(1)).alias("statements"))
+    runs = out.groupBy("rec", "link", "separate").agg(F.max("run_853").alias("f853"), F.sum(F.size("f863")).alias("fields"), F.count(F.lit(1)).alias("statements"))
+    return runs.withColumn("f853", _shown(F.col("f853")))
 
 
 def signatures_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
