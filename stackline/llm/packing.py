@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from stackline.llm.ranking import ranked
 from stackline.llm.staging import staged
-from stackline.llm.tokens import ChunkTokens
+from stackline.llm.tokens import KEPT, ChunkTokens
 
 SEQUENCE = 2048
 END_ID = 0
@@ -47,13 +47,13 @@ NODES = 20_000
 VISITS = 6_000_000
 
 
-def pieces(documents: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
     """Each document's ids and end token, cut only where longer than a sequence; the first piece is the shorter one."""
     kind = documents.schema[id_col].dataType.simpleString()
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkTokens.of(tokenizer)
+        encoder = ChunkTokens.of(tokenizer, kept)
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(encoder.ids(b.column(1))):
@@ -387,6 +387,6 @@ def pack(pieces_table: DataFrame, size: int = SEQUENCE, nodes: int = NODES) -> D
     return with_rank.select(*pieces_table.columns, "_rank").mapInPandas(place, schema)
 
 
-def pack_documents(documents: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """All documents' pieces, each with its place."""
-    return pack(staged(pieces(documents, tokenizer, size, end_id), "pieces"), size)
+def pack_documents(documents: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID, kept: int = KEPT) -> DataFrame:
+    """All documents' pieces, each with its place. kept: chunks that a worker keeps the ids of; memory for time, results don't depend on it."""
+    return pack(staged(pieces(documents, tokenizer, size, end_id, kept=kept), "pieces"), size)

@@ -60,11 +60,15 @@ class _Chunks(dict):
 
     def of_chunks(self, text: str) -> tuple[list[str], list[bytes]]:
         """The chunks of a text, and what the tokenizer makes of each."""
-        first, *parts = text.split(" ")
-        chunks = [first, *(" " + p for p in parts)]
+        if "\0" in text:
+            before, *parts = text.split(" ")
+            chunks = [before, *(" " + p for p in parts)]
+        else:  # the same, without a step for each word
+            chunks = text.replace(" ", "\0 ").split("\0")
+        first, more = chunks[0], len(chunks) > 1
         try:
-            head = self.encoded(first) if not parts or not first else self[first]
-            if not parts:
+            head = self.encoded(first) if not more or not first else self[first]
+            if not more:
                 return chunks, [head]
             return chunks, [head, *map(self.__getitem__, chunks[1:-1]), self.encoded(chunks[-1])]
         except _Irregular:
@@ -77,8 +81,8 @@ class ChunkTokens(_Chunks):
 
     @classmethod
     @lru_cache(maxsize=4)
-    def of(cls, path: str) -> ChunkTokens:
-        return cls(path)
+    def of(cls, path: str, kept: int = KEPT) -> ChunkTokens:
+        return cls(path, kept)
 
     def encoded(self, chunk: str) -> bytes:
         if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):  # one pre-token

@@ -218,3 +218,16 @@ def test_states_that_differ_are_kept_apart():
             cut += [a, b, 2048 - a - b]
         found = p.packing({n: cut.count(n) for n in cut})
         assert found.sequences * 2048 == sum(cut) or not found.proven, (k, cut)
+
+
+def test_ids_do_not_depend_on_chunks_kept():
+    import public_tokenizers
+
+    from stackline.llm.tokens import ChunkTokens
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two, three.", "a\0 b \0c", " lead", "two  spaces and  more", "", None, "x", "tail "]
+    few, many = ChunkTokens.of(path, 1), ChunkTokens.of(path, 1000)
+    want = [few.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for made in (few, many):
+        assert [[int.from_bytes(b[i : i + 4], "little") for i in range(0, len(b), 4)] for b in made.ids(texts)] == want
