@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackline.functions.codes import bound
 from stackline.functions.shared import settled, spread
 from stackline.functions.signature import KINDS, coarse, compact, label, letters, names
 from stackline.functions.signature import tokens as token_texts
@@ -25,8 +26,11 @@ def members(statements: DataFrame, column: str = "stmt", head: str | None = None
 
     head: a column whose least value is kept as ``least``, and whether it is null anywhere as ``headless``.
     """
-    text = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
-    found = statements.select(text.alias("stmt"), *([F.col(head).alias("_head")] if head else [])).where("stmt <> ''").groupBy("stmt").agg(F.count(F.lit(1)).alias("copies"), *([F.min("_head").alias("least"), F.max(F.col("_head").isNull()).alias("headless")] if head else []))
+    rows = statements.select(F.col(column).alias("_raw"), *([F.col(head).alias("_head")] if head else [])).groupBy("_raw")
+    raw = rows.agg(F.count(F.lit(1)).alias("_n"), *([F.min("_head").alias("_least"), F.count("_head").alias("_heads")] if head else []))
+    # Rows are counted by their texts as they stand: a trim or a filter would go below the aggregation, where every row pays for it. It stays above an explode.
+    text = bound(raw, "stmt", F.regexp_replace("_raw", r"^\s+|\s+$", "")).where("stmt <> ''")
+    found = text.groupBy("stmt").agg(F.sum("_n").alias("copies"), *([F.min("_least").alias("least"), F.max(F.col("_heads") < F.col("_n")).alias("headless")] if head else []))
     also = [c for c in ("least", "headless") if head]
     # An explode keeps the letters from being read again wherever they are mentioned.
     # Dealt by a hash, as the optimizer leaves out a second exchange by the same key, and then few tasks read all letters.

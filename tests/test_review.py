@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from stackline.functions import surface
+from stackline.functions import shared, surface
 from stackline.functions.signature import open_ended, signature
 from stackline.functions.codes import chronology, year
 from stackline.operators import audit, convert, detect, exposure, parse, preview, roles, rules
@@ -196,3 +196,15 @@ def test_annotated_clusters_leave_rows_behind_that_hold_no_first_place(spark, tm
     got = {e["examples"][0].strip()[0].replace("2", "1") + e["examples"][0][-1]: (e["first"]["rec"] is not None, e["first"]["rec"] or 0, e["first"]["pos"]) for e in out.collect()}
     assert got == want and sum(r["statements"] for r in out.collect()) == 60
     assert not [f for part in (out, decided) for f in part.inputFiles() if str(tmp_path / "rows") in f]
+
+
+def test_members_are_counted_before_texts_are_trimmed(spark, monkeypatch):
+    rows = [(5, "v. 1"), (3, " v. 1"), (None, "v. 1\t"), (2, "v. 2"), (4, "v. 2"), (1, None), (1, " "), (1, "")]
+    df, seen = spark.createDataFrame(rows * 3, "rec int, stmt string").repartition(3), []
+    monkeypatch.setattr(detect, "settled", lambda df: seen.append(df) or shared.settled(df))
+    found = detect.members(df, head="rec")
+    assert {r["stmt"]: (r["copies"], r["least"], r["headless"]) for r in found.collect()} == {"v. 1": (9, 3, True), "v. 2": (6, 2, False)}
+    assert {r["stmt"]: r["copies"] for r in detect.members(df).collect()} == {"v. 1": 9, "v. 2": 6}
+    # Nothing but a count and the least place is asked of every row.
+    for plan in (x._jdf.queryExecution().optimizedPlan().toString() for x in seen):
+        assert "regexp" not in plan[plan.rindex("Aggregate [") :] and "regexp" in plan, plan
