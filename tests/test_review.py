@@ -208,3 +208,13 @@ def test_members_are_counted_before_texts_are_trimmed(spark, monkeypatch):
     # Nothing but a count and the least place is asked of every row.
     for plan in (x._jdf.queryExecution().optimizedPlan().toString() for x in seen):
         assert "regexp" not in plan[plan.rindex("Aggregate [") :] and "regexp" in plan, plan
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_decided_clusters_make_each_row_s_text_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(detect, "settled", lambda df: seen.append(df) or shared.settled(df))
+    out = holdings.clusters_decide(spark, "/root/testdata/sf0.001")
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.rindex("Aggregate [") :].count(" nos. ") == 1, plan
+    assert len(seen) == 1 and not [f for f in out.inputFiles() if "lineitem" in f]
